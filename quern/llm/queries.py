@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .chat_format import chat_digests
 from .exact_dedup import exact_dedup
 from .hilbert import hilbert_shards
+from .near_dedup import near_duplicates
+from .quality import classify
 from .stage import shared_dir
 from .token_files import read_tokens, write_tokens
 
@@ -23,6 +25,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -55,6 +65,8 @@ def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op7_chat_format": op7_chat_format,
     "op8_token_files": op8_token_files,
     "op9_hilbert_sharding": op9_hilbert_sharding,

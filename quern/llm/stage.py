@@ -69,3 +69,8 @@ def ordered(df: DataFrame, stage: Stage, name: str, *by: str) -> DataFrame:
     out = out.withColumn("_mid", F.monotonically_increasing_id())
     out = stage.write(out, name)
     return out.withColumns({"pid": F.shiftright("_mid", 33), "at": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_mid")
+
+
+def small(df: DataFrame, limit: int) -> DataFrame:
+    """`df`, a written table, marked for broadcast if it has at most `limit` rows; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.count() <= limit else df
