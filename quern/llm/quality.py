@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stage import Stage
 
@@ -125,7 +126,7 @@ def add_statistics(df: DataFrame, text: str = "text") -> DataFrame:
                 made = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * D, pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in slim.columns), made], names=[*slim.columns, "statistics"])
 
-    return keep.withColumn(text, keep[text].cast("string")).mapInArrow(run, slim.schema.add("statistics", "array<double>"))
+    return keep.withColumn(text, keep[text].cast("string")).mapInArrow(run, slim.schema.add("statistics", T.ArrayType(T.DoubleType())))
 
 
 def train(rows: DataFrame, **shrink: float) -> Model:
