@@ -118,15 +118,16 @@ def add_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns but the text, and `statistics` array<double>. Another column so named is replaced."""
     keep = df.drop("statistics")
     slim = keep.drop(text)
+    names, schema = slim.columns, slim.schema.add("statistics", T.ArrayType(T.DoubleType()))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x = np.concatenate([statistics(t) for _, t in _texts(batch, text)])
                 made = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * D, pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in slim.columns), made], names=[*slim.columns, "statistics"])
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), made], names=[*names, "statistics"])
 
-    return keep.withColumn(text, keep[text].cast("string")).mapInArrow(run, slim.schema.add("statistics", T.ArrayType(T.DoubleType())))
+    return keep.withColumn(text, keep[text].cast("string")).mapInArrow(run, schema)
 
 
 def train(rows: DataFrame, **shrink: float) -> Model:
@@ -159,13 +160,14 @@ def train(rows: DataFrame, **shrink: float) -> Model:
 def score(rows: DataFrame, model: Model) -> DataFrame:
     """Rows of `statistics` with `score` in their place."""
     rest = rows.drop("statistics", "score")
+    names, schema = rest.columns, rest.schema.add("score", "double")
 
     def run(batches):
         for batch in batches:
             x = batch["statistics"].flatten().to_numpy(zero_copy_only=False).reshape(-1, D)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest.columns), pa.array(model.score(x))], names=[*rest.columns, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(model.score(x))], names=[*names, "score"])
 
-    return rows.select(*rest.columns, "statistics").mapInArrow(run, rest.schema.add("score", "double"))
+    return rows.select(*names, "statistics").mapInArrow(run, schema)
 
 
 def one_label(labels: DataFrame) -> DataFrame:
@@ -194,7 +196,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     slim = stage.write(add_statistics(docs.select("doc_id", "text")), "statistics")
     model = train(slim.filter(~held_out(F.col("doc_id"))).join(one_label(labels), "doc_id"))
     stage.drop("statistics")
-    columns = docs.columns
 
     def run(batches):
         for batch in batches:
@@ -202,4 +203,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
                 good = np.concatenate([model.score(statistics(t)) for _, t in _texts(batch, "text")]) >= threshold
                 yield batch.filter(pa.array(good))
 
-    return docs.select(*columns).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
