@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import chat_digests
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .hilbert import hilbert_shards
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import classify
 from .stage import shared_dir
@@ -33,6 +35,14 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), carry=False)[0]
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -67,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_decontamination": op5_decontamination,
+    "op6_mixing": op6_mixing,
     "op7_chat_format": op7_chat_format,
     "op8_token_files": op8_token_files,
     "op9_hilbert_sharding": op9_hilbert_sharding,
