@@ -16,6 +16,7 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import classify
 from .stage import shared_dir
+from .suffix_tree import score_texts
 from .token_files import read_tokens, write_tokens
 
 
@@ -35,6 +36,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_suffix_tree_scores": op4_suffix_tree_scores,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_chat_format": op7_chat_format,
