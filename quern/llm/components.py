@@ -21,9 +21,8 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
     Spark can split, never a gathered list. Ends when a round changes nothing, after about the square of
     the logarithm of the longest path. Nulls and loops are left out.
     """
-    up = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
     mark = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    now = stage.write(up, f"{name}-0")
     before, i = mark(now), 0
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +30,7 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
         small = _toward(large, "true").filter("u > v")
         roots = large.groupBy("u").agg(F.min("v").alias("v"))
         i += 1
-        now = stage.write(small.unionByName(roots).distinct(), f"{name}-{i}")
+        now = stage.write(small.unionByName(roots).distinct(), f"{name}-{i}", rows=2 * before[0])
         after = mark(now)
         if after == before:
             break

@@ -3,7 +3,8 @@
 A document is its set of word shingles. Equal sets are one class from the start. MinHash samples of a set
 are banded into bucket keys, and folded into a parity bitmap (an odd sketch): the population count of the
 XOR of two bitmaps tells how many samples differ, so most false pairs of a bucket go before their texts
-are read. Every pair that is left is confirmed on full sets.
+are read. A second bitmap of the whole set gives a bound without error: two sets differ in no fewer
+shingles than their bitmaps do in bits. Every pair that is left is confirmed on full sets.
 
 Buckets are never expanded into all pairs. In a first round each member is held against a few pivots of its
 bucket. Links give components; a pair that is already in one component needs no test. In a second round
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .stage import Stage, small
+from .tally import mix
 
 ROWS = 4  # samples in a band
 SKETCH_WORDS = 8
 SAMPLES = 160
+PARITY_WORDS = 16
 #: A pair at the threshold shares no band once in this many times.
 MISS = 1e-6
 #: Ids up to this many, at 8 bytes each, are broadcast; more are joined by a shuffle.
@@ -39,12 +42,6 @@ _MUL = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.int64).astype(_U) | _U(1)
 _STEP = _rng.integers(0, 1 << 63, 64, dtype=np.int64).astype(_U) | _U(1)
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
-
-
 def shingles(text: str, k: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles; of fewer than k words, of the one sequence."""
     words = text.encode().lower().split()  # of bytes: A-Z, and [\x20\x09-\x0D]
@@ -77,6 +74,12 @@ def odd_sketches(low: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(len(low), -1), axis=1).view(np.int64)
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """A parity bitmap of a set: each shingle flips one bit."""
+    odd = np.bincount((h % _U(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def most_flips(threshold: float, margin: float = 0.2) -> int:
     """The population count of the XOR that is expected at a similarity of threshold - margin, about six deviations off."""
     bits, flips = 64 * SKETCH_WORDS, 2 * SAMPLES * (1 - max(0.0, threshold - margin))
@@ -90,10 +93,12 @@ def _signatures(k: int, bands: int):
             if not n:
                 continue
             size, low, name = np.zeros(n, np.int64), np.zeros((n, SAMPLES), _U), []
+            odd = np.zeros((n, PARITY_WORDS), np.int64)
             for i, t in enumerate(batch["text"]):
                 h = shingles(t.as_py() or "", k)
                 size[i] = len(h)
                 low[i] = minhash(h)
+                odd[i] = parity(h)
                 name.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
             key = _U(0)
             banded = low[:, : bands * ROWS].reshape(n, bands, ROWS)
@@ -102,7 +107,8 @@ def _signatures(k: int, bands: int):
             key = mix(key + np.arange(bands, dtype=_U) * _STEP[3]).view(np.int64)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(size), pa.array(name, pa.binary()), lists(key), lists(odd_sketches(low))], names=["doc_id", "n_shingles", "class", "bands", "sketch"]
+                [batch["doc_id"], pa.array(size), pa.array(name, pa.binary()), lists(key), lists(odd_sketches(low)), lists(odd)],
+                names=["doc_id", "n_shingles", "class", "bands", "sketch", "parity"],
             )
 
     return run
@@ -121,17 +127,17 @@ def _sets(k: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, stage: Stage, name: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union, as (u, v)."""
-    ids = stage.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
-    texts = docs.join(small(ids, BROADCAST_IDS), docs["doc_id"] == F.col("id"), "left_semi")
+def _confirmed(pairs: DataFrame, docs: DataFrame, stage: Stage, name: str, n: int, k: int, percent: int) -> DataFrame:
+    """Of the `n` pairs (a, b) those whose full sets meet 100 * intersection >= percent * union, as (u, v)."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.join(F.broadcast(ids) if 2 * n <= BROADCAST_IDS else ids, docs["doc_id"] == F.col("id"), "left_semi")
     sets = stage.write(texts.mapInArrow(_sets(k), "doc_id long, set array<long>"), f"{name}-sets")
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     hit = two.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-    out = stage.write(hit.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-links")
-    stage.drop(f"{name}-sets", f"{name}-ids")
+    out = stage.write(hit.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-links", rows=n)
+    stage.drop(f"{name}-sets")
     return out
 
 
@@ -149,43 +155,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     threshold = percent / 100
     stage = Stage(docs.sparkSession, "near-dedup")
     docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    signed = stage.write(docs.mapInArrow(_signatures(k, bands_for(threshold)), "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<long>"), "signed")
+    signed = stage.write(docs.mapInArrow(_signatures(k, bands_for(threshold)), "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<long>, parity array<long>"), "signed")
     linkable = signed.filter("doc_id is not null and n_shingles > 0")
     # equal sets have equal signatures: the first of a class stands for it
-    classes = linkable.groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x"))
-    classes = stage.write(classes.select("class", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch"), "classes")
+    classes = linkable.groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch", "parity")).alias("x"))
+    classes = stage.write(classes.select("class", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch", "x.parity"), "classes")
     members = classes.select("rep", F.explode("bands").alias("key"))
 
     buckets = members.groupBy("key").agg(
         F.count("*").alias("held"), *[(F.min("rep") if i == 0 else F.max("rep") if i == 1 else F.min_by("rep", F.xxhash64("rep", F.lit(i)))).alias(f"p{i}") for i in range(pivots)]
     )
     buckets = buckets.filter("held > 1").select("key", F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)])).alias("pivot"))
-    buckets = stage.write(buckets, "buckets")
     near = stage.write(members.join(buckets, "key"), "members")
-    facts = classes.select("rep", "n", "sketch")
+    facts = classes.select("rep", "n", "sketch", "parity")
 
     def close(a: str, b: str):
-        flips = sum(F.bit_count(F.col(f"s{a}")[i].bitwiseXOR(F.col(f"s{b}")[i])) for i in range(SKETCH_WORDS))
+        flips = lambda x, words: sum(F.bit_count(F.col(f"{x}{a}")[i].bitwiseXOR(F.col(f"{x}{b}")[i])) for i in range(words))
         sizes = 100 * F.least(f"n{a}", f"n{b}") >= percent * F.greatest(f"n{a}", f"n{b}")
-        return sizes & (flips <= most_flips(threshold))
+        # 100 i >= p u, with sizes n and difference d = u - i: (100 + p) d <= (100 - p) (na + nb)
+        differ = (100 + percent) * flips("q", PARITY_WORDS) <= (100 - percent) * (F.col(f"n{a}") + F.col(f"n{b}"))
+        return sizes & (flips("s", SKETCH_WORDS) <= most_flips(threshold)) & differ
 
-    fact = lambda side: facts.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    fact = lambda side: facts.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"), F.col("parity").alias(f"q{side}"))
     pairs = near.select("rep", F.explode("pivot").alias("p")).filter("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
     pairs = pairs.join(fact("a"), "a").join(fact("b"), "b").filter(close("a", "b")).select("a", "b")
-    links = _confirmed(stage.write(pairs, "pairs"), docs, stage, "first", k, percent)
-    roots = stage.write(components(links, stage, "c1"), "roots-1")
+    pairs = stage.write(pairs, "pairs")
+    links = _confirmed(pairs, docs, stage, "first", pairs.count(), k, percent)
+    roots = components(links, stage, "c1")
 
     placed = near.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    placed = stage.write(placed, "placed")
-    open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rest = stage.write(placed.join(open_, "key").join(facts, "rep"), "open")
-    side = lambda s: rest.select("key", F.col("rep").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    x, y = side("a"), side("b")
-    cross = x.join(y, (x["key"] == y["key"]) & (x["a"] < y["b"]) & (x["ra"] != y["rb"]) & close("a", "b")).select("a", "b").distinct()
-    cross = stage.write(cross.join(stage.spark.read.schema("a long, b long").parquet(f"{stage.root}/pairs"), ["a", "b"], "left_anti"), "cross")
-    if cross.head(1):
-        links = links.unionByName(_confirmed(cross, docs, stage, "second", k, percent))
-        roots = stage.write(components(links, stage, "c2"), "roots-2")
+    # members of a bucket's largest component need no test among themselves: the others are held against all
+    open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("most")).filter("lo < hi").select("key", "most")
+    rest = placed.join(open_, "key").join(facts, "rep")
+    side = lambda t, s: t.select(F.col("key").alias(f"k{s}"), F.col("rep").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"), F.col("parity").alias(f"q{s}"))
+    cross = side(rest.filter("root <> most"), "x").join(side(rest, "y"), (F.col("kx") == F.col("ky")) & (F.col("rx") != F.col("ry")) & close("x", "y"))
+    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    cross = stage.write(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
+    if n := cross.count():
+        links = links.unionByName(_confirmed(cross, docs, stage, "second", n, k, percent))
+        roots = components(links, stage, "c2")
     named = classes.select("class", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("root", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))

@@ -35,9 +35,14 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes `df` as Parquet and returns the table read back. Columns without a type become strings."""
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Writes `df` as Parquet and returns the table read back. Columns without a type become strings.
+
+        Where at most `rows` short rows are known to come, they go to one file for each million.
+        """
         df = df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "void"})
+        if rows is not None:
+            df = df.coalesce(rows // 1_000_000 + 1)
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
