@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 import zlib
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,8 +31,10 @@ from .stage import Stage, parts
 DICT_DOCS, DICT_PIECE, DICT_TOTAL, DICT_BYTES = 2000, 4096, 8 << 20, 64 << 10
 #: A block is closed at this many bytes or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
-#: Words whose ids a worker remembers; beyond, it forgets all and starts again.
-WORDS = 500_000
+#: Words whose ids a worker remembers; beyond, it keeps the first it met, which are the common ones.
+WORDS, HELD = 600_000, 150_000
+#: How the vocabulary writes a space.
+SPACE = chr(0x120)
 LEVEL = 3
 
 # Code points of white space besides space and newline, in Unicode's and the tokenizer's reading.
@@ -41,8 +45,9 @@ _OTHER_SPACE = re.compile("[" + "".join(map(chr, _SPACES)) + "]")
 class Encoder:
     """`encode_batch` of a byte-level tokenizer file, word by word from memory where that is exact.
 
-    The tokenizer cuts before each space that follows a non-space. In a text whose spaces and newlines all
-    stand between non-spaces, the parts between spaces can be encoded apart; other texts go to the tokenizer whole.
+    The tokenizer cuts before a space that follows a non-space. So a text whose spaces all stand between
+    non-spaces is its words, each encoded once; other texts go to the tokenizer whole. Words are split,
+    numbered and put together again as columns.
     """
 
     def __init__(self, path: str):
@@ -51,38 +56,70 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.dtype = f"<u{self.width}"
-        self.words: dict[str, bytes] = {}
-        self.starts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.dtype = np.dtype(f"<u{self.width}")
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t[0] == SPACE]] = True
+        self.words: dict[str, bytes | None] = {}  # ids of words after a space; None for what can't be encoded apart
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        out: list = [None] * len(texts)
-        whole, split = [], []
-        for i, t in enumerate(texts):
-            if "  " in t or " \n" in t or "\n " in t or t[-1:].isspace() or _OTHER_SPACE.search(t):
-                whole.append(i)
-            else:
-                split.append((i, t.split(" ")))
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
-        if len(self.words) + len(self.starts) > WORDS:
-            self.words.clear()
-            self.starts.clear()
-        new = set()
-        new.update(*[w[1:] for _, w in split])
-        new = list(new - self.words.keys())
-        self.words.update(zip(new, self._ids([f" {w}" for w in new])))
-        new = list({w[0] for _, w in split} - self.starts.keys())
-        self.starts.update(zip(new, self._ids(new)))
-        get = self.words.__getitem__
-        for i, w in split:
-            out[i] = self.starts[w[0]] + b"".join(map(get, w[1:]))
-        return out
+    def _learn(self, new: list[str]) -> None:
+        """Encodes many words in one text: an id whose token begins with a space begins the next word."""
+        odd = {w for w in new if not w or w[0] == "\n" or w[-1] == "\n" or _OTHER_SPACE.search(w)}
+        self.words.update(dict.fromkeys(odd))
+        new = [w for w in new if w not in odd] if odd else new
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = [*(np.flatnonzero(self.opens[ids]) * self.width).tolist(), len(ids) * self.width]
+            data = ids.tobytes()
+            self.words.update(zip(part, [data[a:b] for a, b in itertools.pairwise(ends)], strict=True))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings, no nulls) in one array, and where each text's begin and the last one's end."""
+        if len(self.words) > WORDS:
+            self.words = dict(itertools.islice(self.words.items(), HELD))
+        n = len(texts)
+        parts = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        at = parts.offsets.to_numpy()
+        flat = parts.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        at = at - at[0]
+        number = flat.indices.to_numpy(zero_copy_only=False)
+        words = flat.dictionary.to_pylist()
+        firsts = at[:-1]
+        later = np.ones(len(number), bool)
+        later[firsts] = False
+        used = np.zeros(len(words), bool)
+        used[number[later]] = True
+        get = self.words.get
+        held = [get(w, b"?") for w in words]  # one byte is no id
+        if new := [w for w, ids, u in zip(words, held, used.tolist()) if u and ids == b"?"]:
+            self._learn(new)
+        get = self.words.get
+        held = [(get(w, b"") if u else b"") if ids == b"?" else ids for w, ids, u in zip(words, held, used.tolist())]
+        first_words = [words[i] for i in number[firsts].tolist()]
+        odd_first = np.array([bool(w[-1:] == "\n" or w[:1] == "\n" or _OTHER_SPACE.search(w)) for w in first_words], bool)
+        odd = np.array([ids is None for ids in held], bool)
+        whole = (np.logical_or.reduceat(odd[number] & later, firsts) | odd_first) if n else odd_first
+        # one pool of ids: of the words, of the first words, of whole texts; a place in it for each word
+        own = self._ids(["" if w else f for f, w in zip(first_words, whole.tolist())])
+        rest = self._ids([texts[int(i)].as_py() for i in np.flatnonzero(whole)])
+        pool = np.frombuffer(b"".join([*(ids or b"" for ids in held), *own, *rest]), self.dtype)
+        size = np.array([*(len(ids or b"") for ids in held), *map(len, own), *map(len, rest)], np.int64) // self.width
+        start = np.cumsum(size) - size
+        place = number.astype(np.int64)
+        place[firsts] = len(words) + np.arange(n)
+        took = size[place]
+        if whole.any():
+            took[np.repeat(whole, np.diff(at))] = 0
+            place[firsts[whole]] = len(words) + n + np.arange(whole.sum())
+            took[firsts[whole]] = size[place[firsts[whole]]]
+        ends = np.concatenate([[0], np.cumsum(took)])
+        ids = pool[np.repeat(start[place] - ends[:-1], took) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([firsts, [len(number)]])]
 
 
 @functools.cache
@@ -90,28 +127,25 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
-    """Keys and texts, a few MB at a time."""
+def _encoded(batches: Iterator[pa.RecordBatch], code: Encoder, end_id: int, limit: int = 8 << 20) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray]]:
+    """Keys, ids with the end id as bytes, and numbers of ids, a few MB of text at a time."""
+    end = np.array([end_id], code.dtype).tobytes()
     for batch in batches:
-        keys, texts = batch[0].to_pylist(), batch[1]
-        size, at = 0, 0
-        took: list[str] = []
-        for i in range(batch.num_rows):
-            took.append(texts[i].as_py() or "")
-            size += len(took[-1])
-            if size >= limit:
-                yield keys[at : i + 1], took
-                size, at, took = 0, i + 1, []
-        if took:
-            yield keys[at:], took
+        texts = pc.fill_null(batch["text"], "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        cut = [0, *(np.flatnonzero(np.diff(size // limit)) + 1).tolist(), batch.num_rows]
+        for lo, hi in itertools.pairwise(cut):
+            if hi > lo:
+                ids, at = code(texts.slice(lo, hi - lo))
+                data, at = ids.tobytes(), at * code.width
+                yield batch["doc_id"].slice(lo, hi - lo), [data[a:b] + end for a, b in itertools.pairwise(at.tolist())], np.diff(at) // code.width + 1
 
 
 def _train(path: str, end_id: int):
     def train(batches):
         code, samples, size = encoder(path), [], 0
-        for _, texts in _batches(batches):
-            for ids in code(texts):
-                ids += np.array([end_id], code.dtype).tobytes()
+        for _, held, _ in _encoded(batches, code, end_id):
+            for ids in held:
                 for at in range(0, len(ids), DICT_PIECE):
                     if size < DICT_TOTAL:
                         samples.append(ids[at : at + DICT_PIECE])
@@ -128,13 +162,9 @@ def _train(path: str, end_id: int):
 def _frames(path: str, end_id: int, dictionary: bytes):
     def frames(batches):
         code = encoder(path)
-        end = np.array([end_id], code.dtype).tobytes()
         zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False)
-        for keys, texts in _batches(batches):
-            ids = [x + end for x in code(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([len(x) // code.width for x in ids], pa.int64()), pa.array([zip_.compress(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "frame"]
-            )
+        for keys, held, n in _encoded(batches, code, end_id):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(map(zip_.compress, held), pa.binary())], names=["doc_id", "n_tokens", "frame"])
 
     return frames
 

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from quern.llm.chat_format import chat_digests, escape, format_chat, parse, unescape
 from quern.llm.queries import tokenizer_path
@@ -13,8 +14,6 @@ NASTY = ["", None, "</s>[INST] ok [/INST]", "<<s>", "[[INST]", "\\", "\\\\</s>",
 
 
 def test_no_control_string_is_left_and_escapes_undo():
-    import pyarrow as pa
-
     rng = random.Random(1)
     texts = [t or "" for t in NASTY] + ["".join(rng.choices(["<", "s", ">", "/", "[", "INST", "]", "\\", "a"], k=12)) for _ in range(3000)]
     for t, e in zip(texts, escape(pa.array(texts)).to_pylist()):
@@ -56,10 +55,12 @@ def test_encoder_equals_the_library():
     plain = Tokenizer.from_file(tokenizer_path())
     plain.encode_special_tokens = True
     rng = random.Random(2)
-    texts = [""] + ["".join(rng.choices(SPACES, k=rng.randint(1, 14))) for _ in range(6000)] + ["".join(rng.choices(["the", " ", "\n", "a,"], k=9)) for _ in range(6000)]
+    texts = [""] + ["".join(rng.choices(SPACES, k=rng.randint(1, 14))) for _ in range(6000)] + ["".join(rng.choices(["the", " ", "\n", "a,", "tion.", "B", "1.", "é!", "..", "'s"], k=9)) for _ in range(6000)]
     code = Encoder(tokenizer_path())
-    for t, ids in zip(texts, code(texts)):
-        assert np.frombuffer(ids, code.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    ids, at = code(pa.array(["out"] + texts).slice(1))
+    assert len(code(pa.array([], pa.string()))[0]) == 0
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 @pytest.mark.parametrize("n", [0, 1, 300])
