@@ -175,4 +175,4 @@ def sse_delta(line: Column) -> Column:
 
 def strip_fold_terms_sql(column: str) -> str:
     """DuckDB's list of a text's terms."""
-    return rf"list_filter(regexp_extract_all(strip_accents(lower({column})), '{TERM}'), t -> length(t) BETWEEN {TERM_LENGTH[0]} AND {TERM_LENGTH[1]})"
+    return rf"list_filter(regexp_extract_all(strip_accents(lower({column})), '{TERM}'), lambda t: length(t) BETWEEN {TERM_LENGTH[0]} AND {TERM_LENGTH[1]})"

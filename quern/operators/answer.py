@@ -66,7 +66,7 @@ def answers(asked: DataFrame, complete: Callable[[Column, Column], Column]) -> D
 
 def first_sentence(system: Column, prompt: Column) -> Column:
     """The stand-in for a model: the beginning of passage 1, cited."""
-    body = F.regexp_extract(prompt, r"(?s)^\[1\] \([^\n]*\)\n(.{0,200})", 1)
+    body = F.regexp_extract(prompt, r"^\[1\] \([^\n]*\)\n([^\n]{0,200})", 1)
     return F.concat(F.regexp_replace(body, r"\s+", " "), F.lit(" [1]"))
 
 

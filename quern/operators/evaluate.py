@@ -15,7 +15,7 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
     A set of cases is small by nature: its bad lines are found with one pass before anything uses it.
     """
     lines = spark.read.text(path, wholetext=False).withColumn("n", F.monotonically_increasing_id()).filter(F.trim("value") != "")
-    parsed = lines.withColumn("case", F.from_json("value", CASES.add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    parsed = lines.withColumn("case", F.from_json("value", T.StructType([*CASES.fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     lacks = F.col("case").isNull() | F.col("case._bad").isNotNull() | F.col("case.id").isNull() | F.col("case.question").isNull() | F.col("case.expected_sources").isNull()
     bad = parsed.filter(lacks).orderBy("n").select("n", "value").first()
     if bad:

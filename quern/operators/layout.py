@@ -31,7 +31,8 @@ def gutters(lines: DataFrame, widths: DataFrame) -> DataFrame:
     """
     page = Window.partitionBy("doc_key", "page")
     step = F.greatest(F.col("width") / GUTTER_STEPS, F.lit(0.5))
-    grid = widths.withColumn("step", step).select("doc_key", "page", "width", "step", F.posexplode(F.sequence(F.col("width") * GUTTER_FROM, F.col("width") * GUTTER_TO, F.col("step"))).alias("i", "at"))
+    grid = widths.withColumn("step", step).select("doc_key", "page", "width", "step", F.explode(F.sequence(F.lit(0), F.floor(F.col("width") * (GUTTER_TO - GUTTER_FROM) / F.col("step")).cast("int"))).alias("i"))
+    grid = grid.withColumn("at", F.col("width") * GUTTER_FROM + F.col("i") * F.col("step"))
     on = F.exists("words", lambda w: (w["x"] <= F.col("at")) & (w["x_end"] >= F.col("at")))
     right_of = F.exists("words", lambda w: w["x"] > F.col("at"))
     left_of = F.exists("words", lambda w: w["x_end"] < F.col("at"))
