@@ -16,6 +16,7 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import classify
 from .stage import shared_dir
+from .suffix_dedup import suffix_dedup
 from .suffix_tree import score_texts
 from .token_files import read_tokens, write_tokens
 
@@ -78,6 +79,10 @@ def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_format": op7_chat_format,
     "op8_token_files": op8_token_files,
     "op9_hilbert_sharding": op9_hilbert_sharding,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLES = {
