@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,8 +32,8 @@ from .stage import Stage, parts
 DICT_DOCS, DICT_PIECE, DICT_TOTAL, DICT_BYTES = 2000, 4096, 8 << 20, 64 << 10
 #: A block is closed at this many bytes or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
-#: Words whose ids a worker remembers; beyond, it keeps the first it met, which are the common ones.
-WORDS, HELD = 600_000, 150_000
+#: Words whose ids a worker remembers; beyond, it forgets all and starts again.
+WORDS = 3_000_000
 #: How the vocabulary writes a space.
 SPACE = chr(0x120)
 LEVEL = 3
@@ -42,6 +43,35 @@ _SPACES = [9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, _SPACES)) + "]")
 
 
+class Words:
+    """Ids of words by the words' 64-bit hashes, in sorted columns: some 20 bytes a word."""
+
+    def __init__(self, dtype: np.dtype):
+        self.hash, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.pool, self.used = np.empty(1 << 16, dtype), 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places, and whether a word is known."""
+        if not len(self.hash):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return at, self.hash[at] == hashes
+
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """New words and their ids, one word's after the other's; size -1 and no ids for what can't be encoded apart."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(len(ids) + self.used // 2 + (1 << 16), self.pool.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        took = np.maximum(sizes, 0)
+        order = np.argsort(hashes)
+        both = np.concatenate([self.hash, hashes[order]])
+        merged = np.argsort(both, kind="stable")
+        self.hash = both[merged]
+        self.start = np.concatenate([self.start, (self.used + np.cumsum(took) - took)[order]])[merged]
+        self.size = np.concatenate([self.size, sizes[order].astype(np.int32)])[merged]
+        self.used += len(ids)
+
+
 class Encoder:
     """`encode_batch` of a byte-level tokenizer file, word by word from memory where that is exact.
 
@@ -61,27 +91,37 @@ class Encoder:
         self.dtype = np.dtype(f"<u{self.width}")
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t[0] == SPACE]] = True
-        self.words: dict[str, bytes | None] = {}  # ids of words after a space; None for what can't be encoded apart
+        self.words = Words(self.dtype)  # after a space
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], hashes: np.ndarray) -> None:
         """Encodes many words in one text: an id whose token begins with a space begins the next word."""
-        odd = {w for w in new if not w or w[0] == "\n" or w[-1] == "\n" or _OTHER_SPACE.search(w)}
-        self.words.update(dict.fromkeys(odd))
-        new = [w for w in new if w not in odd] if odd else new
+        sizes, ids = [], []
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = [*(np.flatnonzero(self.opens[ids]) * self.width).tolist(), len(ids) * self.width]
-            data = ids.tobytes()
-            self.words.update(zip(part, [data[a:b] for a, b in itertools.pairwise(ends)], strict=True))
+            text = " ".join(part)
+            odd = None
+            if not text or "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _OTHER_SPACE.search(text):
+                odd = np.array([is_odd(w) for w in part])
+                text = " ".join(w for w, o in zip(part, odd.tolist()) if not o)
+            own = self._ids([f" {text}"])[0] if text else np.empty(0, self.dtype)
+            size = np.diff(np.append(np.flatnonzero(self.opens[own]), len(own)))
+            if odd is not None:
+                whole = np.full(len(part), -1)
+                whole[~odd] = size
+                size = whole
+            if len(size) != len(part):
+                raise AssertionError("a token that begins with a space stands inside a word")
+            sizes.append(size)
+            ids.append(own)
+        self.words.add(hashes, np.concatenate(sizes), np.concatenate(ids))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (strings, no nulls) in one array, and where each text's begin and the last one's end."""
-        if len(self.words) > WORDS:
-            self.words = dict(itertools.islice(self.words.items(), HELD))
+        if len(self.words.hash) > WORDS:
+            self.words = Words(self.dtype)
         n = len(texts)
         parts = pc.split_pattern(texts.cast(pa.large_string()), " ")
         at = parts.offsets.to_numpy()
@@ -94,34 +134,39 @@ class Encoder:
         later[firsts] = False
         used = np.zeros(len(words), bool)
         used[number[later]] = True
-        get = self.words.get
-        held = [get(w, b"?") for w in words]  # one byte is no id
-        if new := [w for w, ids, u in zip(words, held, used.tolist()) if u and ids == b"?"]:
-            self._learn(new)
-        get = self.words.get
-        held = [(get(w, b"") if u else b"") if ids == b"?" else ids for w, ids, u in zip(words, held, used.tolist())]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        place, known = self.words.find(hashes)
+        new = np.flatnonzero(used & ~known)
+        if len(new):
+            self._learn([words[i] for i in new.tolist()], hashes[new])
+            place, known = self.words.find(hashes)
+        # of the words their places in the pool; first words of texts and whole texts behind it
+        size = np.where(known, self.words.size[place], 0) if len(self.words.hash) else np.zeros(len(words), np.int32)
+        start = np.where(known, self.words.start[place], 0) if len(self.words.hash) else np.zeros(len(words), np.int64)
         first_words = [words[i] for i in number[firsts].tolist()]
-        odd_first = np.array([bool(w[-1:] == "\n" or w[:1] == "\n" or _OTHER_SPACE.search(w)) for w in first_words], bool)
-        odd = np.array([ids is None for ids in held], bool)
-        whole = (np.logical_or.reduceat(odd[number] & later, firsts) | odd_first) if n else odd_first
-        # one pool of ids: of the words, of the first words, of whole texts; a place in it for each word
+        whole = np.array([bool(w) and is_odd(w) for w in first_words], bool)
+        if n:
+            whole |= np.logical_or.reduceat((size < 0)[number] & later, firsts)
         own = self._ids(["" if w else f for f, w in zip(first_words, whole.tolist())])
         rest = self._ids([texts[int(i)].as_py() for i in np.flatnonzero(whole)])
-        pool = np.frombuffer(b"".join([*(ids or b"" for ids in held), *own, *rest]), self.dtype)
-        size = np.array([*(len(ids or b"") for ids in held), *map(len, own), *map(len, rest)], np.int64) // self.width
-        start = np.cumsum(size) - size
-        place = number.astype(np.int64)
-        place[firsts] = len(words) + np.arange(n)
-        took = size[place]
+        more = np.array([len(x) for x in [*own, *rest]], np.int64)
+        behind = self.words.used + np.cumsum(more) - more
+        pool = np.concatenate([self.words.pool[: self.words.used], *own, *rest])
+        took, begin = np.maximum(size, 0).astype(np.int64)[number], start[number]
+        took[firsts], begin[firsts] = more[:n], behind[:n]
         if whole.any():
             took[np.repeat(whole, np.diff(at))] = 0
-            place[firsts[whole]] = len(words) + n + np.arange(whole.sum())
-            took[firsts[whole]] = size[place[firsts[whole]]]
+            took[firsts[whole]], begin[firsts[whole]] = more[n:], behind[n:]
         ends = np.concatenate([[0], np.cumsum(took)])
-        ids = pool[np.repeat(start[place] - ends[:-1], took) + np.arange(ends[-1])]
+        ids = pool[np.repeat(begin - ends[:-1], took) + np.arange(ends[-1])]
         return ids, ends[np.concatenate([firsts, [len(number)]])]
 
 
+def is_odd(word: str) -> bool:
+    """Whether a word can't be encoded apart from what stands around it."""
+    return not word or word[0] == "\n" or word[-1] == "\n" or bool(_OTHER_SPACE.search(word))
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
