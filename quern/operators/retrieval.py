@@ -9,6 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ RRF_K = 60
 MODES = ("dense", "sparse", "hybrid", "hybrid+rerank")
 #: Query rows (terms or vectors) up to this many are broadcast.
 BROADCAST_ROWS = 200_000
+#: Query vectors that go to every task, and vectors that meet them at once.
+VECTOR_QUERIES, VECTORS = 10_000, 512
 
 
 @dataclass(frozen=True)
@@ -104,11 +109,53 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, limit: int, key: str = "id", places: int = 6) -> DataFrame:
     """(query_id, key, score, dense_rank): exact cosine; `queries` (query_id, q) against every row of `vectors` (key, embedding).
 
-    A stated query set against all rows. Queries whose dimension differs from a vector's do not meet it.
+    A stated query set against all rows: up to VECTOR_QUERIES queries go to every task as one matrix, and a
+    batch of vectors passes on its own best `limit` a query only, so what is shuffled does not grow with the
+    product. More queries are joined with the vectors in the JVM. Queries whose dimension differs from a
+    vector's do not meet it; a zero or null vector has a score of 0 or none.
     """
-    q = F.broadcast(queries.select("query_id", "q"))
-    pairs = vectors.select(key, "embedding").join(q, F.size("embedding") == F.size("q"))
-    return ranked(pairs.select("query_id", key, F.round(cosine(F.col("q"), F.col("embedding")), places).alias("score")), "score", key, "dense_rank", limit)
+    held = queries.filter("q is not null").select("query_id", "q")
+    rows = held.limit(VECTOR_QUERIES + 1).collect()
+    if len(rows) > VECTOR_QUERIES:
+        pairs = vectors.select(key, "embedding").join(held, F.size("embedding") == F.size("q"))
+        best = pairs.select("query_id", key, F.round(cosine(F.col("q"), F.col("embedding")), places).alias("score"))
+    else:
+        kinds = f"query_id {dict(queries.dtypes)['query_id']}, `{key}` {dict(vectors.dtypes)[key]}, score double"
+        best = vectors.select(key, "embedding").mapInArrow(_best_of_batches([(r["query_id"], r["q"]) for r in rows], limit, places, held.schema["query_id"].dataType), kinds)
+    return ranked(best, "score", key, "dense_rank", limit)
+
+
+def _best_of_batches(queries: list[tuple], limit: int, places: int, kind):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    by_size: dict[int, list[tuple]] = {}
+    for i, q in queries:
+        by_size.setdefault(len(q), []).append((i, q))
+    matrices = {d: ([i for i, _ in own], _unit(np.array([q for _, q in own], np.float64).reshape(len(own), d))) for d, own in by_size.items()}
+    arrow = to_arrow_type(kind)
+
+    def run(batches):
+        for batch in batches:
+            key, vector = batch.schema.names
+            lists = batch[vector]
+            size = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+            for d, (ids, unit) in matrices.items():
+                own = np.flatnonzero(size == d)
+                for at in range(0, len(own), VECTORS):
+                    part = own[at : at + VECTORS]
+                    v = _unit(lists.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), d))
+                    score = np.round(unit @ v.T, places) + 0.0
+                    # all that tie with the last of the best stay: ties are broken by key later
+                    cut = np.partition(score, -limit, axis=1)[:, -limit] if len(part) > limit else np.full(len(ids), -np.inf)
+                    q, j = np.nonzero(score >= cut[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, arrow).take(pa.array(q)), batch[key].take(pa.array(part[j])), pa.array(score[q, j])], names=["query_id", key, "score"])
+
+    return run
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, limit: int, key: str = "id", k: int = RRF_K) -> DataFrame:

@@ -362,6 +362,45 @@ def html_sections(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, schema)
 
 
+def parsed(spark, table_, name, key, text, extension):
+    """Rows of a table as files: parsed documents."""
+    from quern.sources.corpus import load
+
+    content = table_.select(F.concat(F.lit(f"{name}/"), F.col(key).cast("string"), F.lit(extension)).alias("source"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("content"))
+    return load(content)
+
+
+@query()
+def page_chunks(spark, sf_dir):
+    """The raw pages through loader and chunker."""
+    from quern.operators.chunk import chunk_sections
+
+    made = chunk_sections(parsed(spark, table(spark, sf_dir, "pages"), "pages", "page_id", "html", ".html").filter("error is null"))
+    return made.select("id", "source", "index", "text", "token_count", F.array_join("heading_path", " › ").alias("path"), "kind")
+
+
+@query()
+def text_sections(spark, sf_dir):
+    """The documents through the plain-text loader."""
+    made = parsed(spark, docs(spark, sf_dir), "documents", "doc_id", "text", ".txt")
+    return made.select("source", "title", F.posexplode_outer("sections").alias("pos", "s"), "error").select("source", "title", "pos", "s.text", F.array_join("s.heading_path", " › ").alias("path"), "error")
+
+
+@query()
+def hybrid_search(spark, sf_dir):
+    """All questions in the full cascade: hashed vectors and BM25, fused, re-scored by a shared-word count, selected."""
+    from quern.functions.vectors import hashed
+
+    chunks, embed = as_chunks(spark, sf_dir), hashed(64)
+    vectors = chunks.select("id", embed("text").alias("embedding"))
+
+    def rerank(hits):
+        a, b = X.terms(F.col("query")), X.terms(F.col("text"))
+        return hits.withColumn("score", F.round(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_distinct(a)), F.lit(1)), 6))
+
+    return retrieval.search(questions(spark, sf_dir), chunks, "hybrid+rerank", SearchConfig(min_score=COVERAGE), vectors, embed, rerank)
+
+
 ITEMS = "doc_key string, page int, y double, x double, x_end double, text string, kind string, size double, bold boolean"
 # A two-page document in miniature: running heads, a large heading, a bold numbered one, body text.
 ITEM_ROWS = [("d", p, y, 60.0, 300.0, t, "prose", s, b) for p in (1, 2, 3) for y, t, s, b in ((20.0, f"Manual page {p}", 8.0, False), (100.0, f"Part {p}", 18.0, False), (150.0, "A. Detail", 11.0, True), (200.0, "Body text " * 20, 11.0, False))]

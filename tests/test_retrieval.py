@@ -70,6 +70,18 @@ def test_budget_and_first_hit(spark):
         SearchConfig(top_k=0)
 
 
+def test_nearest_ways_agree(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    v = spark.createDataFrame([(i, [rng.choice([-1.0, 0.0, 0.5]) for _ in range(4)]) for i in range(900)] + [(900, None), (901, [1.0])], "id long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(f"q{i}", [rng.choice([-1.0, 1.0, 0.25]) for _ in range(4)]) for i in range(9)] + [("none", None)], "query_id string, q array<float>")
+    fast = sorted(map(tuple, nearest(q, v, 7).collect()))
+    monkeypatch.setattr(retrieval, "VECTOR_QUERIES", 3)
+    assert fast == sorted(map(tuple, nearest(q, v, 7).collect())) and len(fast) == 63
+    assert nearest(q.limit(0), v, 7).count() == 0 and nearest(q, v.limit(0), 7).count() == 0
+
+
 def test_nearest_fuse_coverage(spark, chunks, asked):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("z", [0.0, 0.0]), ("odd", [1.0])], "id string, embedding array<float>")
     q = spark.createDataFrame([(1, [2.0, 0.0])], "query_id int, q array<float>")
