@@ -45,10 +45,16 @@ def few(df: DataFrame, rows: int | None) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
-def postings(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, term, tf, len): a row for each distinct term of a text; `len` is the number of its terms."""
+def postings(chunks: DataFrame, key: str = "id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, len): a row for each distinct term of a text; `len` is the number of its terms.
+
+    `only` (term) keeps the terms in it, before anything is shuffled where it is marked for broadcast.
+    """
     t = chunks.select(F.col(key), terms(F.col(text)).alias("_t"))
-    return t.select(key, F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    rows = t.select(key, F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    if only is not None:
+        rows = rows.join(only, "term", "left_semi")
+    return rows.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -87,10 +93,11 @@ def bm25(queries: DataFrame, chunks: DataFrame, limit: int, post: DataFrame | No
     Weights are made at query time from raw counts and the corpus' mean length, so they do not depend on
     the order in which texts were indexed. A query without terms has no rows.
     """
-    post = postings(chunks, key) if post is None else post
     wanted = few(query_terms(queries), n_queries and n_queries * 64)
+    own = few(wanted.select("term").distinct(), n_queries and n_queries * 64)
+    post = postings(chunks, key, only=own) if post is None else post.join(own, "term", "left_semi")
     hit = post.join(wanted, "term")
-    df = document_frequency(post.join(few(wanted.select("term").distinct(), n_queries and n_queries * 64), "term", "left_semi"))
+    df = document_frequency(post)
     stats = corpus_stats(chunks)
     weight = saturation(F.col("tf"), F.col("len"), F.col("avg_len")) * idf(F.col("n"), F.col("df"))
     scored = hit.join(df, "term").join(F.broadcast(stats)).groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))

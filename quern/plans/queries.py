@@ -147,7 +147,7 @@ def filtered_search(spark, sf_dir):
 def covered(spark, sf_dir):
     d, q = docs(spark, sf_dir), questions(spark, sf_dir)
     n = q.count()
-    post = retrieval.postings(d, "doc_id")
+    post = retrieval.postings(d, "doc_id", only=retrieval.few(retrieval.query_terms(q).select("term").distinct(), n * 64))
     hits = retrieval.bm25(q, d, CONFIG.candidates, post=post, key="doc_id", n_queries=n)
     return retrieval.coverage(q, hits, post, d.count(), key="doc_id", n_queries=n)
 
@@ -157,10 +157,10 @@ def rerank_coverage(spark, sf_dir):
     return covered(spark, sf_dir).select("query_id", "doc_id", "coverage", "sparse_rank")
 
 
-def answered(spark, sf_dir):
+def answered(spark, sf_dir, hits=None):
     """Re-scored hits, selected: from coverage 0.8 up, within 2500 tokens, six at most."""
     w = Window.partitionBy("query_id").orderBy(F.desc("coverage"), "sparse_rank")
-    hits = covered(spark, sf_dir).withColumn("rank", F.row_number().over(w)).drop("score").withColumnRenamed("coverage", "score")
+    hits = (covered(spark, sf_dir) if hits is None else hits).withColumn("rank", F.row_number().over(w)).drop("score").withColumnRenamed("coverage", "score")
     hits = hits.join(docs(spark, sf_dir).select("doc_id", X.estimate_tokens(F.col("text")).alias("token_count")), "doc_id")
     return retrieval.select_passages(hits, SearchConfig(min_score=COVERAGE), threshold=True)
 
@@ -200,10 +200,9 @@ MEASURED = """places AS (SELECT mode, query_id, rank, doc_id FROM found), outcom
 @query(f"WITH {SELECTED}, found AS (SELECT 'sparse' AS mode, query_id, r AS rank, doc_id FROM sparse WHERE r <= 6 UNION ALL SELECT 'sparse+rerank', query_id, rank, doc_id FROM selected), {GOLD}, {MEASURED}")
 def eval_by_mode(spark, sf_dir):
     """The flagship: all questions in both modes, measured against the documents that hold them, in one plan."""
-    q = questions(spark, sf_dir)
-    sparse = retrieval.bm25(q, docs(spark, sf_dir), CONFIG.top_k, key="doc_id", n_queries=q.count())
-    found = sparse.select("query_id", F.lit("sparse").alias("mode"), F.col("sparse_rank").alias("rank"), "doc_id")
-    found = found.unionByName(answered(spark, sf_dir).select("query_id", F.lit("sparse+rerank").alias("mode"), "rank", "doc_id"))
+    hits = covered(spark, sf_dir)
+    found = hits.filter(F.col("sparse_rank") <= CONFIG.top_k).select("query_id", F.lit("sparse").alias("mode"), F.col("sparse_rank").alias("rank"), "doc_id")
+    found = found.unionByName(answered(spark, sf_dir, hits).select("query_id", F.lit("sparse+rerank").alias("mode"), "rank", "doc_id"))
     found = found.select(F.col("query_id").alias("case_id"), "mode", "rank", F.col("doc_id").cast("string").alias("source"))
     cases = gold(spark, sf_dir).withColumn("mode", F.explode(F.array(F.lit("sparse"), F.lit("sparse+rerank")))).withColumnRenamed("query_id", "case_id")
     return evaluate.report(evaluate.outcomes(cases, found))
