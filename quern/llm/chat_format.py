@@ -19,9 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .stage import Stage, parts
+from .stage import Stage, parts, tidy
 
 # The template's control strings.
 OPEN, CLOSE, END = b"<s>[INST]", b"[/INST]", b"</s>"
@@ -109,7 +108,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select(turns["conv_id"].cast("long"), turns["turn"], turns["role"].cast("string"), turns["text"].cast("string"))
     rows = rows.repartitionByRange(parts(turns.sparkSession), "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_format, FORMATTED)
+    return rows.select("conv_id", "role", "text").mapInArrow(tidy(_format), FORMATTED)
 
 
 def parse(data: bytes) -> list[tuple[bytes, bytes]]:
@@ -158,7 +157,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """
     rows = formatted.repartition(parts(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "pid", "seq")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return rows.select("conv_id", "data", "loss").mapInArrow(_digest, schema)
+    return rows.select("conv_id", "data", "loss").mapInArrow(tidy(_digest), schema)
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:

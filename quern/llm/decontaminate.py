@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import Stage
+from .stage import Stage, tidy
 
 #: Edits that are allowed, as a share of the item's length.
 RATE = 0.05
@@ -153,7 +153,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
     """
     stage = Stage(docs.sparkSession, "decontaminate")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    found = [stage.write(docs.mapInArrow(_matches(block, rate), HITS), f"hits-{i}") for i, block in enumerate(_blocks(items))]
+    found = [stage.write(docs.mapInArrow(tidy(_matches(block, rate)), HITS), f"hits-{i}") for i, block in enumerate(_blocks(items))]
     if not found:
         return docs.sparkSession.createDataFrame([], HITS)
     out = found[0]
@@ -172,5 +172,5 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array([next(match(t.as_py()), None) is None for t in batch["text"]], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .stage import Stage, small
+from .stage import Stage, small, tidy
 from .tally import mix
 
 ROWS = 4  # samples in a band
@@ -131,7 +131,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, stage: Stage, name: str, n: in
     """Of the `n` pairs (a, b) those whose full sets meet 100 * intersection >= percent * union, as (u, v)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.join(F.broadcast(ids) if 2 * n <= BROADCAST_IDS else ids, docs["doc_id"] == F.col("id"), "left_semi")
-    sets = stage.write(texts.mapInArrow(_sets(k), "doc_id long, set array<long>"), f"{name}-sets")
+    sets = stage.write(texts.mapInArrow(tidy(_sets(k)), "doc_id long, set array<long>"), f"{name}-sets")
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     threshold = percent / 100
     stage = Stage(docs.sparkSession, "near-dedup")
     docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    signed = stage.write(docs.mapInArrow(_signatures(k, bands_for(threshold)), "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<long>, parity array<long>"), "signed")
+    signed = stage.write(docs.mapInArrow(tidy(_signatures(k, bands_for(threshold))), "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<long>, parity array<long>"), "signed")
     linkable = signed.filter("doc_id is not null and n_shingles > 0")
     # equal sets have equal signatures: the first of a class stands for it
     classes = linkable.groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch", "parity")).alias("x"))
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         F.count("*").alias("held"), *[(F.min("rep") if i == 0 else F.max("rep") if i == 1 else F.min_by("rep", F.xxhash64("rep", F.lit(i)))).alias(f"p{i}") for i in range(pivots)]
     )
     buckets = buckets.filter("held > 1").select("key", F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)])).alias("pivot"))
-    near = stage.write(members.join(buckets, "key"), "members")
+    near = stage.hold(members.join(buckets, "key"))
     facts = classes.select("rep", "n", "sketch", "parity")
 
     def close(a: str, b: str):
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     fact = lambda side: facts.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"), F.col("parity").alias(f"q{side}"))
     pairs = near.select("rep", F.explode("pivot").alias("p")).filter("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
     pairs = pairs.join(fact("a"), "a").join(fact("b"), "b").filter(close("a", "b")).select("a", "b")
-    pairs = stage.write(pairs, "pairs")
+    pairs = stage.hold(pairs)
     links = _confirmed(pairs, docs, stage, "first", pairs.count(), k, percent)
     roots = components(links, stage, "c1")
 
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     side = lambda t, s: t.select(F.col("key").alias(f"k{s}"), F.col("rep").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"), F.col("parity").alias(f"q{s}"))
     cross = side(rest.filter("root <> most"), "x").join(side(rest, "y"), (F.col("kx") == F.col("ky")) & (F.col("rx") != F.col("ry")) & close("x", "y"))
     cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    cross = stage.write(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
+    cross = stage.hold(cross.join(pairs, ["a", "b"], "left_anti"))
     if n := cross.count():
         links = links.unionByName(_confirmed(cross, docs, stage, "second", n, k, percent))
         roots = components(links, stage, "c2")

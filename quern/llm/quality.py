@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stage import Stage
+from .stage import Stage, tidy
 
 # Classes of bytes.
 _PUNCTUATION = b".,;:!?'\"()-"
@@ -127,7 +127,7 @@ def add_statistics(df: DataFrame, text: str = "text") -> DataFrame:
                 made = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * D, pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), made], names=[*names, "statistics"])
 
-    return keep.withColumn(text, keep[text].cast("string")).mapInArrow(run, schema)
+    return keep.withColumn(text, keep[text].cast("string")).mapInArrow(tidy(run), schema)
 
 
 def train(rows: DataFrame, **shrink: float) -> Model:
@@ -150,7 +150,7 @@ def train(rows: DataFrame, **shrink: float) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["at", "sum"])
 
     known = rows.filter(rows["quality"].isin(0, 1)).select("statistics", rows["quality"].cast("int").alias("quality"))
-    got = known.mapInArrow(moments, "at int, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).collect()
+    got = known.mapInArrow(tidy(moments), "at int, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).collect()
     flat = np.zeros(2 * (1 + D + D * D))
     for r in got:
         flat[r["at"]] = r["sum"]
@@ -167,7 +167,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
             x = batch["statistics"].flatten().to_numpy(zero_copy_only=False).reshape(-1, D)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(model.score(x))], names=[*names, "score"])
 
-    return rows.select(*names, "statistics").mapInArrow(run, schema)
+    return rows.select(*names, "statistics").mapInArrow(tidy(run), schema)
 
 
 def one_label(labels: DataFrame) -> DataFrame:
@@ -178,13 +178,13 @@ def one_label(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, learnt from labelled rows that aren't held out.
 
-    Texts are read once; their statistics are written. Nulls: a null text is empty, a null id is scored but
+    Texts are read once; their statistics are held. Nulls: a null text is empty, a null id is scored but
     never learnt from. Empty texts get the score of an empty vector of statistics. Repeated rows are scored each.
     Without two rows of each label all scores are 0.5. Extra columns are not read. Empty tables give empty tables.
     """
     stage = Stage(docs.sparkSession, "quality")
     slim = docs.select(docs["doc_id"], docs["text"])
-    rows = stage.write(add_statistics(slim), "statistics")
+    rows = stage.hold(add_statistics(slim))
     known = rows.filter(~held_out(F.col("doc_id"))).join(one_label(labels), "doc_id")
     out = score(rows, train(known))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -193,9 +193,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose score reaches the threshold; nulls as in `classify`."""
     stage = Stage(docs.sparkSession, "quality")
-    slim = stage.write(add_statistics(docs.select("doc_id", "text")), "statistics")
+    slim = stage.hold(add_statistics(docs.select("doc_id", "text")))
     model = train(slim.filter(~held_out(F.col("doc_id"))).join(one_label(labels), "doc_id"))
-    stage.drop("statistics")
+    slim.unpersist()
 
     def run(batches):
         for batch in batches:
@@ -203,4 +203,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
                 good = np.concatenate([model.score(statistics(t)) for _, t in _texts(batch, "text")]) >= threshold
                 yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -7,13 +7,20 @@ steps before the table. Files are written and read by Spark alone, so any file s
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch, in place of Spark's 10,000 rows of any length. The setting holds for the session.
+BATCH_BYTES = 4 << 20
+
 _local: list[str] = []
 
 
@@ -33,19 +40,29 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        # what a Python worker is handed at once, in bytes: rows may be long
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """Writes `df` as Parquet and returns the table read back. Columns without a type become strings.
 
-        Where at most `rows` short rows are known to come, they go to one file for each million.
+        Where at most `rows` short rows are known to come, they go to one file for each million, behind a
+        shuffle of their own: what makes them stays spread.
         """
         df = df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "void"})
         if rows is not None:
-            df = df.coalesce(rows // 1_000_000 + 1)
+            df = df.repartition(rows // 1_000_000 + 1)
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """`df` kept on the executors' disks, for what is read again soon.
+
+        A lost executor's part is computed again from the written tables that `df` comes from.
+        """
+        return df.persist(StorageLevel.DISK_ONLY)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""
         jvm = self.spark._jvm
@@ -54,6 +71,18 @@ class Stage:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(run: Callable) -> Callable:
+    """A function of Arrow batches that, at its end, gives what the task has freed back to the system: workers outlive their tasks."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+            trim(0)
+
+    return tidied
+
+
 def parts(spark: SparkSession) -> int:
     """The number of partitions that the cluster is set to shuffle into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

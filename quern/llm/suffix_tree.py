@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import Stage
+from .stage import Stage, tidy
 from .tally import tally
 
 #: Shares of all training tokens: of a word to be a symbol, of a word to be counted without a join, of a next symbol to be held in a state.
@@ -274,7 +274,7 @@ def score_texts(docs: DataFrame, depth: int = 2) -> DataFrame:
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     tree, vocabulary = learn(docs.filter(~held_out(F.col("doc_id"))), stage, depth)
     w = tree.words
-    scored = stage.write(docs.mapInArrow(_score(spark.sparkContext.broadcast(tree)), SCORED), "scored")
+    scored = stage.write(docs.mapInArrow(tidy(_score(spark.sparkContext.broadcast(tree))), SCORED), "scored")
     # words that are not held here: counted once a text, joined with their counts
     rest = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("n"))
     uncommon = vocabulary.filter(F.col("count") < max(1.0, WORD * w.tokens))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .stage import parts
+from .stage import parts, tidy
 
 _U = np.uint64
 #: Keys that a task holds before it counts and sends them.
@@ -85,4 +85,4 @@ def tally(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[
         if keys:
             yield finish(*summed(np.concatenate(keys), np.concatenate(counts)))
 
-    return df.mapInArrow(count, "bucket int, keys binary, counts binary").repartition(n, "bucket").mapInArrow(add, schema)
+    return df.mapInArrow(tidy(count), "bucket int, keys binary, counts binary").repartition(n, "bucket").mapInArrow(tidy(add), schema)

@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .stage import Stage, parts
+from .stage import Stage, parts, tidy
 
 #: Documents that the dictionary is trained on (those with the smallest hashes of their ids), bytes of a sample, bytes of all, bytes of the dictionary.
 DICT_DOCS, DICT_PIECE, DICT_TOTAL, DICT_BYTES = 2000, 4096, 8 << 20, 64 << 10
 #: A block is closed at this many bytes or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 #: Words whose ids a worker remembers; beyond, it forgets all and starts again.
-WORDS = 3_000_000
+WORDS = 1_500_000
 #: How the vocabulary writes a space.
 SPACE = chr(0x120)
 LEVEL = 3
@@ -57,11 +57,15 @@ class Words:
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
         return at, self.hash[at] == hashes
 
-    def add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        """New words and their ids, one word's after the other's; size -1 and no ids for what can't be encoded apart."""
+    def behind(self, ids: np.ndarray) -> None:
+        """Puts ids behind those of the words; what is put next takes their place."""
         if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.empty(len(ids) + self.used // 2 + (1 << 16), self.pool.dtype)])
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(len(ids) + self.used // 4 + (1 << 16), self.pool.dtype)])
         self.pool[self.used : self.used + len(ids)] = ids
+
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """New words and their ids, one word's after the other's; size -1 and no ids for what can't be encoded apart."""
+        self.behind(ids)
         took = np.maximum(sizes, 0)
         order = np.argsort(hashes)
         both = np.concatenate([self.hash, hashes[order]])
@@ -151,15 +155,17 @@ class Encoder:
         rest = self._ids([texts[int(i)].as_py() for i in np.flatnonzero(whole)])
         more = np.array([len(x) for x in [*own, *rest]], np.int64)
         behind = self.words.used + np.cumsum(more) - more
-        pool = np.concatenate([self.words.pool[: self.words.used], *own, *rest])
+        self.words.behind(np.concatenate([np.empty(0, self.dtype), *own, *rest]))
         took, begin = np.maximum(size, 0).astype(np.int64)[number], start[number]
         took[firsts], begin[firsts] = more[:n], behind[:n]
         if whole.any():
             took[np.repeat(whole, np.diff(at))] = 0
             took[firsts[whole]], begin[firsts[whole]] = more[n:], behind[n:]
         ends = np.concatenate([[0], np.cumsum(took)])
-        ids = pool[np.repeat(begin - ends[:-1], took) + np.arange(ends[-1])]
-        return ids, ends[np.concatenate([firsts, [len(number)]])]
+        kind = np.int32 if max(len(self.words.pool), ends[-1]) < 1 << 31 else np.int64
+        index = np.repeat((begin - ends[:-1]).astype(kind), took)
+        index += np.arange(len(index), dtype=kind)
+        return self.words.pool[index], ends[np.concatenate([firsts, [len(number)]])]
 
 
 def is_odd(word: str) -> bool:
@@ -172,7 +178,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], code: Encoder, end_id: int, limit: int = 8 << 20) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray]]:
+def _encoded(batches: Iterator[pa.RecordBatch], code: Encoder, end_id: int, limit: int = 2 << 20) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray]]:
     """Keys, ids with the end id as bytes, and numbers of ids, a few MB of text at a time."""
     end = np.array([end_id], code.dtype).tobytes()
     for batch in batches:
@@ -256,14 +262,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ke
     spark = docs.sparkSession
     stage = Stage(spark, "tokens")
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(DICT_DOCS).coalesce(1)
-    dictionary = sample.mapInArrow(_train(tokenizer, end_id), "dict_hash string, data binary")
+    # about twice as many as are taken reach the one task that trains, however many tasks read the table
+    share = min(1.0, 2 * DICT_DOCS / max(1, rows.count()))
+    draw = F.xxhash64("doc_id")
+    sample = rows.filter(draw.cast("double") <= (2 * share - 1) * 2.0**63).orderBy(draw, "doc_id", "text").limit(DICT_DOCS).coalesce(1)
+    dictionary = sample.mapInArrow(tidy(_train(tokenizer, end_id)), "dict_hash string, data binary")
     dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
     held = spark.read.parquet(f"{path}/dictionary").first()
     data, name = (bytes(held["data"]), held["dict_hash"]) if held else (b"\0" * 8, "")
-    frames = stage.write(rows.mapInArrow(_frames(tokenizer, end_id, data), "doc_id long, n_tokens long, frame binary"), "frames")
+    frames = stage.write(rows.mapInArrow(tidy(_frames(tokenizer, end_id, data)), "doc_id long, n_tokens long, frame binary"), "frames")
     order = frames.repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "frame")
-    order.mapInArrow(_blocks(encoder(tokenizer).width, name), BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
+    order.mapInArrow(tidy(_blocks(encoder(tokenizer).width, name)), BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
     stage.drop("frames")
 
 
@@ -324,6 +333,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     names=["pid", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
-    rows = blocks.mapInArrow(decode, "pid int, seq long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = blocks.mapInArrow(tidy(decode), "pid int, seq long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     out = rows.join(index, (rows["pid"] == index["p"]) & (rows["seq"] == index["s"]))
     return out.select("doc_id", (F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
