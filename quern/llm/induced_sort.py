@@ -222,12 +222,13 @@ def suffix_order(data: np.ndarray, ends: np.ndarray, depth: int, memory: int = M
     if not len(data):
         return
     n, m = len(data), len(ends)
-    piece = np.repeat(np.arange(m), np.diff(ends, prepend=0))
-    place = np.arange(n) + piece  # of a byte in the text with ends
-    text = np.zeros(n + m, np.uint16)
-    text[place] = data.astype(np.uint16) + 1
-    del piece
     kind = np.int32 if n + m < 1 << 31 else np.int64
+    place = np.repeat(np.arange(m, dtype=kind), np.diff(ends, prepend=0))
+    place += np.arange(n, dtype=kind)  # of a byte in the text with ends
+    text = np.zeros(n + m, np.uint16)
+    text[place] = data
+    text[place] += 1
+    del place
     # S: smaller than what follows; of a run, as its last one
     up = np.empty(len(text), bool)
     up[-1] = True

@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .induced_sort import suffix_order
-from .stage import Stage, parts
+from .stage import Stage, parts, tidy
 from .tally import mix, pack, unpack
 
 _U = np.uint64
 ANCHOR = 20  # bytes of the strings whose hashes are compared
 ANCHOR_BITS = 48
-#: Bytes of text that are worked on at once, pairs that are sent at once, bytes of pieces that are sent or sorted at once.
-CHUNK, PAIRS, PIECES = 1 << 20, 2_000_000, 8 << 20
+#: Bytes of text that are worked on at once, pairs and bytes of pieces that are sent at once, bytes of pieces that are sorted at once.
+CHUNK, PAIRS, PIECES, SORTED = 1 << 20, 2_000_000, 8 << 20, 4 << 20
 NONE = (1 << 63) - 1  # a null doc_id: after all others
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -181,7 +181,10 @@ PIECE = "bucket int, keys binary, docs binary, tags binary, starts binary, count
 def _take(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of slices, one after the other."""
     ends = np.cumsum(size)
-    return data[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    kind = np.int32 if len(data) < 1 << 31 and len(ends) and ends[-1] < 1 << 31 else np.int64
+    index = np.repeat((start - (ends - size)).astype(kind), size)
+    index += np.arange(len(index), dtype=kind)
+    return data[index]
 
 
 def _split_side(batches: Iterator[pa.RecordBatch]) -> tuple[list[dict], Iterator[pa.RecordBatch]]:
@@ -288,7 +291,8 @@ def _spans(length: int, buckets: int):
                 body.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.uint8))
         if not key:
             return
-        key, doc, tag, start, count, named, data = (np.concatenate(x) for x in (key, doc, tag, start, count, named, body))
+        key, doc, tag, start, count, named = (np.concatenate(x) for x in (key, doc, tag, start, count, named))
+        data = np.concatenate(body)
         body.clear()
         n = count + length - 1
         at = np.cumsum(n) - n
@@ -311,7 +315,7 @@ def _spans(length: int, buckets: int):
         pieces = np.flatnonzero(~alone)
         bytes_ = np.cumsum(n[first[pieces]])
         cut = np.flatnonzero(np.concatenate([[True], key[first[pieces]][1:] != key[first[pieces]][:-1]])) if len(pieces) else pieces
-        part = bytes_[cut] // PIECES
+        part = bytes_[cut] // SORTED
         edges = [*cut[np.concatenate([[True], part[1:] != part[:-1]])].tolist(), len(pieces)] if len(cut) else []
         where = np.full(len(first), -1, np.int64)
         for lo, hi in zip(edges, edges[1:]):
@@ -412,9 +416,9 @@ def suffix_dedup(df: DataFrame, length: int = 50, key: str = "doc_id", text: str
         right = docs.select(_slot_column(F.col("key"), buckets).alias("bucket"), F.lit(1).alias("side"), none("binary").alias("docs"), none("binary").alias("keys"), "key", "doc_id", "text")
         return left.unionByName(right).repartition(n, "bucket").sortWithinPartitions("side").drop("bucket")
 
-    pairs = docs.select("key", "text").mapInArrow(_anchors(length, buckets), PAIR)
-    shared = stage.write(pairs.repartition(n, "bucket").mapInArrow(_shared(buckets), PAIR), "shared")
-    pieces = beside(shared).mapInArrow(_pieces(length, buckets), PIECE)
-    spans = stage.write(pieces.repartition(n, "bucket").mapInArrow(_spans(length, buckets), PAIR), "spans")
+    pairs = docs.select("key", "text").mapInArrow(tidy(_anchors(length, buckets)), PAIR)
+    shared = stage.write(pairs.repartition(n, "bucket").mapInArrow(tidy(_shared(buckets)), PAIR), "shared")
+    pieces = beside(shared).mapInArrow(tidy(_pieces(length, buckets)), PIECE)
+    spans = stage.write(pieces.repartition(n, "bucket").mapInArrow(tidy(_spans(length, buckets)), PAIR), "spans")
     stage.drop("shared")
-    return beside(spans).mapInArrow(_cut(with_text), KEPT)
+    return beside(spans).mapInArrow(tidy(_cut(with_text)), KEPT)

@@ -65,8 +65,8 @@ def made_up(n, seed, letters, passages=8):
 
 @pytest.mark.parametrize("letters, length", [("abcdefghij é", 50), ("ab", 50), ("a", 50), ("abc", 7)])
 def test_suffix_dedup_against_all_strings(spark, monkeypatch, letters, length):
-    for seed, limits in ((1, (1 << 20, 2_000_000, 8 << 20)), (2, (500, 300, 600))):
-        for name, value in zip(("CHUNK", "PAIRS", "PIECES"), limits):
+    for seed, limits in ((1, (1 << 20, 2_000_000, 8 << 20, 4 << 20)), (2, (500, 300, 600, 400))):
+        for name, value in zip(("CHUNK", "PAIRS", "PIECES", "SORTED"), limits):
             monkeypatch.setattr(module, name, value)
         rows = made_up(120, seed, letters)
         got = suffix_dedup(spark.createDataFrame(rows, DOCS).repartition(3), length).drop("kept").collect()
