@@ -33,7 +33,7 @@ DICT_DOCS, DICT_PIECE, DICT_TOTAL, DICT_BYTES = 2000, 4096, 8 << 20, 64 << 10
 #: A block is closed at this many bytes or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 #: Words whose ids a worker remembers; beyond, it forgets all and starts again.
-WORDS = 1_500_000
+WORDS = 3_000_000
 #: How the vocabulary writes a space.
 SPACE = chr(0x120)
 LEVEL = 3
@@ -178,7 +178,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], code: Encoder, end_id: int, limit: int = 2 << 20) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray]]:
+def _encoded(batches: Iterator[pa.RecordBatch], code: Encoder, end_id: int, limit: int = 4 << 20) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray]]:
     """Keys, ids with the end id as bytes, and numbers of ids, a few MB of text at a time."""
     end = np.array([end_id], code.dtype).tobytes()
     for batch in batches:
