@@ -1,14 +1,16 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols are the common words, one class for all rarer words, and the end of a text. A context of one or two
-symbols is a state of the tree if its next-symbol distribution differs from that of its suffix by more than
-chance: count * divergence must pass a multiple of log N. A symbol is scored in the longest state that is a
-suffix of what stands before it. Distributions are smoothed by absolute discounts that go to the suffix's
-distribution, down to single symbols; a rare word's share of its class is its add-one share.
-
-All counts are over all training texts. What is broadcast has a proven bound: words and next symbols are
-held singly from a share of all tokens upwards, and no more than 1 / share things can have such a share.
-Counts of the other words are joined.
+Symbols are all words and the end of a text. A context of up to `depth` symbols is a state of the tree if its
+next-symbol distribution differs from that of its suffix by more than chance: count * divergence must pass a
+multiple of log N. A symbol is scored in the longest state that is a suffix of what stands before it.
+Distributions are smoothed by absolute discounts that go to the suffix's distribution, down to the add-one
+share of single words. The minimums are counts, the same at every size.
+
+All counts are over all training texts. Words, contexts and next symbols are rows of written tables, keyed by
+64-bit hashes, that grow with the input. A text's score is a sum over its grams: a word brings its own share
+and what its state gives its suffix, a held gram the difference to that. So each gram is looked up alone, where its
+bucket's values are. Only the values of grams with a share of all tokens are broadcast, as a cache that changes no result; no
+more than 1 / share grams can have such a share.
 """
 
 from __future__ import annotations
@@ -23,15 +25,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import Stage, tidy
+from . import tally as packed
+from .stage import Stage, parts, tidy
 from .tally import tally
 
-#: Shares of all training tokens: of a word to be a symbol, of a word to be counted without a join, of a next symbol to be held in a state.
-SYMBOL, WORD, ENTRY = 1e-5, 5e-7, 5e-7
-#: A context needs this many times the count of an entry to be tested, and count * divergence over PASS * log N.
-CONTEXT, PASS = 4, 2.0
+#: Shares of all training tokens from which values are broadcast as well: of a word, of a gram of two, of a longer one.
+WORD, ENTRY, SYMBOL = 5e-7, 5e-7, 1e-5
+#: Times that a next symbol must be seen to be held in a state, and a context to be tested.
+HELD, CONTEXT = 2, 8
+#: count * divergence of a state is over PASS * log N.
+PASS = 2.0
 DISCOUNT = 0.75
-BITS = 21
+#: Bits of a symbol in the keys of a collected tree, and by which a context's hash is turned before the next word's is added.
+BITS, TURN = 21, 21
 _U = np.uint64
 END = 0xE0D0E0D0E0D0E0D1  # the end's place among word hashes
 
@@ -66,9 +72,153 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+def _after(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context and its next word."""
+    return ((context << _U(TURN)) | (context >> _U(64 - TURN))) ^ word
+
+
+def _after_sql(context: Column, word: Column) -> Column:
+    return F.shiftleft(context, TURN).bitwiseOR(F.shiftrightunsigned(context, 64 - TURN)).bitwiseXOR(word)
+
+
+def _grams(words: np.ndarray, count: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the d words before each place, with the end before a text's first, of those and the word; and where that many are in the text."""
+    start = np.repeat(np.cumsum(count) - count, count)
+    place = np.arange(len(words)) - start
+    context = np.zeros(len(words), _U)
+    for back in range(d, 0, -1):
+        before = np.concatenate([np.full(min(back, len(words)), END, _U), words[: max(0, len(words) - back)]])
+        context = _after(context, np.where(place >= back, before, _U(END)))
+    return context, _after(context, words), place >= d - 1
+
+
+def _rows_of(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "count"])
+
+
+def count_words(train: DataFrame) -> DataFrame:
+    def keys(batches):
+        for _, words, _ in _tokens(batches):
+            yield words
+
+    return tally(train, keys, _rows_of, "key long, count long")
+
+
+def _by_bucket(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket that keeps what is sorted, and each bucket's name and bounds."""
+    order = np.argsort(of, kind="stable")
+    names, at = np.unique(of[order], return_index=True)
+    return order, list(zip(names.tolist(), at.tolist(), [*at[1:].tolist(), len(of)]))
+
+
+def count_grams(train: DataFrame, d: int) -> DataFrame:
+    """(key, context, next, count) of all grams of d words and the next one that are seen HELD times."""
+    n = parts(train.sparkSession)
+    buckets = 4 * n
+
+    def send(keys, contexts):
+        key, first, count = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+        context = np.concatenate(contexts)[first]
+        order, bounds = _by_bucket((packed.mix(key) % _U(buckets)).astype(np.int32))
+        key, context, count = key[order], context[order], count[order].astype(np.uint64)
+        for at in range(0, len(bounds), 64):
+            own = bounds[at : at + 64]
+            columns = [[b for b, _, _ in own], [packed.pack(np.diff(key[lo:hi], prepend=_U(0))) for _, lo, hi in own], [packed.pack(context[lo:hi]) for _, lo, hi in own], [packed.pack(count[lo:hi]) for _, lo, hi in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "keys", "contexts", "counts"])
+
+    def count(batches):
+        keys, contexts, size = [], [], 0
+        for _, words, lengths in _tokens(batches):
+            context, key, full = _grams(words, lengths, d)
+            keys.append(key[full])
+            contexts.append(context[full])
+            size += len(keys[-1])
+            if size >= packed.HELD:
+                yield from send(keys, contexts)
+                keys, contexts, size = [], [], 0
+        if size:
+            yield from send(keys, contexts)
+
+    def add(batches):
+        keys, contexts, counts = [], [], []
+        for batch in batches:
+            keys += [np.cumsum(packed.unpack(x, np.uint64), dtype=np.uint64) for x in batch["keys"].to_pylist()]
+            contexts += [packed.unpack(x, np.uint64) for x in batch["contexts"].to_pylist()]
+            counts += [packed.unpack(x, np.uint64) for x in batch["counts"].to_pylist()]
+        if not keys:
+            return
+        key, context, count = np.concatenate(keys), np.concatenate(contexts), np.concatenate(counts)
+        order = np.argsort(key)
+        key, context, count = key[order], context[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.add.reduceat(count, first)
+        first, total = first[total >= HELD], total[total >= HELD]
+        key, context = key[first], context[first]
+        columns = [key, context, _after(context, np.zeros(len(key), _U)) ^ key, total]
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["key", "context", "next", "count"])
+
+    schema = "key long, context long, next long, count long"
+    return train.mapInArrow(tidy(count), "bucket int, keys binary, contexts binary, counts binary").repartition(n, "bucket").mapInArrow(tidy(add), schema)
+
+
+@dataclass
+class Tables:
+    """The whole tree as written tables: `grams[d]` (key, context, next, suffix, count, p, share, back of its context), `states[d]` (context, back) from depth 1."""
+
+    vocabulary: DataFrame
+    tokens: int
+    distinct: int
+    grams: list[DataFrame]
+    states: list[DataFrame]
+
+
+def grow(grams: DataFrame, shorter: DataFrame, need: float, stage: Stage, d: int) -> tuple[DataFrame, DataFrame]:
+    """The states of a depth, and its grams with their probabilities.
+
+    What a context's unheld symbols have in all is compared as one symbol, which can only make the
+    divergence less: no context stays by chance of what is not held.
+    """
+    above = shorter.select(F.col("key").alias("context"), F.col("count").alias("total"), F.col("suffix").alias("_s"))
+    below = shorter.select(F.col("key").alias("suffix"), F.col("p").alias("parent"))
+    known = grams.join(above, "context").withColumn("suffix", _after_sql(F.col("_s"), F.col("next"))).drop("_s").join(below, "suffix")
+    known = stage.write(known, f"known-{d}")
+    share = F.col("count") / F.col("total")
+    tested = known.filter(F.col("total") >= CONTEXT).groupBy("context").agg(
+        F.first("total").alias("total"),
+        F.sum(share).alias("held"),
+        F.sum("parent").alias("held_parent"),
+        F.sum(share * F.log(share / F.col("parent"))).alias("divergence"),
+        (1 - F.sum((F.col("count") - DISCOUNT) / F.col("total"))).alias("back"),
+    )
+    rest, rest_parent = F.greatest(1 - F.col("held"), F.lit(0.0)), F.greatest(1 - F.col("held_parent"), F.lit(1e-12))
+    divergence = F.col("divergence") + F.when(rest > 0, rest * F.log(F.greatest(rest, F.lit(1e-300)) / rest_parent)).otherwise(0.0)
+    states = stage.write(tested.filter(F.col("total") * divergence > need).select("context", "back"), f"states-{d}")
+    discounted = F.when(F.col("back").isNotNull(), (F.col("count") - DISCOUNT) / F.col("total"))
+    p = F.coalesce(discounted + F.col("back") * F.col("parent"), F.col("parent"))
+    out = known.join(states, "context", "left").select("key", "context", "next", "suffix", "count", "parent", p.alias("p"), discounted.alias("share"), "back")
+    out = stage.write(out, f"tree-{d}")
+    stage.drop(f"known-{d}", f"grams-{d}")
+    return states, out
+
+
+def learn_tables(train: DataFrame, stage: Stage, depth: int = 2) -> Tables:
+    vocabulary = stage.write(count_words(train), "words")
+    whole = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    n, distinct = int(whole[0]), int(whole[1])
+    # one unit of count for what the training texts never had, as in the base
+    words = vocabulary.select("key", F.lit(0).cast("long").alias("suffix"), "count", ((F.col("count") + 1) / F.lit(float(n + distinct + 1))).alias("p"))
+    tables = Tables(vocabulary, n, distinct, [words], [])
+    for d in range(1, depth + 1) if n else ():
+        grams = stage.write(count_grams(train, d), f"grams-{d}")
+        states, grown = grow(grams, tables.grams[-1], PASS * float(np.log(n)), stage, d)
+        tables.states.append(states)
+        tables.grams.append(grown)
+    return tables
+
+
 @dataclass
 class Words:
-    """Words with a share of at least WORD: hash, count, symbol (0: the class of rare words)."""
+    """Training words: hash, count, symbol (0: a word never seen)."""
 
     hash: np.ndarray
     count: np.ndarray
@@ -76,26 +226,8 @@ class Words:
     end: int
     tokens: int
     distinct: int
-    rare_tokens: int
-    rare_distinct: int
-
-    def symbols(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols, counts, and whether the count is known here."""
-        at, there = _find(self.hash, words)
-        if not len(self.hash):
-            return np.where(words == _U(END), self.end, 0).astype(_U), np.zeros(len(words)), there
-        return np.where(there, self.symbol[at], 0).astype(_U), np.where(there, self.count[at], 0), there
-
-
-def _grams(symbols: np.ndarray, count: np.ndarray, end: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of the n - 1 symbols before each place, with the end before a text's first; and where that many are in the text."""
-    start = np.repeat(np.cumsum(count) - count, count)
-    place = np.arange(len(symbols)) - start
-    key = np.zeros(len(symbols), _U)
-    for back in range(n - 1, 0, -1):
-        before = np.concatenate([np.full(min(back, len(symbols)), end, _U), symbols[: max(0, len(symbols) - back)]])
-        key = (key << _U(BITS)) | np.where(place >= back, before, _U(end))
-    return key, place >= n - 2
+    rare_tokens: int = 0
+    rare_distinct: int = 0
 
 
 @dataclass
@@ -114,152 +246,177 @@ class Tree:
     unigram: np.ndarray
     depths: list[States]
 
-    def probability(self, symbols: np.ndarray, count: np.ndarray) -> np.ndarray:
-        p = self.unigram[symbols.astype(np.int64)]
-        for depth, states in enumerate(self.depths, 1):
-            context, whole = _grams(symbols, count, self.words.end, depth + 1)
-            at, there = _find(states.context, context)
-            there &= whole
-            if not there.any():
-                continue
-            own, held = _find(states.entry, (context[there] << _U(BITS)) | symbols[there])
-            p[there] = np.where(held, states.share[own] if len(states.share) else 0.0, 0.0) + states.back[at[there]] * p[there]
-        return p
-
-    def parent(self, keys: np.ndarray, depth: int) -> np.ndarray:
-        """The probability of the last symbol of keys of `depth` + 1 symbols in their states' suffixes."""
-        mask = _U((1 << BITS) - 1)
-        p = self.unigram[(keys & mask).astype(np.int64)]
-        for d, states in enumerate(self.depths[: depth - 1], 1):
-            key = keys & _U((1 << (BITS * (d + 1))) - 1)
-            at, there = _find(states.context, key >> _U(BITS))
-            own, held = _find(states.entry, key)
-            p = np.where(there, np.where(held, states.share[own] if len(states.share) else 0.0, 0.0) + (states.back[at] if len(states.back) else 0.0) * p, p)
-        return p
-
 
-def grow(tree: Tree, depth: int, context: np.ndarray, total: np.ndarray, entry: np.ndarray, count: np.ndarray, need: float) -> States:
-    """States among candidate contexts (sorted) with their totals, from entries (sorted) and their counts.
+def learn(train: DataFrame, stage: Stage, depth: int = 2) -> tuple[Tree, DataFrame]:
+    """The whole tree collected, to look into that of a small corpus, and the written table of all word counts (key, count).
 
-    What a context's unheld symbols have in all is compared as one symbol, which can only make the
-    divergence less: no context stays by chance of what is not held.
+    Keys are of symbols in BITS each. Scoring does not collect it.
     """
-    at, there = _find(context, entry >> _U(BITS))
-    entry, count, at = entry[there], count[there].astype(float), at[there]
-    parent = tree.parent(entry, depth)
-    share = count / total[at]
-    held, held_parent = np.bincount(at, share, len(context)), np.bincount(at, parent, len(context))
-    rest, rest_parent = np.maximum(1 - held, 0), np.maximum(1 - held_parent, 1e-12)
-    divergence = np.bincount(at, share * np.log(share / parent), len(context)) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / rest_parent), 0)
-    stays = total * divergence > need
-    kept = stays[at]
-    discounted = (count - DISCOUNT) / total[at]
-    back = 1 - np.bincount(at, discounted, len(context))
-    return States(context[stays], back[stays], entry[kept], discounted[kept])
-
+    if (depth + 1) * BITS > 64:
+        raise ValueError("the keys of a collected tree hold two words of context")
+    tables = learn_tables(train, stage, depth)
+    rows = sorted((r["key"] % (1 << 64), r["count"]) for r in tables.vocabulary.collect())
+    if len(rows) + 1 >= 1 << BITS:
+        raise ValueError("too many words for the keys of a collected tree")
+    symbol = {h: i for i, (h, _) in enumerate(rows, 1)}
+    hashes, counts = np.array([h for h, _ in rows], _U), np.array([c for _, c in rows], np.int64)
+    words = Words(hashes, counts, np.arange(1, len(rows) + 1), symbol.get(END, 1), tables.tokens, tables.distinct)
+    unigram = np.concatenate([[1.0], counts + 1.0]) if rows else np.ones(2)
+    tree, number = Tree(words, unigram / unigram.sum(), []), {h - (1 << 64) if h >> 63 else h: s for h, s in symbol.items()}
+    contexts = number
+    for states, grams in zip(tables.states, tables.grams[1:]):
+        own = grams.collect()
+        longer = {r["key"]: contexts[r["context"]] << BITS | number[r["next"]] for r in own}
+        held = [(contexts[r["context"]], r["back"]) for r in states.collect()]
+        entry = sorted((longer[r["key"]], r["share"]) for r in own if r["share"] is not None)
+        held.sort()
+        tree.depths.append(States(np.array([c for c, _ in held], _U), np.array([b for _, b in held]), np.array([k for k, _ in entry], _U), np.array([x for _, x in entry])))
+        contexts = longer
+    return tree, tables.vocabulary
+
+
+def values(tables: Tables) -> list[DataFrame]:
+    """By depth (key, count, tree, base): what each gram adds to a text's score and base, without the common divisor of words.
+
+    A word adds the log of its count and, as a context, of what its state gives its suffix; a gram held in a
+    state takes the way by the suffix back and adds its own log. A gram not here adds nothing.
+    """
+    out = []
+    for d, grams in enumerate(tables.grams):
+        if d == 0:
+            own = grams.select("key", "count", F.log10(F.col("count") + 1.0).alias("tree"), F.log10(F.col("count") + 1.0).alias("base"))
+        else:
+            own = grams.select("key", "count", F.when(F.col("back").isNotNull(), F.log10("p") - F.log10("back") - F.log10("parent")).otherwise(0.0).alias("tree"), F.lit(0.0).alias("base"))
+        if d < len(tables.states):
+            states = tables.states[d].select(F.col("context").alias("key"), F.log10("back").alias("_b"))
+            own = own.join(states, "key", "left").select("key", "count", (F.col("tree") + F.coalesce("_b", F.lit(0.0))).alias("tree"), "base")
+        out.append(own.filter((F.col("tree") != 0) | (F.col("base") != 0)))
+    return out
 
-def _rows_of(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "count"])
 
+#: Of the rows of one exchange: a text's own sums (row is not null), values of a bucket, or places of a bucket's grams.
+PARCEL = "bucket int, depth int, row long, doc_id long, n_tokens long, n_known long, base double, tree double, keys binary, first binary, second binary"
+_PARCEL = pa.schema([("bucket", pa.int32()), ("depth", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("tree", pa.float64()), ("keys", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
 
-def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of a table with a proven bound."""
-    got = df.toArrow()
-    keys, counts = (got[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "count"))
-    keys = keys.view(_U)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
 
+def _parcel(size: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _PARCEL], schema=_PARCEL)
 
-def count_words(train: DataFrame) -> DataFrame:
-    def keys(batches):
-        for _, words, _ in _tokens(batches):
-            yield words
 
-    return tally(train, keys, _rows_of, "key long, count long")
+def _ask(shared, buckets: int, depth: int):
+    """Sums of what the cache has, and requests for the rest: keys and rows by bucket."""
 
+    def send(d, keys, rows):
+        key, row = np.concatenate(keys), np.concatenate(rows)
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
+        order, bounds = _by_bucket((packed.mix(key) % _U(buckets)).astype(np.int32))
+        key, row = key[order], row[order]
+        for at in range(0, len(bounds), 64):
+            own = bounds[at : at + 64]
+            yield _parcel(len(own), bucket=[b for b, _, _ in own], depth=[d] * len(own), keys=[packed.pack(np.diff(key[lo:hi], prepend=_U(0))) for _, lo, hi in own], first=[packed.pack(row[lo:hi]) for _, lo, hi in own])
 
-def learn(train: DataFrame, stage: Stage, depth: int = 2) -> tuple[Tree, DataFrame]:
-    """The tree, and the written table of all word counts (key, count)."""
-    spark = train.sparkSession
-    vocabulary = stage.write(count_words(train), "words")
-    whole = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    n, distinct = int(whole[0]), int(whole[1])
-    hashes, counts = _collect(vocabulary.filter(F.col("count") >= max(1.0, WORD * n)))
-    common = (counts >= max(2.0, SYMBOL * n)) | (hashes == _U(END))
-    symbol = np.zeros(len(hashes), np.int64)
-    symbol[common] = 1 + np.arange(common.sum())
-    end = int(symbol[hashes == _U(END)][0]) if (hashes == _U(END)).any() else 1
-    held = int(counts[common].sum())
-    words = Words(hashes, counts, symbol, end, n, distinct, n - held, distinct - int(common.sum()))
-    # one unit of count for what the training texts never had, as in the base
-    unigram = np.concatenate([[words.rare_tokens + words.rare_distinct + 1], counts[common] + 1.0]) if n else np.ones(2)
-    tree = Tree(words, unigram / unigram.sum(), [])
-    if not n:
-        return tree, vocabulary
-    least = max(2.0, ENTRY * n)
-    context, total = np.empty(0, _U), np.empty(0)
-    for d in range(1, depth + 1):
-        if d == 1:
-            context, total = np.arange(len(unigram), dtype=_U), np.concatenate([[words.rare_tokens], counts[common]]).astype(float)
-            ripe = total >= CONTEXT * least
-            context, total = context[ripe], total[ripe]
-        shared = spark.sparkContext.broadcast((words, context))
-
-        def keys(batches, d=d, shared=shared):
-            known, wanted = shared.value
-            for _, tokens, count in _tokens(batches):
-                symbols = known.symbols(tokens)[0]
-                before, full = _grams(symbols, count, known.end, d + 1)
-                full &= _find(wanted, before)[1]
-                yield (before[full] << _U(BITS)) | symbols[full]
-
-        grams = stage.write(tally(train, keys, _rows_of, "key long, count long").filter(F.col("count") >= least), f"grams-{d}")
-        entry, count = _collect(grams)
-        stage.drop(f"grams-{d}")
-        if d == 1:  # before the first symbol stands the end
-            total = np.maximum(total, np.bincount(_find(context, entry >> _U(BITS))[0], count, len(context)) if len(context) else total)
-        tree.depths.append(grow(tree, d, context, total, entry, count, PASS * np.log(n)))
-        ripe = count >= CONTEXT * least
-        context, total = entry[ripe], count[ripe].astype(float)
-    return tree, vocabulary
-
-
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, tree double, rare long, rest array<long>"
-
-
-def _score(shared):
     def run(batches):
-        tree = shared.value
-        words, row = tree.words, TaskContext.get().partitionId() << 33
-        for batch, tokens, count in _tokens(batches):
-            symbols, c, there = words.symbols(tokens)
-            start = np.cumsum(count) - count
+        row = TaskContext.get().partitionId() << 33
+        keys, rows, size = [[] for _ in range(depth + 1)], [[] for _ in range(depth + 1)], 0
+        for batch, words, count in _tokens(batches):
+            n, start = len(count), np.cumsum(count) - count
+            of = np.repeat(np.arange(row, row + n), count).astype(np.uint64)
+            base, model, known = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words), np.int64)
+            for d in range(depth + 1):
+                key, full = (words, np.ones(len(words), bool)) if d == 0 else _grams(words, count, d)[1:]
+                held, tree_value, base_value = shared.value[d]
+                at, there = _find(held, key)
+                there &= full
+                model[there] += tree_value[at[there]]
+                if d == 0:
+                    base[there] = base_value[at[there]]
+                    known += there
+                ask = full & ~there
+                keys[d].append(key[ask])
+                rows[d].append(of[ask])
+                size += int(ask.sum())
             add = lambda x: np.add.reduceat(x, start)
-            known_log = np.where(there, np.log10(c + 1.0), 0)
-            rare = symbols == 0
-            model = np.log10(tree.probability(symbols, count)) + np.where(rare, known_log, 0)
-            rest = tokens[~there]
-            ends = np.concatenate([[0], np.cumsum(add((~there).astype(np.int64)))])
-            n = len(count)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + n)),
-                    batch["doc_id"],
-                    pa.array(count.astype(np.int64)),
-                    pa.array(add(there.astype(np.int64))),
-                    pa.array(add(known_log)),
-                    pa.array(add(model)),
-                    pa.array(add(rare.astype(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest.view(np.int64))),
-                ],
-                names=["row", "doc_id", "n_tokens", "n_known", "base", "tree", "rare", "rest"],
-            )
+            yield _parcel(n, bucket=(np.arange(row, row + n) % buckets), row=np.arange(row, row + n), doc_id=batch["doc_id"], n_tokens=count.astype(np.int64), n_known=add(known), base=add(base), tree=add(model))
             row += n
+            if size >= packed.HELD:
+                for d in range(depth + 1):
+                    yield from send(d, keys[d], rows[d])
+                keys, rows, size = [[] for _ in range(depth + 1)], [[] for _ in range(depth + 1)], 0
+        if size:
+            for d in range(depth + 1):
+                yield from send(d, keys[d], rows[d])
+
+    return run
+
+
+def _offer(d: int, buckets: int):
+    """Values of grams, packed by bucket."""
+
+    def run(batches):
+        for batch in batches:
+            key = batch["key"].to_numpy().view(_U)
+            tree, base = (batch[c].to_numpy().view(_U) for c in ("tree", "base"))
+            order = np.argsort(key)
+            key, tree, base = key[order], tree[order], base[order]
+            order, bounds = _by_bucket((packed.mix(key) % _U(buckets)).astype(np.int32))
+            key, tree, base = key[order], tree[order], base[order]
+            if bounds:
+                yield _parcel(
+                    len(bounds), bucket=[b for b, _, _ in bounds], depth=[d] * len(bounds), keys=[packed.pack(np.diff(key[lo:hi], prepend=_U(0))) for _, lo, hi in bounds],
+                    first=[packed.pack(tree[lo:hi]) for _, lo, hi in bounds], second=[packed.pack(base[lo:hi]) for _, lo, hi in bounds],
+                )
 
     return run
 
 
+SUMS = "row long, doc_id long, n_tokens long, n_known long, base double, tree double"
+
+
+def _answer(depth: int):
+    """Meets requests with values, one sum for each row that asked, and passes the texts' own sums on."""
+
+    def run(batches):
+        values, asked = [[] for _ in range(depth + 1)], [[] for _ in range(depth + 1)]
+        for batch in batches:
+            texts = batch.filter(batch["row"].is_valid())
+            if texts.num_rows:
+                yield texts.select(["row", "doc_id", "n_tokens", "n_known", "base", "tree"])
+            for b in batch.filter(batch["row"].is_null()).to_pylist():
+                key = np.cumsum(packed.unpack(b["keys"], np.uint64), dtype=np.uint64)
+                if b["second"] is None:
+                    asked[b["depth"]].append((key, packed.unpack(b["first"], np.uint64)))
+                else:
+                    values[b["depth"]].append((key, packed.unpack(b["first"], np.uint64).view(np.float64), packed.unpack(b["second"], np.uint64).view(np.float64)))
+        found_rows, found = [], []
+        for d in range(depth + 1):
+            if not values[d]:
+                continue
+            key, tree, base = (np.concatenate(x) for x in zip(*values[d]))
+            order = np.argsort(key)
+            key, tree, base = key[order], tree[order], base[order]
+            for wanted, rows in asked[d]:
+                at, there = _find(key, wanted)
+                at, rows = at[there], rows[there]
+                found_rows.append(rows)
+                found.append(np.stack([np.full(len(rows), float(d == 0)), base[at], tree[at]]))
+        if found_rows:
+            row, inverse = np.unique(np.concatenate(found_rows), return_inverse=True)
+            known, base, tree = (np.bincount(inverse, x, len(row)) for x in np.concatenate(found, axis=1))
+            none = pa.nulls(len(row), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int64)), none, none, pa.array(known.astype(np.int64)), pa.array(base), pa.array(tree)], names=["row", "doc_id", "n_tokens", "n_known", "base", "tree"])
+
+    return run
+
+
+def _cached(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys and the values of a table with a proven bound."""
+    got = df.select("key", "tree", "base").toArrow()
+    key, tree, base = (got[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "tree", "base"))
+    order = np.argsort(key.view(_U))
+    return key.view(_U)[order], tree[order], base[order]
+
+
 def score_texts(docs: DataFrame, depth: int = 2) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -272,22 +429,23 @@ def score_texts(docs: DataFrame, depth: int = 2) -> DataFrame:
     spark = docs.sparkSession
     stage = Stage(spark, "suffix-tree")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    tree, vocabulary = learn(docs.filter(~held_out(F.col("doc_id"))), stage, depth)
-    w = tree.words
-    scored = stage.write(docs.mapInArrow(tidy(_score(spark.sparkContext.broadcast(tree))), SCORED), "scored")
-    # words that are not held here: counted once a text, joined with their counts
-    rest = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("n"))
-    uncommon = vocabulary.filter(F.col("count") < max(1.0, WORD * w.tokens))
-    found = rest.join(uncommon, "key", "left")
-    sums = found.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("count", F.lit(0)) + 1.0)).alias("more"), F.sum(F.when(F.col("count") > 0, F.col("n")).otherwise(0)).alias("known"))
-    out = scored.drop("rest").join(sums, "row", "left")
-    more, known = F.coalesce("more", F.lit(0.0)), F.coalesce("known", F.lit(0))
+    tables = learn_tables(docs.filter(~held_out(F.col("doc_id"))), stage, depth)
+    depth, n, buckets = len(tables.grams) - 1, tables.tokens, 4 * parts(spark)
+    worth = [stage.write(v, f"values-{d}") for d, v in enumerate(values(tables))]
+    least = [max(1.0, share * n) for share in (WORD, ENTRY, *[SYMBOL] * depth)]
+    shared = spark.sparkContext.broadcast([_cached(v.filter(F.col("count") >= least[d])) for d, v in enumerate(worth)])
+    parcels = docs.mapInArrow(tidy(_ask(shared, buckets, depth)), PARCEL)
+    for d, v in enumerate(worth):
+        parcels = parcels.union(v.filter(F.col("count") < least[d]).select("key", "tree", "base").mapInArrow(tidy(_offer(d, buckets)), PARCEL))
+    sums = stage.write(parcels.repartition(parts(spark), "bucket").mapInArrow(tidy(_answer(depth)), SUMS), "sums")
+    out = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("tree").alias("tree")).sortWithinPartitions("row")  # in the order of the input
+    divisor = F.col("n_tokens") * float(np.log10(n + tables.distinct + 1))
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + known).cast("long").alias("n_known"),
-        F.lit(w.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * float(np.log10(w.tokens + w.distinct + 1))).alias("base_score"),
-        (F.col("tree") + more - F.col("rare") * float(np.log10(w.rare_tokens + w.rare_distinct + 1))).alias("score"),
+        F.col("n_known").cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") - divisor).alias("base_score"),
+        (F.col("tree") - divisor).alias("score"),
     )

@@ -113,3 +113,41 @@ def test_empty_and_untrained(spark):
     only = [r for r in made_up(30) if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2]
     got = score_texts(spark.createDataFrame(only, DOCS)).collect()
     assert len(got) == len(only) and {r["train_tokens"] for r in got} == {0} and {r["n_known"] for r in got} == {0}
+
+
+def test_minimums_are_counts_at_every_size(spark, monkeypatch):
+    """What is seen often enough is held whatever share of all tokens it is, and the cache changes no score."""
+    rng = random.Random(5)
+    rows = [(i, " ".join("gamma delta epsilon" if rng.random() < 0.02 else f"w{rng.randint(0, 3000)}" for _ in range(60)), 0.0, i, 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS).select("doc_id", "text")
+    train = docs.filter(~held_out(F.col("doc_id")))
+    scores = []
+    for share in (0.0, 0.001, 1.0):  # all, some and nothing in the cache
+        for name in ("SYMBOL", "WORD", "ENTRY"):
+            monkeypatch.setattr(suffix_tree, name, share)
+        scores.append({r["doc_id"]: r["score"] for r in score_texts(docs).collect()})
+        tree = learn(train, Stage(spark, "t"))[0]
+        w = tree.words
+        import xxhash
+
+        number = dict(zip(w.hash.tolist(), w.symbol.tolist()))
+        gamma, delta, epsilon = (number[xxhash.xxh3_64_intdigest(x)] for x in (b"gamma", b"delta", b"epsilon"))
+        assert len(w.hash) > 2900  # every word is a symbol
+        assert gamma in tree.depths[0].context.tolist()
+        assert (gamma << BITS | delta) in tree.depths[0].entry.tolist() and (delta << BITS | epsilon) in tree.depths[0].entry.tolist()
+    for other in scores[1:]:
+        assert all(abs(scores[0][i] - other[i]) < 1e-9 for i in scores[0])
+
+
+def test_depth_is_not_bound_by_a_key(spark):
+    """A word that only the third one back tells is scored better with three words of context."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(500):
+        kind = rng.choice("pq")
+        rows.append((i, f"{kind} one two {'left' if kind == 'p' else 'right'}", 0.0, i, 0))
+    docs = spark.createDataFrame(rows, DOCS).select("doc_id", "text")
+    two, three = ({r["doc_id"]: r["score"] for r in score_texts(docs, depth=d).collect()} for d in (2, 3))
+    assert all(three[i] > two[i] + 0.2 for i in three)
+    with pytest.raises(ValueError):
+        learn(docs, Stage(spark, "t"), depth=3)
