@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import CHUNK_NAMESPACE, TABLE_RULE, estimate_tokens, sentences
+from quern.functions.text import CHUNK_NAMESPACE, TABLE_RULE, estimate_tokens
 
 NAMESPACE = uuid.UUID(CHUNK_NAMESPACE)
 SAFETY = 8
@@ -235,8 +235,8 @@ def pack_prose(parts: Column, limit: int, overlap: int) -> Column:
     return F.aggregate(parts, start, step, lambda s: F.when(F.size(s["run"]) > 0, F.concat(s["done"], F.array(s["run"]))).otherwise(s["done"]))
 
 
-def prose_chunks(docs: DataFrame, limit: int = 400, overlap: int = 60, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, index, text, token_count): texts cut at sentences and packed; for texts without sentences over the limit."""
-    packs = docs.select(key, F.posexplode(pack_prose(sentences(F.col(text)), limit, overlap)).alias("index", "_p"))
-    joined = F.array_join("_p", "\n\n")
-    return packs.select(key, "index", joined.alias("text"), estimate_tokens(joined).alias("token_count"))
+def prose_chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, index, text, token_count): each text as one prose section without a title, through `chunk_sections`. Blank texts have no chunk."""
+    section = F.struct(F.col(text).alias("text"), F.array().cast("array<string>").alias("heading_path"), F.lit("prose").alias("kind"), *[F.lit(None).cast(t).alias(n) for n, t in (("page_start", "int"), ("page_end", "int"), ("row", "int"), ("sheet", "string"), ("rec_id", "string"))])
+    whole = docs.filter(F.col(text).rlike(r"\S")).select(F.col(key).cast("string").alias("source"), F.sha2(F.col(text), 256).alias("sha256"), F.lit("").alias("title"), F.array(section).alias("sections"))
+    return chunk_sections(whole, config).select(F.col("source").cast(docs.schema[key].dataType).alias(key), "index", "text", "token_count")

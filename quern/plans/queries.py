@@ -228,7 +228,7 @@ FOLD = f"""units AS (SELECT doc_id, {SENTENCES_SQL} AS u FROM documents),
 
 @query(f"WITH {FOLD} SELECT doc_id, index, sha256(text) AS text_sha256, {TOKENS} AS token_count FROM chunks")
 def chunk_pack(spark, sf_dir):
-    """Sentences packed into chunks of 400 tokens with an overlap of 60, as a fold in the JVM."""
+    """Whole texts up to the maximum; else paragraphs, sentences and words packed into chunks of 400 tokens with an overlap of 60."""
     return prose_chunks(docs(spark, sf_dir)).select("doc_id", "index", F.sha2("text", 256).alias("text_sha256"), "token_count")
 
 

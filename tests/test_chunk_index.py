@@ -140,3 +140,32 @@ def test_diff_and_views(spark):
     assert views.health(spark.createDataFrame([("x", True), ("y", False)], "service string, reachable boolean")).first()["status"] == "degraded"
     reqs = spark.createDataFrame([("q", 3, [], "dense"), ("", 3, [], None), ("q", 21, [], None), ("q", None, None, "odd")], "query string, top_k int, history array<string>, mode string")
     assert views.valid_requests(reqs).count() == 1
+
+
+def test_prose_chunks_cut_sentences_over_the_limit(spark):
+    """Against plain greedy packing: a text that fits is whole, else paragraphs, sentences and runs of words, none over the limits."""
+    from quern.operators.chunk import prose_chunks
+
+    long_sentence = " ".join(f"word{i}" for i in range(2000))
+    fits = "First sentence here. " * 90  # over the target, under the maximum
+    paragraphs = "\n\n".join(f"Paragraph {i} {'text ' * 60}end. Another one." for i in range(12))
+    texts = {1: long_sentence, 2: fits, 3: f"Short one. {long_sentence}. Last one.", 4: paragraphs, 5: "x" * 3000, 6: "", 7: " \n", 8: None, 9: "Small."}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {}
+    for r in prose_chunks(docs).orderBy("doc_id", "index").collect():
+        assert r["token_count"] == max(1, round(len(r["text"]) / 3.0))
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert set(got) == {1, 2, 3, 4, 5, 9}
+    assert got[2] == [fits] and got[9] == ["Small."] and got[5] == ["x" * 3000]
+    size = lambda s: max(1, round(len(s) / 3.0))
+    run, want = [], []
+    for word in long_sentence.split():
+        if run and size(" ".join([*run, word])) > 400:
+            want.append(" ".join(run))
+            run = []
+        run.append(word)
+    assert got[1] == [*want, " ".join(run)]
+    assert all(size(c) <= 700 for i in (1, 2, 3, 4) for c in got[i])
+    assert [w for c in got[3] for w in c.split()] == texts[3].split()
+    kept = [p for c in got[4] for p in c.split("\n\n")]
+    assert set(kept) == set(paragraphs.split("\n\n"))
