@@ -15,6 +15,7 @@ more than 1 / share grams can have such a share.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,8 @@ HELD, CONTEXT = 2, 8
 #: count * divergence of a state is over PASS * log N.
 PASS = 2.0
 DISCOUNT = 0.75
+#: Parts in which texts are scored, one after the other: disk holds one part's requests at a time.
+TURNS = 4
 #: Bits of a symbol in the keys of a collected tree, and by which a context's hash is turned before the next word's is added.
 BITS, TURN = 21, 21
 _U = np.uint64
@@ -172,16 +175,19 @@ class Tables:
     states: list[DataFrame]
 
 
-def grow(grams: DataFrame, shorter: DataFrame, need: float, stage: Stage, d: int) -> tuple[DataFrame, DataFrame]:
+def grow(grams: DataFrame, shorter: DataFrame, need: float, stage: Stage, d: int, last: bool) -> tuple[DataFrame, DataFrame]:
     """The states of a depth, and its grams with their probabilities.
 
     What a context's unheld symbols have in all is compared as one symbol, which can only make the
-    divergence less: no context stays by chance of what is not held.
+    divergence less: no context stays by chance of what is not held. Of the last depth, which nothing goes
+    back to, only the states' grams are kept.
     """
-    above = shorter.select(F.col("key").alias("context"), F.col("count").alias("total"), F.col("suffix").alias("_s"))
+    above = (shorter.filter(F.col("count") >= CONTEXT) if last else shorter).select(F.col("key").alias("context"), F.col("count").alias("total"), F.col("suffix").alias("_s"))
     below = shorter.select(F.col("key").alias("suffix"), F.col("p").alias("parent"))
     known = grams.join(above, "context").withColumn("suffix", _after_sql(F.col("_s"), F.col("next"))).drop("_s").join(below, "suffix")
     known = stage.write(known, f"known-{d}")
+    stage.drop(f"grams-{d}")
+    _free(stage.spark)
     share = F.col("count") / F.col("total")
     tested = known.filter(F.col("total") >= CONTEXT).groupBy("context").agg(
         F.first("total").alias("total"),
@@ -195,9 +201,9 @@ def grow(grams: DataFrame, shorter: DataFrame, need: float, stage: Stage, d: int
     states = stage.write(tested.filter(F.col("total") * divergence > need).select("context", "back"), f"states-{d}")
     discounted = F.when(F.col("back").isNotNull(), (F.col("count") - DISCOUNT) / F.col("total"))
     p = F.coalesce(discounted + F.col("back") * F.col("parent"), F.col("parent"))
-    out = known.join(states, "context", "left").select("key", "context", "next", "suffix", "count", "parent", p.alias("p"), discounted.alias("share"), "back")
+    out = known.join(states, "context", "inner" if last else "left").select("key", "context", "next", "suffix", "count", "parent", p.alias("p"), discounted.alias("share"), "back")
     out = stage.write(out, f"tree-{d}")
-    stage.drop(f"known-{d}", f"grams-{d}")
+    stage.drop(f"known-{d}")
     return states, out
 
 
@@ -210,9 +216,11 @@ def learn_tables(train: DataFrame, stage: Stage, depth: int = 2) -> Tables:
     tables = Tables(vocabulary, n, distinct, [words], [])
     for d in range(1, depth + 1) if n else ():
         grams = stage.write(count_grams(train, d), f"grams-{d}")
-        states, grown = grow(grams, tables.grams[-1], PASS * float(np.log(n)), stage, d)
+        _free(train.sparkSession)
+        states, grown = grow(grams, tables.grams[-1], PASS * float(np.log(n)), stage, d, d == depth)
         tables.states.append(states)
         tables.grams.append(grown)
+        _free(train.sparkSession)
     return tables
 
 
@@ -417,6 +425,12 @@ def _cached(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key.view(_U)[order], tree[order], base[order]
 
 
+def _free(spark) -> None:
+    """Has the driver's collector find the shuffles of written tables, whose files Spark then removes."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def score_texts(docs: DataFrame, depth: int = 2) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -434,11 +448,24 @@ def score_texts(docs: DataFrame, depth: int = 2) -> DataFrame:
     worth = [stage.write(v, f"values-{d}") for d, v in enumerate(values(tables))]
     least = [max(1.0, share * n) for share in (WORD, ENTRY, *[SYMBOL] * depth)]
     shared = spark.sparkContext.broadcast([_cached(v.filter(F.col("count") >= least[d])) for d, v in enumerate(worth)])
-    parcels = docs.mapInArrow(tidy(_ask(shared, buckets, depth)), PARCEL)
-    for d, v in enumerate(worth):
-        parcels = parcels.union(v.filter(F.col("count") < least[d]).select("key", "tree", "base").mapInArrow(tidy(_offer(d, buckets)), PARCEL))
-    sums = stage.write(parcels.repartition(parts(spark), "bucket").mapInArrow(tidy(_answer(depth)), SUMS), "sums")
-    out = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("tree").alias("tree")).sortWithinPartitions("row")  # in the order of the input
+    stage.drop(*[f"tree-{d}" for d in range(1, depth + 1)], *[f"states-{d}" for d in range(1, depth + 1)], "words")
+    offers = [v.filter(F.col("count") < least[d]).select("key", "tree", "base").mapInArrow(tidy(_offer(d, buckets)), PARCEL) for d, v in enumerate(worth)]
+    done = []
+    for turn in range(TURNS):
+        own = docs.filter(F.crc32(F.coalesce("doc_id", F.lit(0)).cast("string").cast("binary")) % TURNS == turn)
+        parcels = own.mapInArrow(tidy(_ask(shared, buckets, depth)), PARCEL)
+        for offer in offers:
+            parcels = parcels.union(offer)
+        sums = stage.write(parcels.repartition(parts(spark), "bucket").mapInArrow(tidy(_answer(depth)), SUMS), f"sums-{turn}")
+        sums = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("tree").alias("tree"))
+        # in the order of the input
+        done.append(stage.write(sums.sortWithinPartitions("row"), f"scores-{turn}"))
+        stage.drop(f"sums-{turn}")
+        _free(spark)
+    stage.drop(*[f"values-{d}" for d in range(depth + 1)])
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
     divisor = F.col("n_tokens") * float(np.log10(n + tables.distinct + 1))
     return out.select(
         "doc_id",
