@@ -1,16 +1,19 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Symbols are all words and the end of a text. A context of up to `depth` symbols is a state of the tree if its
-next-symbol distribution differs from that of its suffix by more than chance: count * divergence must pass a
-multiple of log N. A symbol is scored in the longest state that is a suffix of what stands before it.
-Distributions are smoothed by absolute discounts that go to the suffix's distribution, down to the add-one
-share of single words. The minimums are counts, the same at every size.
-
-All counts are over all training texts. Words, contexts and next symbols are rows of written tables, keyed by
-64-bit hashes, that grow with the input. A text's score is a sum over its grams: a word brings its own share
-and what its state gives its suffix, a held gram the difference to that. So each gram is looked up alone, where its
-bucket's values are. Only the values of grams with a share of all tokens are broadcast, as a cache that changes no result; no
-more than 1 / share grams can have such a share.
+next-symbol distribution differs from that of its suffix by more than chance: count * divergence must pass the
+chi-square bound for the number of its next symbols. A symbol is scored in the longest state that is a suffix
+of what stands before it. Distributions are smoothed by absolute discounts that go to the suffix's
+distribution, down to the add-one share of single words. The minimums are counts, the same at every size.
+
+Texts are read once, as numbers of words by chunk: each chunk asks the buckets of its distinct words for
+numbers and counts, and all later steps read the chunks. A gram (a context and its next symbol) lives in the bucket
+of its last two symbols, and so do all longer grams that end alike: positions go there once to be counted and once
+to be scored. What a bucket needs of a context that lives elsewhere it asks for by the context's key. Grams that
+are common enough to weigh on one bucket are found by a sample: they are counted where they are read, their values are
+broadcast, and what ends in them is dealt by one symbol more. The sample decides on the way of a position, never on
+a count or a score. A text's score is a sum over its grams: a word brings its own share, a state what it gives
+to its suffix, and a held gram the difference to that.
 """
 
 from __future__ import annotations
@@ -21,28 +24,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import tally as packed
 from .stage import Stage, parts, tidy
-from .tally import tally
-
-#: Shares of all training tokens from which values are broadcast as well: of a word, of a gram of two, of a longer one.
-WORD, ENTRY, SYMBOL = 5e-7, 5e-7, 1e-5
-#: Times that a next symbol must be seen to be held in a state, and a context to be tested.
-HELD, CONTEXT = 2, 8
-#: count * divergence of a state is over PASS * log N.
-PASS = 2.0
+from .tally import mix, pack, unpack
+
+#: Times that a next symbol must be seen to be held in a state.
+HELD = 2
 DISCOUNT = 0.75
-#: Parts in which texts are scored, one after the other: disk holds one part's requests at a time.
-TURNS = 4
-#: Bits of a symbol in the keys of a collected tree, and by which a context's hash is turned before the next word's is added.
-BITS, TURN = 21, 21
+#: Grams with more than 1 / HOT of a bucket's mean are dealt by one symbol more; so at most HOT * buckets a depth are broadcast.
+HOT = 8
+#: One in so many places is looked at for such grams, in at most so many chunks (a bound, and a matter of spread only).
+SAMPLE, SAMPLE_CHUNKS = 8, 4096
+#: Buckets a shuffle partition; they are worked on one after the other.
+BUCKETS = 2
+#: Bits of a symbol in the keys of a collected tree.
+BITS = 21
 _U = np.uint64
 END = 0xE0D0E0D0E0D0E0D1  # the end's place among word hashes
+_STEP = _U(0x9E3779B97F4A7C15)
+_BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_SCALE = 1 << 30  # sums are sent in whole parts of this
+TOGETHER = 256 << 10  # packed bytes of text places that are scored at once
 
 
 def held_out(key: Column) -> Column:
@@ -50,24 +57,37 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of batches, the hashes of their texts' words with an end after each text, and the number of each."""
-    for batch in batches:
-        texts, at, size, words, count = batch["text"], 0, 0, [], []
-        for i in range(batch.num_rows):
-            own = (texts[i].as_py() or "").encode().lower().split()
-            words += map(xxhash.xxh3_64_intdigest, own)
-            words.append(END)
-            count.append(len(own) + 1)
-            size = len(words)
-            if size >= limit >> 2:
-                yield batch.slice(at, i + 1 - at), np.array(words, _U), np.array(count)
-                at, words, count = i + 1, [], []
-        if count:
-            yield batch.slice(at), np.array(words, _U), np.array(count)
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def codes(x: np.ndarray) -> bytes:
+    """Integers from 0 in the fewest bytes that hold them, packed."""
+    top = int(x.max()) if len(x) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + pack(x.astype(f"<u{width}"))
+
+
+def decodes(data: bytes) -> np.ndarray:
+    return unpack(data[1:], np.dtype(f"<u{data[0]}"))
+
+
+def signed(x: np.ndarray) -> bytes:
+    x = x.astype(np.int64)
+    return codes(((x << 1) ^ (x >> 63)).view(_U))
+
+
+def unsigned(data: bytes) -> np.ndarray:
+    x = decodes(data).astype(np.int64)
+    return (x >> 1) ^ -(x & 1)
+
+
+def climbing(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys."""
+    return pack(np.diff(keys, prepend=_U(0)))
+
+
+def climbed(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, _U), dtype=_U)
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of each key in a sorted table, and whether it is there."""
     if not len(table):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -75,354 +95,553 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _after(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The hash of a context and its next word."""
-    return ((context << _U(TURN)) | (context >> _U(64 - TURN))) ^ word
-
+def batch_of(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
 
-def _after_sql(context: Column, word: Column) -> Column:
-    return F.shiftleft(context, TURN).bitwiseOR(F.shiftrightunsigned(context, 64 - TURN)).bitwiseXOR(word)
 
+def sent(schema: pa.Schema, rows: Iterator[dict], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded bytes."""
+    held, n = [], 0
+    for r in rows:
+        held.append(r)
+        n += 64 + sum(len(v) for v in r.values() if isinstance(v, bytes))
+        if n >= size:
+            yield batch_of(schema, held)
+            held, n = [], 0
+    if held:
+        yield batch_of(schema, held)
 
-def _grams(words: np.ndarray, count: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the d words before each place, with the end before a text's first, of those and the word; and where that many are in the text."""
-    start = np.repeat(np.cumsum(count) - count, count)
-    place = np.arange(len(words)) - start
-    context = np.zeros(len(words), _U)
-    for back in range(d, 0, -1):
-        before = np.concatenate([np.full(min(back, len(words)), END, _U), words[: max(0, len(words) - back)]])
-        context = _after(context, np.where(place >= back, before, _U(END)))
-    return context, _after(context, words), place >= d - 1
 
+def runs_of(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows that stand together by an equal value."""
+    value, rows = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if rows and r[by] != value:
+                yield value, rows
+                rows = []
+            value = r[by]
+            rows.append(r)
+    if rows:
+        yield value, rows
 
-def _rows_of(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "count"])
 
+def bounds(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of a sorted array."""
+    names, first = np.unique(of, return_index=True)
+    yield from zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(of)])
 
-def count_words(train: DataFrame) -> DataFrame:
-    def keys(batches):
-        for _, words, _ in _tokens(batches):
-            yield words
 
-    return tally(train, keys, _rows_of, "key long, count long")
+def ddl(schema: pa.Schema) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.float64(): "double", pa.list_(pa.int64()): "array<long>", pa.list_(pa.binary()): "array<binary>"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def _by_bucket(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order by bucket that keeps what is sorted, and each bucket's name and bounds."""
-    order = np.argsort(of, kind="stable")
-    names, at = np.unique(of[order], return_index=True)
-    return order, list(zip(names.tolist(), at.tolist(), [*at[1:].tolist(), len(of)]))
+def exchange(df: DataFrame, to: str, *then: str) -> DataFrame:
+    return df.repartition(parts(df.sparkSession), to).sortWithinPartitions(to, *then)
 
 
-def count_grams(train: DataFrame, d: int) -> DataFrame:
-    """(key, context, next, count) of all grams of d words and the next one that are seen HELD times."""
-    n = parts(train.sparkSession)
-    buckets = 4 * n
+# --- texts as numbers -------------------------------------------------------------------------------------------
 
-    def send(keys, contexts):
-        key, first, count = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-        context = np.concatenate(contexts)[first]
-        order, bounds = _by_bucket((packed.mix(key) % _U(buckets)).astype(np.int32))
-        key, context, count = key[order], context[order], count[order].astype(np.uint64)
-        for at in range(0, len(bounds), 64):
-            own = bounds[at : at + 64]
-            columns = [[b for b, _, _ in own], [packed.pack(np.diff(key[lo:hi], prepend=_U(0))) for _, lo, hi in own], [packed.pack(context[lo:hi]) for _, lo, hi in own], [packed.pack(count[lo:hi]) for _, lo, hi in own]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "keys", "contexts", "counts"])
+_b, _i, _l = pa.binary(), pa.int32(), pa.int64()
+#: A chunk's texts (bucket is null), and what it asks each bucket of words: hashes and how often they are learnt from.
+ENCODED = pa.schema([("bucket", _i), ("chunk", _l), ("keys", _b), ("counts", _b), ("doc_ids", pa.list_(_l)), ("sizes", _b), ("train", _b), ("index", _b)])
+#: A bucket's answer to a chunk, and (chunk is null) its words and their counts. `back` is of a word as a context, or NaN.
+ANSWER = pa.schema([("bucket", _i), ("chunk", _l), ("keys", _b), ("numbers", _b), ("totals", _b), ("backs", _b), ("tokens", _l), ("words", _l)])
 
-    def count(batches):
-        keys, contexts, size = [], [], 0
-        for _, words, lengths in _tokens(batches):
-            context, key, full = _grams(words, lengths, d)
-            keys.append(key[full])
-            contexts.append(context[full])
-            size += len(keys[-1])
-            if size >= packed.HELD:
-                yield from send(keys, contexts)
-                keys, contexts, size = [], [], 0
-        if size:
-            yield from send(keys, contexts)
 
-    def add(batches):
-        keys, contexts, counts = [], [], []
+def _encode(buckets: int):
+    def run(batches):
+        chunk = TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys += [np.cumsum(packed.unpack(x, np.uint64), dtype=np.uint64) for x in batch["keys"].to_pylist()]
-            contexts += [packed.unpack(x, np.uint64) for x in batch["contexts"].to_pylist()]
-            counts += [packed.unpack(x, np.uint64) for x in batch["counts"].to_pylist()]
-        if not keys:
-            return
-        key, context, count = np.concatenate(keys), np.concatenate(contexts), np.concatenate(counts)
-        order = np.argsort(key)
-        key, context, count = key[order], context[order], count[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        total = np.add.reduceat(count, first)
-        first, total = first[total >= HELD], total[total >= HELD]
-        key, context = key[first], context[first]
-        columns = [key, context, _after(context, np.zeros(len(key), _U)) ^ key, total]
-        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["key", "context", "next", "count"])
+            if not batch.num_rows:
+                continue
+            texts = pc.fill_null(batch["text"], "")
+            split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+            at, flat = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+            at = at - at[0]
+            words, index = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
+            real = np.array([bool(w) for w in words], bool)[index] if words else np.empty(0, bool)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(at))[real]
+            index = index[real]
+            # an end after each text
+            sizes = np.bincount(of, minlength=batch.num_rows) + 1
+            out = np.full(int(sizes.sum()), len(words), np.int64)
+            out[np.arange(len(index)) + of] = index
+            keys = np.append(keys, _U(END))
+            known, place = np.unique(keys, return_inverse=True)
+            out = place[out]
+            used = np.bincount(out, minlength=len(known)) > 0
+            known, out = known[used], (np.cumsum(used) - 1)[out]
+            train = batch["train"].to_numpy(zero_copy_only=False)
+            counts = np.bincount(out[np.repeat(train, sizes)], minlength=len(known))
+            rows = [{"chunk": chunk, "doc_ids": batch["doc_id"].to_pylist(), "sizes": codes(sizes), "train": codes(train.astype(np.uint8)), "index": codes(out)}]
+            bucket = (mix(known) % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            for b, lo, hi in bounds(bucket[order]):
+                own = order[lo:hi]
+                rows.append({"bucket": b, "chunk": chunk, "keys": climbing(known[own]), "counts": codes(counts[own])})
+            yield from sent(ENCODED, iter(rows))
+            chunk += 1
 
-    schema = "key long, context long, next long, count long"
-    return train.mapInArrow(tidy(count), "bucket int, keys binary, contexts binary, counts binary").repartition(n, "bucket").mapInArrow(tidy(add), schema)
+    return run
 
 
-@dataclass
-class Tables:
-    """The whole tree as written tables: `grams[d]` (key, context, next, suffix, count, p, share, back of its context), `states[d]` (context, back) from depth 1."""
+def _number(buckets: int):
+    """Numbers for a bucket's words, small for common ones, and their counts in all."""
 
-    vocabulary: DataFrame
-    tokens: int
-    distinct: int
-    grams: list[DataFrame]
-    states: list[DataFrame]
+    def run(batches):
+        for b, rows in runs_of(batches, "bucket"):
+            keys = [climbed(r["keys"]) for r in rows]
+            known, place = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(place, np.concatenate([decodes(r["counts"]) for r in rows]), len(known)).astype(np.int64)
+            rank = np.empty(len(known), np.int64)
+            rank[np.lexsort((known, -total))] = np.arange(len(known))
+            number, ends = rank * buckets + b + 1, np.cumsum([len(k) for k in keys])
+
+            def answers():
+                for r, k, end in zip(rows, keys, ends.tolist()):
+                    own = place[end - len(k) : end]
+                    yield {"bucket": b, "chunk": r["chunk"], "keys": r["keys"], "numbers": codes(number[own]), "totals": codes(total[own])}
+                yield {"bucket": b, "keys": climbing(known), "totals": codes(total), "numbers": codes(number), "tokens": int(total.sum()), "words": int((total > 0).sum())}
+
+            yield from sent(ANSWER, answers())
 
+    return run
 
-def grow(grams: DataFrame, shorter: DataFrame, need: float, stage: Stage, d: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """The states of a depth, and its grams with their probabilities.
 
-    What a context's unheld symbols have in all is compared as one symbol, which can only make the
-    divergence less: no context stays by chance of what is not held. Of the last depth, which nothing goes
-    back to, only the states' grams are kept.
-    """
-    above = (shorter.filter(F.col("count") >= CONTEXT) if last else shorter).select(F.col("key").alias("context"), F.col("count").alias("total"), F.col("suffix").alias("_s"))
-    below = shorter.select(F.col("key").alias("suffix"), F.col("p").alias("parent"))
-    known = grams.join(above, "context").withColumn("suffix", _after_sql(F.col("_s"), F.col("next"))).drop("_s").join(below, "suffix")
-    known = stage.write(known, f"known-{d}")
-    stage.drop(f"grams-{d}")
-    _free(stage.spark)
-    share = F.col("count") / F.col("total")
-    tested = known.filter(F.col("total") >= CONTEXT).groupBy("context").agg(
-        F.first("total").alias("total"),
-        F.sum(share).alias("held"),
-        F.sum("parent").alias("held_parent"),
-        F.sum(share * F.log(share / F.col("parent"))).alias("divergence"),
-        (1 - F.sum((F.col("count") - DISCOUNT) / F.col("total"))).alias("back"),
-    )
-    rest, rest_parent = F.greatest(1 - F.col("held"), F.lit(0.0)), F.greatest(1 - F.col("held_parent"), F.lit(1e-12))
-    divergence = F.col("divergence") + F.when(rest > 0, rest * F.log(F.greatest(rest, F.lit(1e-300)) / rest_parent)).otherwise(0.0)
-    states = stage.write(tested.filter(F.col("total") * divergence > need).select("context", "back"), f"states-{d}")
-    discounted = F.when(F.col("back").isNotNull(), (F.col("count") - DISCOUNT) / F.col("total"))
-    p = F.coalesce(discounted + F.col("back") * F.col("parent"), F.col("parent"))
-    out = known.join(states, "context", "inner" if last else "left").select("key", "context", "next", "suffix", "count", "parent", p.alias("p"), discounted.alias("share"), "back")
-    out = stage.write(out, f"tree-{d}")
-    stage.drop(f"known-{d}")
-    return states, out
-
-
-def learn_tables(train: DataFrame, stage: Stage, depth: int = 2) -> Tables:
-    vocabulary = stage.write(count_words(train), "words")
-    whole = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    n, distinct = int(whole[0]), int(whole[1])
-    # one unit of count for what the training texts never had, as in the base
-    words = vocabulary.select("key", F.lit(0).cast("long").alias("suffix"), "count", ((F.col("count") + 1) / F.lit(float(n + distinct + 1))).alias("p"))
-    tables = Tables(vocabulary, n, distinct, [words], [])
-    for d in range(1, depth + 1) if n else ():
-        grams = stage.write(count_grams(train, d), f"grams-{d}")
-        _free(train.sparkSession)
-        states, grown = grow(grams, tables.grams[-1], PASS * float(np.log(n)), stage, d, d == depth)
-        tables.states.append(states)
-        tables.grams.append(grown)
-        _free(train.sparkSession)
-    return tables
+def _chunks(encoded: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each chunk's answers, then its texts, in one partition."""
+    null = lambda kind: F.lit(None).cast(kind)
+    asked = answers.filter("chunk is not null").select("chunk", F.lit(0).alias("side"), "keys", "numbers", "totals", "backs", *[null(t).alias(c) for c, t in (("doc_ids", "array<long>"), ("sizes", "binary"), ("train", "binary"), ("index", "binary"))])
+    texts = encoded.filter("bucket is null").select("chunk", F.lit(1).alias("side"), *[null("binary").alias(c) for c in ("keys", "numbers", "totals", "backs")], "doc_ids", "sizes", "train", "index")
+    return exchange(asked.union(texts), "chunk", "side")
 
 
 @dataclass
-class Words:
-    """Training words: hash, count, symbol (0: a word never seen)."""
-
+class Chunk:
+    """Texts as places in the chunk's words. `number`, `total`, `back` and `hash` are of words, `end` is the end's place."""
+
+    name: int
+    doc_ids: list
+    size: np.ndarray
+    train: np.ndarray
+    index: np.ndarray
+    number: np.ndarray
+    total: np.ndarray
+    back: np.ndarray
     hash: np.ndarray
-    count: np.ndarray
-    symbol: np.ndarray
     end: int
-    tokens: int
-    distinct: int
-    rare_tokens: int = 0
-    rare_distinct: int = 0
 
+    def only_train(self) -> Chunk:
+        keep = np.repeat(self.train, self.size)
+        return Chunk(self.name, [], self.size[self.train], self.train[self.train], self.index[keep], self.number, self.total, self.back, self.hash, self.end)
 
-@dataclass
-class States:
-    """The states of one depth: contexts with the share that goes to the suffix, and entries with theirs."""
 
-    context: np.ndarray
-    back: np.ndarray
-    entry: np.ndarray
-    share: np.ndarray
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    for name, rows in runs_of(batches, "chunk"):
+        text = rows.pop()
+        keys = np.concatenate([climbed(r["keys"]) for r in rows])
+        order = np.argsort(keys)
+        number, total = (np.concatenate([decodes(r[c]).astype(np.int64) for r in rows])[order] for c in ("numbers", "totals"))
+        back = np.concatenate([np.frombuffer(r["backs"], np.float64) if r["backs"] else np.full(len(climbed(r["keys"])), np.nan) for r in rows])[order]
+        end = int(np.searchsorted(keys[order], _U(END)))
+        yield Chunk(name, text["doc_ids"], decodes(text["sizes"]).astype(np.int64), decodes(text["train"]).astype(bool), decodes(text["index"]).astype(np.int64), number, total, back, mix(number.view(_U) + _STEP), end)
 
 
-@dataclass
-class Tree:
-    words: Words
-    unigram: np.ndarray
-    depths: list[States]
+# --- grams ------------------------------------------------------------------------------------------------------
 
 
-def learn(train: DataFrame, stage: Stage, depth: int = 2) -> tuple[Tree, DataFrame]:
-    """The whole tree collected, to look into that of a small corpus, and the written table of all word counts (key, count).
-
-    Keys are of symbols in BITS each. Scoring does not collect it.
-    """
-    if (depth + 1) * BITS > 64:
-        raise ValueError("the keys of a collected tree hold two words of context")
-    tables = learn_tables(train, stage, depth)
-    rows = sorted((r["key"] % (1 << 64), r["count"]) for r in tables.vocabulary.collect())
-    if len(rows) + 1 >= 1 << BITS:
-        raise ValueError("too many words for the keys of a collected tree")
-    symbol = {h: i for i, (h, _) in enumerate(rows, 1)}
-    hashes, counts = np.array([h for h, _ in rows], _U), np.array([c for _, c in rows], np.int64)
-    words = Words(hashes, counts, np.arange(1, len(rows) + 1), symbol.get(END, 1), tables.tokens, tables.distinct)
-    unigram = np.concatenate([[1.0], counts + 1.0]) if rows else np.ones(2)
-    tree, number = Tree(words, unigram / unigram.sum(), []), {h - (1 << 64) if h >> 63 else h: s for h, s in symbol.items()}
-    contexts = number
-    for states, grams in zip(tables.states, tables.grams[1:]):
-        own = grams.collect()
-        longer = {r["key"]: contexts[r["context"]] << BITS | number[r["next"]] for r in own}
-        held = [(contexts[r["context"]], r["back"]) for r in states.collect()]
-        entry = sorted((longer[r["key"]], r["share"]) for r in own if r["share"] is not None)
-        held.sort()
-        tree.depths.append(States(np.array([c for c, _ in held], _U), np.array([b for _, b in held]), np.array([k for k, _ in entry], _U), np.array([x for _, x in entry])))
-        contexts = longer
-    return tree, tables.vocabulary
-
-
-def values(tables: Tables) -> list[DataFrame]:
-    """By depth (key, count, tree, base): what each gram adds to a text's score and base, without the common divisor of words.
-
-    A word adds the log of its count and, as a context, of what its state gives its suffix; a gram held in a
-    state takes the way by the suffix back and adds its own log. A gram not here adds nothing.
-    """
+def _before(chunk: Chunk, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words back from each place by depth (from 1), as places in the chunk's words; and how many there are, the end before a text counted."""
+    start = np.repeat(np.cumsum(chunk.size) - chunk.size, chunk.size)
+    place = np.arange(len(chunk.index)) - start
     out = []
-    for d, grams in enumerate(tables.grams):
-        if d == 0:
-            own = grams.select("key", "count", F.log10(F.col("count") + 1.0).alias("tree"), F.log10(F.col("count") + 1.0).alias("base"))
-        else:
-            own = grams.select("key", "count", F.when(F.col("back").isNotNull(), F.log10("p") - F.log10("back") - F.log10("parent")).otherwise(0.0).alias("tree"), F.lit(0.0).alias("base"))
-        if d < len(tables.states):
-            states = tables.states[d].select(F.col("context").alias("key"), F.log10("back").alias("_b"))
-            own = own.join(states, "key", "left").select("key", "count", (F.col("tree") + F.coalesce("_b", F.lit(0.0))).alias("tree"), "base")
-        out.append(own.filter((F.col("tree") != 0) | (F.col("base") != 0)))
+    for d in range(1, depth + 1):
+        back = np.concatenate([np.full(min(d, len(place)), chunk.end, np.int64), chunk.index[: max(0, len(place) - d)]])
+        out.append(np.where(place >= d, back, chunk.end))
+    return out, place + 1
+
+
+def _powers(depth: int) -> list:
+    return [_U(pow(int(_STEP), d, 1 << 64)) for d in range(depth + 1)]
+
+
+def _keys(chunk: Chunk, back: list[np.ndarray]) -> list[np.ndarray]:
+    """Keys of the grams at each place by depth (from 1)."""
+    power, key, out = _powers(len(back)), chunk.hash[chunk.index], []
+    for d, w in enumerate(back, 1):
+        key = key + power[d] * chunk.hash[w]
+        out.append(key)
     return out
 
 
-#: Of the rows of one exchange: a text's own sums (row is not null), values of a bucket, or places of a bucket's grams.
-PARCEL = "bucket int, depth int, row long, doc_id long, n_tokens long, n_known long, base double, tree double, keys binary, first binary, second binary"
-_PARCEL = pa.schema([("bucket", pa.int32()), ("depth", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("tree", pa.float64()), ("keys", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
+def context_of(key: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The key of a gram's context, which is that of the context as a gram itself."""
+    return (key - mix(number.astype(_U) + _STEP)) * _BACK
+
+
+HOT_ROWS = pa.schema([("depth", _i), ("key", _l), ("count", _l)])
+
 
+def _sample(depth: int, share: float):
+    """Grams that are common in the sampled places of a chunk."""
 
-def _parcel(size: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _PARCEL], schema=_PARCEL)
+    def run(batches):
+        for chunk in _read(batches):
+            back, there = _before(chunk, depth)
+            own = np.flatnonzero(np.arange(len(there)) % SAMPLE == chunk.name % SAMPLE)
+            for d, key in enumerate(_keys(chunk, back), 1):
+                key, n = np.unique(key[own[there[own] >= d]], return_counts=True)
+                many = n >= max(2, share * len(own) / 2)
+                if many.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(many.sum(), d), _i), pa.array(key[many].view(np.int64)), pa.array(n[many])], schema=HOT_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array([0], _i), pa.array([0], _l), pa.array([len(own)], _l)], schema=HOT_ROWS)
+
+    return run
 
 
-def _ask(shared, buckets: int, depth: int):
-    """Sums of what the cache has, and requests for the rest: keys and rows by bucket."""
+def _hot(chunks: DataFrame, stage: Stage, depth: int, buckets: int) -> list[np.ndarray]:
+    """By depth the sorted keys of grams over 1 / (HOT * buckets) of the sampled places: at most HOT * buckets each."""
+    share = 1 / (HOT * buckets)
+    got = stage.write(chunks.mapInArrow(tidy(_sample(depth, share)), ddl(HOT_ROWS)), "sample").groupBy("depth", "key").agg(F.sum("count").alias("count"))
+    n = got.filter("depth = 0").first()
+    rows = got.filter("depth > 0").filter(F.col("count") >= share * n["count"]).select("depth", "key").collect() if n else []
+    stage.drop("sample")
+    hot = [np.array(sorted(r["key"] % (1 << 64) for r in rows if r["depth"] == d), _U) for d in range(1, depth + 1)]
+    return hot
+
+
+def _way(keys: list[np.ndarray], there: np.ndarray, hot: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least depth at which a place's gram isn't hot (depth + 1: none), and the bucket of that gram."""
+    depth = len(keys)
+    least = np.ones(len(there), np.int8)
+    home = (mix(keys[0]) % _U(buckets)).astype(np.int64)
+    on = np.arange(len(there))
+    for d in range(1, depth + 1):
+        on = on[find(hot[d - 1], keys[d - 1][on])[1]]
+        if not len(on):
+            break
+        least[on] = d + 1
+        if d < depth:
+            ends = there[on] < d + 1
+            least[on[ends]] = depth + 1
+            on = on[~ends]
+            home[on] = (mix(keys[d][on]) % _U(buckets)).astype(np.int64)
+    return least, home
+
+
+#: Positions of one bucket from one chunk: runs of one last pair (its words, their counts, its length), words further back (0: none), the least depth, the text's place in the chunk.
+POSITIONS = pa.schema([("bucket", _i), ("chunk", _l), ("x", _b), ("w", _b), ("tx", _b), ("tw", _b), ("runs", _b), ("far", pa.list_(_b)), ("least", _b), ("row", _b), ("own", _b)])
+
+
+def _positions(chunk: Chunk, depth: int, hot: list[np.ndarray], buckets: int, rows: bool) -> tuple[Iterator[dict], list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Rows of POSITIONS; and the keys by depth, the depths there are, and the words back."""
+    back, there = _before(chunk, depth)
+    keys = _keys(chunk, back)
+    least, home = _way(keys, there, hot, buckets)
+
+    def parcels():
+        go = np.flatnonzero(least <= depth)
+        order = go[np.argsort((home[go].astype(_U) << _U(40)) | (keys[0][go] >> _U(24)))]
+        x, w = chunk.index[order], back[0][order]
+        of = np.repeat(np.arange(len(chunk.size)), chunk.size)[order] if rows else None
+        far = [np.where(there[order] >= d, chunk.number[back[d - 1][order]], 0) for d in range(2, depth + 1)]
+        for b, lo, hi in bounds(home[order]):
+            first = lo + np.flatnonzero(np.concatenate([[True], (x[lo + 1 : hi] != x[lo : hi - 1]) | (w[lo + 1 : hi] != w[lo : hi - 1])]))
+            yield {
+                "bucket": b, "chunk": chunk.name, "x": codes(chunk.number[x[first]]), "w": codes(chunk.number[w[first]]), "tx": codes(chunk.total[x[first]]), "tw": codes(chunk.total[w[first]]),
+                "runs": codes(np.diff(np.append(first, hi))), "far": [codes(f[lo:hi]) for f in far], "least": codes(least[order[lo:hi]]), "row": codes(of[lo:hi]) if rows else None,
+            }
+
+    return parcels(), keys, there, back
+
+
+@dataclass
+class Held:
+    """Positions of a bucket put together again."""
 
-    def send(d, keys, rows):
-        key, row = np.concatenate(keys), np.concatenate(rows)
-        order = np.lexsort((row, key))
-        key, row = key[order], row[order]
-        order, bounds = _by_bucket((packed.mix(key) % _U(buckets)).astype(np.int32))
-        key, row = key[order], row[order]
-        for at in range(0, len(bounds), 64):
-            own = bounds[at : at + 64]
-            yield _parcel(len(own), bucket=[b for b, _, _ in own], depth=[d] * len(own), keys=[packed.pack(np.diff(key[lo:hi], prepend=_U(0))) for _, lo, hi in own], first=[packed.pack(row[lo:hi]) for _, lo, hi in own])
+    x: np.ndarray
+    w: np.ndarray
+    tx: np.ndarray
+    tw: np.ndarray
+    key: list[np.ndarray]
+    valid: list[np.ndarray]  # of the depth, and counted in this bucket
+
+
+def _together(rows: list[dict], depth: int) -> Held:
+    wide = lambda name: np.concatenate([decodes(r[name]).astype(np.int64) for r in rows])
+    runs, least = wide("runs"), wide("least")
+    x, w, tx, tw = (np.repeat(wide(c), runs) for c in ("x", "w", "tx", "tw"))
+    power = _powers(depth)
+    number = lambda n: mix(n.view(_U) + _STEP)
+    key = [np.repeat(number(wide("x")) + power[1] * number(wide("w")), runs)]
+    valid = [least <= 1]
+    for d in range(2, depth + 1):
+        far = np.concatenate([decodes(r["far"][d - 2]).astype(np.int64) for r in rows])
+        key.append(key[-1] + power[d] * number(far))
+        valid.append((least <= d) & (far > 0))
+    return Held(x, w, tx, tw, key, valid)
+
+
+#: Held grams of a bucket, by depth: sorted keys, counts, last words, places of their suffixes (from the bucket's number of shorter grams on: of hot ones). Of depth 1: counts of the last word and of the one before, and that one's number.
+COUNTS = pa.schema([("bucket", _i), ("keys", pa.list_(_b)), ("counts", pa.list_(_b)), ("last", pa.list_(_b)), ("parent", pa.list_(_b)), ("tx", pa.list_(_b)), ("tw", pa.list_(_b)), ("w", pa.list_(_b))])
+
+
+def _learn(depth: int, buckets: int, shared):
+    """Positions of training texts by bucket; counts of hot grams go to the bucket after the last."""
 
     def run(batches):
-        row = TaskContext.get().partitionId() << 33
-        keys, rows, size = [[] for _ in range(depth + 1)], [[] for _ in range(depth + 1)], 0
-        for batch, words, count in _tokens(batches):
-            n, start = len(count), np.cumsum(count) - count
-            of = np.repeat(np.arange(row, row + n), count).astype(np.uint64)
-            base, model, known = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words), np.int64)
-            for d in range(depth + 1):
-                key, full = (words, np.ones(len(words), bool)) if d == 0 else _grams(words, count, d)[1:]
-                held, tree_value, base_value = shared.value[d]
-                at, there = _find(held, key)
-                there &= full
-                model[there] += tree_value[at[there]]
-                if d == 0:
-                    base[there] = base_value[at[there]]
-                    known += there
-                ask = full & ~there
-                keys[d].append(key[ask])
-                rows[d].append(of[ask])
-                size += int(ask.sum())
-            add = lambda x: np.add.reduceat(x, start)
-            yield _parcel(n, bucket=(np.arange(row, row + n) % buckets), row=np.arange(row, row + n), doc_id=batch["doc_id"], n_tokens=count.astype(np.int64), n_known=add(known), base=add(base), tree=add(model))
-            row += n
-            if size >= packed.HELD:
-                for d in range(depth + 1):
-                    yield from send(d, keys[d], rows[d])
-                keys, rows, size = [[] for _ in range(depth + 1)], [[] for _ in range(depth + 1)], 0
-        if size:
-            for d in range(depth + 1):
-                yield from send(d, keys[d], rows[d])
+        hot = shared.value
+        counts = [np.zeros(len(h), np.int64) for h in hot]
+        facts = [np.zeros((5, len(h)), np.int64) for h in hot]  # last word, its count, count of the word before, suffix, the word before
+
+        def rows():
+            for chunk in _read(batches):
+                chunk = chunk.only_train()
+                parcels, keys, there, back = _positions(chunk, depth, hot, buckets, rows=False)
+                yield from parcels
+                for d in range(depth):
+                    own = np.flatnonzero(there >= d + 1)
+                    at, hit = find(hot[d], keys[d][own])
+                    at, own = at[hit], own[hit]
+                    counts[d] += np.bincount(at, minlength=len(hot[d]))
+                    facts[d][:, at] = chunk.number[chunk.index[own]], chunk.total[chunk.index[own]], chunk.total[back[0][own]], find(hot[d - 1], keys[d - 1][own])[0] if d else np.zeros(len(own), np.int64), chunk.number[back[0][own]]
+            for d in range(depth):
+                if counts[d].any():
+                    own = np.flatnonzero(counts[d])
+                    yield {"bucket": buckets, "least": bytes([d]), "own": codes(own), "row": codes(counts[d][own]), "far": [codes(f[own]) for f in facts[d]]}
+
+        yield from sent(POSITIONS, rows())
 
     return run
 
 
-def _offer(d: int, buckets: int):
-    """Values of grams, packed by bucket."""
+def _count(depth: int, buckets: int, shared):
+    def run(batches):
+        hot = shared.value
+        for b, rows in runs_of(batches, "bucket"):
+            table = []
+            if b == buckets:
+                for d in range(depth):
+                    n, facts = np.zeros(len(hot[d]), np.int64), np.zeros((5, len(hot[d])), np.int64)
+                    for r in rows:
+                        if r["least"][0] == d:
+                            own = decodes(r["own"]).astype(np.int64)
+                            n[own] += decodes(r["row"]).astype(np.int64)
+                            facts[:, own] = [decodes(f) for f in r["far"]]
+                    table.append((hot[d], n, *facts))
+            else:
+                held = _together(rows, depth)
+                before = np.empty(0, _U)
+                for d in range(depth):
+                    own = np.flatnonzero(held.valid[d])
+                    key, first, n = np.unique(held.key[d][own], return_index=True, return_counts=True)
+                    many = n >= HELD
+                    key, first, n = key[many], own[first[many]], n[many]
+                    parent = np.zeros(len(key), np.int64)
+                    if d:
+                        parent, local = find(before, held.key[d - 1][first])
+                        parent = np.where(local, parent, len(before) + find(hot[d - 1], held.key[d - 1][first])[0])
+                    table.append((key, n, held.x[first], held.tx[first], held.tw[first], parent, held.w[first]))
+                    before = key
+            yield batch_of(COUNTS, [{
+                "bucket": b, "keys": [climbing(t[0]) for t in table], "counts": [codes(t[1]) for t in table], "last": [codes(t[2]) for t in table],
+                "parent": [codes(t[5]) for t in table], "tx": [codes(t[3]) for t in table[:1]], "tw": [codes(t[4]) for t in table[:1]], "w": [codes(t[6]) for t in table[:1]],
+            }])
+
+    return run
+
+
+@dataclass
+class Grams:
+    key: np.ndarray
+    n: np.ndarray
+    last: np.ndarray
+    parent: np.ndarray
+    context: np.ndarray
+
+
+def _grams(row: dict) -> tuple[list[Grams], np.ndarray, np.ndarray]:
+    """A row of COUNTS by depth, and the counts of the last word and the one before of depth 1."""
+    out = []
+    for keys, counts, last, parent in zip(row["keys"], row["counts"], row["last"], row["parent"]):
+        key, last = climbed(keys), decodes(last).astype(np.int64)
+        out.append(Grams(key, decodes(counts).astype(np.int64), last, decodes(parent).astype(np.int64), context_of(key, last)))
+    return out, decodes(row["tx"][0]).astype(np.int64), decodes(row["tw"][0]).astype(np.int64)
+
+
+# --- states -----------------------------------------------------------------------------------------------------
+
+#: To the bucket of a context's key: sums over its next symbols (kind 0), or its own count and its suffix's as it is held at home (kind 1).
+STATS = pa.schema([("bucket", _i), ("depth", _i), ("kind", _i), ("home", _i), ("keys", _b), ("total", _b), ("sums", _b), ("held", _b), ("parents", _b), ("distinct", _b)])
+#: To the home bucket of grams: their contexts' counts and backs (kind 0), their own backs as contexts (kind 1); to a word's bucket its back (kind 2).
+STATES = pa.schema([("bucket", _i), ("depth", _i), ("kind", _i), ("keys", _b), ("total", _b), ("backs", _b)])
+
+
+def _stats(depth: int, buckets: int, shared):
+    """What a bucket knows of contexts. Of words as contexts, to the words' own bucket."""
 
     def run(batches):
-        for batch in batches:
-            key = batch["key"].to_numpy().view(_U)
-            tree, base = (batch[c].to_numpy().view(_U) for c in ("tree", "base"))
-            order = np.argsort(key)
-            key, tree, base = key[order], tree[order], base[order]
-            order, bounds = _by_bucket((packed.mix(key) % _U(buckets)).astype(np.int32))
-            key, tree, base = key[order], tree[order], base[order]
-            if bounds:
-                yield _parcel(
-                    len(bounds), bucket=[b for b, _, _ in bounds], depth=[d] * len(bounds), keys=[packed.pack(np.diff(key[lo:hi], prepend=_U(0))) for _, lo, hi in bounds],
-                    first=[packed.pack(tree[lo:hi]) for _, lo, hi in bounds], second=[packed.pack(base[lo:hi]) for _, lo, hi in bounds],
-                )
+        hot_counts = shared.value
+
+        def rows():
+            for batch in batches:
+                for r in batch.to_pylist():
+                    grams, tx, tw = _grams(r)
+                    suffix = None
+                    for d, g in enumerate(grams, 1):
+                        before = tx if d == 1 else np.concatenate([grams[d - 2].n, hot_counts[d - 2]])[g.parent]
+                        on = g.n >= HELD
+                        order = np.flatnonzero(on)[np.argsort(g.context[on], kind="stable")]
+                        c, first = np.unique(g.context[order], return_index=True)
+                        add = lambda v: np.add.reduceat(v, first) if len(first) else v[:0]
+                        n, s = g.n[order].astype(np.float64), before[order].astype(np.float64)
+                        sums, held, parents = add(n * np.log(n / s)), add(g.n[order]), add(before[order])
+                        distinct, total = np.diff(np.append(first, len(order))), tw[order[first]] if d == 1 else np.zeros(len(c), np.int64)
+                        # a word as a context goes to the word's own bucket
+                        to = (decodes(r["w"][0]).astype(np.int64)[order[first]] - 1) % buckets if d == 1 else (mix(c) % _U(buckets)).astype(np.int64)
+                        by = np.argsort(to, kind="stable")
+                        for b, lo, hi in bounds(to[by]):
+                            o = by[lo:hi]
+                            yield {"bucket": b, "depth": d, "kind": 0, "home": r["bucket"], "keys": climbing(c[o]), "total": codes(total[o]), "sums": sums[o].tobytes(), "held": codes(held[o]), "parents": codes(parents[o]), "distinct": codes(distinct[o])}
+                        if d < depth:
+                            to = (mix(g.key) % _U(buckets)).astype(np.int64)
+                            by = np.argsort(to, kind="stable")
+                            by = by[on[by]]
+                            for b, lo, hi in bounds(to[by]):
+                                o = by[lo:hi]
+                                yield {"bucket": b, "depth": d + 1, "kind": 1, "home": r["bucket"], "keys": climbing(g.key[o]), "total": codes(g.n[o]), "parents": codes(before[o])}
+
+        yield from sent(STATS, rows())
 
     return run
 
 
-SUMS = "row long, doc_id long, n_tokens long, n_known long, base double, tree double"
+def bound(symbols: np.ndarray) -> np.ndarray:
+    """About half the 95 % point of chi-square with so many degrees of freedom."""
+    return 0.5 * (symbols + 2.33 * np.sqrt(symbols) + 0.5)
 
 
-def _answer(depth: int):
-    """Meets requests with values, one sum for each row that asked, and passes the texts' own sums on."""
+def _decide(buckets: int, tokens: int):
+    """States and what they give back; answers to all homes that asked."""
 
     def run(batches):
-        values, asked = [[] for _ in range(depth + 1)], [[] for _ in range(depth + 1)]
-        for batch in batches:
-            texts = batch.filter(batch["row"].is_valid())
-            if texts.num_rows:
-                yield texts.select(["row", "doc_id", "n_tokens", "n_known", "base", "tree"])
-            for b in batch.filter(batch["row"].is_null()).to_pylist():
-                key = np.cumsum(packed.unpack(b["keys"], np.uint64), dtype=np.uint64)
-                if b["second"] is None:
-                    asked[b["depth"]].append((key, packed.unpack(b["first"], np.uint64)))
-                else:
-                    values[b["depth"]].append((key, packed.unpack(b["first"], np.uint64).view(np.float64), packed.unpack(b["second"], np.uint64).view(np.float64)))
-        found_rows, found = [], []
-        for d in range(depth + 1):
-            if not values[d]:
+        def rows():
+            for b, got in runs_of(batches, "bucket"):
+                for d in sorted({r["depth"] for r in got}):
+                    asked = [r for r in got if r["depth"] == d and r["kind"] == 0]
+                    own = [r for r in got if r["depth"] == d and r["kind"] == 1]
+                    if not asked:
+                        continue
+                    keys = [climbed(r["keys"]) for r in asked]
+                    c, place = np.unique(np.concatenate(keys), return_inverse=True)
+                    add = lambda parts_: np.bincount(place, np.concatenate(parts_), len(c))
+                    sums = add([np.frombuffer(r["sums"], np.float64) for r in asked])
+                    held, parents, distinct = (add([decodes(r[name]) for r in asked]) for name in ("held", "parents", "distinct"))
+                    total, above = np.zeros(len(c)), np.full(len(c), float(tokens))
+                    if d == 1:
+                        total[place] = np.concatenate([decodes(r["total"]) for r in asked])
+                    for r in own:
+                        at, there = find(c, climbed(r["keys"]))
+                        total[at[there]], above[at[there]] = decodes(r["total"])[there], decodes(r["parents"])[there]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        # what a context's unheld symbols have in all is compared as one symbol, which can only lessen the divergence
+                        rest, rest_above = total - held, np.maximum(above - parents, 1e-9)
+                        divergence = sums - held * np.log(total / above) + np.where(rest > 0, rest * np.log(rest / total * above / rest_above), 0.0)
+                        state = (total >= HELD) & (divergence > bound(distinct))
+                        back = np.where(state, (rest + DISCOUNT * distinct) / total, np.nan)
+                    for r, k in zip(asked, keys):
+                        at = np.searchsorted(c, k)
+                        on = state[at]
+                        if on.any():
+                            yield {"bucket": r["home"], "depth": d, "kind": 0, "keys": climbing(k[on]), "total": codes(total[at[on]].astype(np.int64)), "backs": back[at[on]].tobytes()}
+                    for r in own:
+                        k = climbed(r["keys"])
+                        at, there = find(c, k)
+                        on = there & state[at]
+                        if on.any():
+                            yield {"bucket": r["home"], "depth": d - 1, "kind": 1, "keys": climbing(k[on]), "backs": back[at[on]].tobytes()}
+                    if d == 1 and state.any():
+                        yield {"bucket": b, "depth": 0, "kind": 2, "keys": climbing(c[state]), "backs": back[state].tobytes()}
+
+        yield from sent(STATES, rows())
+
+    return run
+
+
+#: What each held gram of a bucket adds to a score, by depth.
+VALUES = pa.schema([("bucket", _i), ("keys", pa.list_(_b)), ("values", pa.list_(_b))])
+
+
+def worth(row: dict, states: list[dict], hot_p: list[np.ndarray] | None, divisor: float) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """By depth the keys, values and probabilities of a bucket's grams. `hot_p` is None in the bucket of hot grams, whose suffixes are there."""
+    grams, tx, _ = _grams(row)
+    keys, values, shares = [], [], []
+
+    def known(kind: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = [r for r in states if r["kind"] == kind and r["depth"] == d]
+        key = np.concatenate([np.empty(0, _U), *(climbed(r["keys"]) for r in own)])
+        order = np.argsort(key)
+        total = np.concatenate([np.empty(0, np.int64), *(decodes(r["total"]).astype(np.int64) if kind == 0 else np.empty(0, np.int64) for r in own)])
+        back = np.concatenate([np.empty(0), *(np.frombuffer(r["backs"], np.float64) for r in own)])
+        return key[order], total[order] if kind == 0 else total, back[order]
+
+    for d, g in enumerate(grams, 1):
+        parent = (tx + 1) / divisor if d == 1 else (shares[-1] if hot_p is None else np.concatenate([shares[-1], hot_p[d - 2]]))[g.parent]
+        total, back, value = np.zeros(len(g.key)), np.full(len(g.key), np.nan), np.zeros(len(g.key))
+        context, totals, backs = known(0, d)
+        at, there = find(context, g.context)
+        total[there], back[there] = totals[at[there]], backs[at[there]]
+        as_context, _, backs = known(1, d)
+        at, there = find(as_context, g.key)
+        value[there] = np.log10(backs[at[there]])
+        on = ~np.isnan(back) & (g.n >= HELD)
+        p = parent.copy()
+        p[on] = (g.n[on] - DISCOUNT) / total[on] + back[on] * parent[on]
+        value[on] += np.log10(p[on]) - np.log10(back[on]) - np.log10(parent[on])
+        keys.append(g.key)
+        values.append(value)
+        shares.append(p)
+    return keys, values, shares
+
+
+def _worths(shared, divisor: float):
+    def run(batches):
+        hot_p = shared.value
+        for b, rows in runs_of(batches, "bucket"):
+            counts = [r for r in rows if r["counts"] is not None]
+            if not counts:
                 continue
-            key, tree, base = (np.concatenate(x) for x in zip(*values[d]))
-            order = np.argsort(key)
-            key, tree, base = key[order], tree[order], base[order]
-            for wanted, rows in asked[d]:
-                at, there = _find(key, wanted)
-                at, rows = at[there], rows[there]
-                found_rows.append(rows)
-                found.append(np.stack([np.full(len(rows), float(d == 0)), base[at], tree[at]]))
-        if found_rows:
-            row, inverse = np.unique(np.concatenate(found_rows), return_inverse=True)
-            known, base, tree = (np.bincount(inverse, x, len(row)) for x in np.concatenate(found, axis=1))
-            none = pa.nulls(len(row), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int64)), none, none, pa.array(known.astype(np.int64)), pa.array(base), pa.array(tree)], names=["row", "doc_id", "n_tokens", "n_known", "base", "tree"])
+            keys, values, _ = worth(counts[0], [r | {"keys": r["keys"][0]} for r in rows if r["counts"] is None], hot_p, divisor)
+            on = [v != 0 for v in values]
+            yield batch_of(VALUES, [{"bucket": b, "keys": [climbing(k[o]) for k, o in zip(keys, on)], "values": [v[o].tobytes() for v, o in zip(values, on)]}])
 
     return run
 
 
-def _cached(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys and the values of a table with a proven bound."""
-    got = df.select("key", "tree", "base").toArrow()
-    key, tree, base = (got[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "tree", "base"))
-    order = np.argsort(key.view(_U))
-    return key.view(_U)[order], tree[order], base[order]
+# --- the tree and its scores --------------------------------------------------------------------------------------
+
+
+@dataclass
+class Tables:
+    """The whole tree as written tables, and what is broadcast of it: keys, counts and values of hot grams by depth."""
+
+    encoded: DataFrame
+    answers: DataFrame
+    counts: DataFrame
+    states: DataFrame
+    values: DataFrame
+    tokens: int
+    distinct: int
+    buckets: int
+    hot: list[np.ndarray]
+    hot_values: list[np.ndarray]
+
+    @property
+    def divisor(self) -> float:
+        return float(self.tokens + self.distinct + 1)
 
 
 def _free(spark) -> None:
@@ -431,7 +650,154 @@ def _free(spark) -> None:
     spark._jvm.System.gc()
 
 
-def score_texts(docs: DataFrame, depth: int = 2) -> DataFrame:
+def learn_tables(docs: DataFrame, stage: Stage, depth: int) -> Tables:
+    """From docs (doc_id, text, train), all of which are encoded and those of `train` learnt from."""
+    if depth < 1:
+        raise ValueError("a context has one symbol at least")
+    spark = docs.sparkSession
+    buckets = BUCKETS * parts(spark)
+    encoded = stage.write(docs.mapInArrow(tidy(_encode(buckets)), ddl(ENCODED)), "encoded")
+    asked = encoded.filter("bucket is not null").select("bucket", "chunk", "keys", "counts")
+    answers = stage.write(exchange(asked, "bucket").mapInArrow(tidy(_number(buckets)), ddl(ANSWER)), "answers")
+    whole = answers.filter("chunk is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    tokens, distinct = int(whole[0]), int(whole[1])
+    every = max(1, encoded.filter("bucket is null").count() // SAMPLE_CHUNKS)
+    some = F.pmod(F.xxhash64("chunk"), F.lit(every)) == 0
+    hot = _hot(_chunks(encoded.filter(some), answers.filter(some)), stage, depth, buckets)
+    shared = spark.sparkContext.broadcast(hot)
+    positions = _chunks(encoded, answers).mapInArrow(tidy(_learn(depth, buckets, shared)), ddl(POSITIONS))
+    counts = stage.write(exchange(positions, "bucket").mapInArrow(tidy(_count(depth, buckets, shared)), ddl(COUNTS)), "counts")
+    _free(spark)
+    hot_row = counts.filter(F.col("bucket") == buckets).first()  # at most HOT * buckets grams a depth
+    hot_row = hot_row and hot_row.asDict()
+    hot_counts = [g.n for g in _grams(hot_row)[0]] if hot_row else [np.zeros(len(h), np.int64) for h in hot]
+    stats = counts.mapInArrow(tidy(_stats(depth, buckets, spark.sparkContext.broadcast(hot_counts))), ddl(STATS))
+    states = stage.write(exchange(stats, "bucket").mapInArrow(tidy(_decide(buckets, tokens)), ddl(STATES)), "states")
+    tables = Tables(encoded, answers, counts, states, counts, tokens, distinct, buckets, hot, [np.zeros(len(h)) for h in hot])
+    hot_p = [np.zeros(len(h)) for h in hot]
+    if hot_row:
+        own = [r.asDict() for r in states.filter((F.col("bucket") == buckets) & (F.col("kind") < 2)).collect()]
+        _, tables.hot_values, hot_p = worth(hot_row, own, None, tables.divisor)
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    left = counts.filter(F.col("bucket") < buckets).select("bucket", null("depth", "int"), null("kind", "int"), "keys", "counts", "last", "parent", "tx", "tw", "w", null("total", "binary"), null("backs", "binary"))
+    right = states.filter((F.col("bucket") < buckets) & (F.col("kind") < 2)).select("bucket", "depth", "kind", F.array("keys").alias("keys"), *[null(c, "array<binary>") for c in ("counts", "last", "parent", "tx", "tw", "w")], "total", "backs")
+    both = exchange(left.union(right), "bucket")
+    tables.values = stage.write(both.mapInArrow(tidy(_worths(spark.sparkContext.broadcast(hot_p), tables.divisor)), ddl(VALUES)), "values")
+    _free(spark)
+    return tables
+
+
+def _with_backs(buckets: int):
+    """Answers to chunks again, with the words' backs."""
+
+    def run(batches):
+        for b, rows in runs_of(batches, "bucket"):
+            states = [r for r in rows if r["chunk"] is None]
+            key = np.concatenate([np.empty(0, _U), *(climbed(r["keys"]) for r in states)])
+            back = np.concatenate([np.empty(0), *(np.frombuffer(r["backs"], np.float64) for r in states)])
+            order = np.argsort(key)
+            key, back = key[order], back[order]
+
+            def answers():
+                for r in rows:
+                    if r["chunk"] is not None:
+                        at, there = find(key, mix(decodes(r["numbers"]).astype(_U) + _STEP))
+                        yield r | {"backs": (np.where(there, back[at], np.nan) if len(key) else np.full(len(at), np.nan)).tobytes()}
+
+            yield from sent(ANSWER, answers())
+
+    return run
+
+
+#: Of a chunk: its texts' own sums, or a bucket's sums for texts by their place in the chunk.
+SUMS = pa.schema([("chunk", _l), ("doc_ids", pa.list_(_l)), ("sizes", _b), ("known", _b), ("base", _b), ("tree", _b), ("row", _b), ("sums", _b)])
+_PARCELS = pa.schema([*POSITIONS, *[f for f in SUMS if f.name not in ("chunk", "row")], ("keys", pa.list_(_b)), ("values", pa.list_(_b))])
+
+
+def _ask(depth: int, buckets: int, shared):
+    """Positions of all texts by bucket, and each chunk's own sums: of words, and of hot grams."""
+
+    def run(batches):
+        hot, hot_values = shared.value
+
+        def rows():
+            for chunk in _read(batches):
+                parcels, keys, there, back = _positions(chunk, depth, hot, buckets, rows=True)
+                yield from parcels
+                start = np.cumsum(chunk.size) - chunk.size
+                base = np.log10(chunk.total + 1.0)[chunk.index]
+                tree = base + np.nan_to_num(np.log10(chunk.back))[back[0]]
+                for d in range(depth):
+                    own = np.flatnonzero(there >= d + 1)
+                    at, hit = find(hot[d], keys[d][own])
+                    tree[own[hit]] += hot_values[d][at[hit]]
+                add = lambda v: np.add.reduceat(v, start)
+                yield {"bucket": chunk.name % buckets, "chunk": chunk.name, "doc_ids": chunk.doc_ids, "sizes": codes(chunk.size), "known": codes(add((chunk.total[chunk.index] > 0).astype(np.int64))), "base": add(base).tobytes(), "tree": add(tree).tobytes()}
+
+        yield from sent(_PARCELS, rows())
+
+    return run
+
+
+def _answer(depth: int):
+    """Sums of a bucket's values for each text that has positions in it."""
+
+    def run(batches):
+        for _, rows in runs_of(batches, "bucket"):
+            keys, values = [np.empty(0, _U)] * depth, [np.empty(0)] * depth
+            for r in rows:
+                if r["values"] is not None:
+                    keys, values = [climbed(k) for k in r["keys"]], [np.frombuffer(v, np.float64) for v in r["values"]]
+
+            def sums():
+                held, size = [], 0
+                for r in rows:
+                    if r["sizes"] is not None:
+                        yield {"chunk": r["chunk"], **{c: r[c] for c in ("doc_ids", "sizes", "known", "base", "tree")}}
+                    elif r["row"] is not None:
+                        held.append(r)
+                        size += len(r["row"])
+                        if size >= TOGETHER:
+                            yield from met(held)
+                            held, size = [], 0
+                if held:
+                    yield from met(held)
+
+            def met(own):
+                held = _together(own, depth)
+                total = np.zeros(len(held.x))
+                for d in range(depth):
+                    valid = np.flatnonzero(held.valid[d])
+                    at, there = find(keys[d], held.key[d][valid])
+                    total[valid[there]] += values[d][at[there]]
+                at = 0
+                for r in own:
+                    row = decodes(r["row"]).astype(np.int64)
+                    sum_ = np.rint(np.bincount(row, total[at : at + len(row)]) * _SCALE).astype(np.int64)
+                    at += len(row)
+                    texts = np.flatnonzero(sum_)
+                    yield {"chunk": r["chunk"], "row": codes(np.diff(texts, prepend=0)), "sums": signed(sum_[texts])}
+
+            yield from sent(SUMS, sums())
+
+    return run
+
+
+SCORES = "doc_id long, n_tokens long, n_known long, base double, tree double"
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, rows in runs_of(batches, "chunk"):
+        own = next(r for r in rows if r["sizes"] is not None)
+        tree = np.frombuffer(own["tree"], np.float64).copy()
+        for r in rows:
+            if r["sums"] is not None:
+                np.add.at(tree, np.cumsum(decodes(r["row"]).astype(np.int64)), unsigned(r["sums"]) / _SCALE)
+        columns = [pa.array(own["doc_ids"], _l), decodes(own["sizes"]).astype(np.int64), decodes(own["known"]).astype(np.int64), np.frombuffer(own["base"], np.float64), tree]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in SCORES.split(", ")])
+
+
+def score_texts(docs: DataFrame, depth: int = 3) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows that aren't held out and scores all whole texts.
@@ -442,37 +808,106 @@ def score_texts(docs: DataFrame, depth: int = 2) -> DataFrame:
     """
     spark = docs.sparkSession
     stage = Stage(spark, "suffix-tree")
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    tables = learn_tables(docs.filter(~held_out(F.col("doc_id"))), stage, depth)
-    depth, n, buckets = len(tables.grams) - 1, tables.tokens, 4 * parts(spark)
-    worth = [stage.write(v, f"values-{d}") for d, v in enumerate(values(tables))]
-    least = [max(1.0, share * n) for share in (WORD, ENTRY, *[SYMBOL] * depth)]
-    shared = spark.sparkContext.broadcast([_cached(v.filter(F.col("count") >= least[d])) for d, v in enumerate(worth)])
-    stage.drop(*[f"tree-{d}" for d in range(1, depth + 1)], *[f"states-{d}" for d in range(1, depth + 1)], "words")
-    offers = [v.filter(F.col("count") < least[d]).select("key", "tree", "base").mapInArrow(tidy(_offer(d, buckets)), PARCEL) for d, v in enumerate(worth)]
-    done = []
-    for turn in range(TURNS):
-        own = docs.filter(F.crc32(F.coalesce("doc_id", F.lit(0)).cast("string").cast("binary")) % TURNS == turn)
-        parcels = own.mapInArrow(tidy(_ask(shared, buckets, depth)), PARCEL)
-        for offer in offers:
-            parcels = parcels.union(offer)
-        sums = stage.write(parcels.repartition(parts(spark), "bucket").mapInArrow(tidy(_answer(depth)), SUMS), f"sums-{turn}")
-        sums = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("tree").alias("tree"))
-        # in the order of the input
-        done.append(stage.write(sums.sortWithinPartitions("row"), f"scores-{turn}"))
-        stage.drop(f"sums-{turn}")
-        _free(spark)
-    stage.drop(*[f"values-{d}" for d in range(depth + 1)])
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    divisor = F.col("n_tokens") * float(np.log10(n + tables.distinct + 1))
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    tables = learn_tables(slim.withColumn("train", ~held_out(F.col("doc_id"))), stage, depth)
+    n, buckets = tables.tokens, tables.buckets
+    null = lambda f: F.lit(None).cast(ddl(pa.schema([f])).split()[1]).alias(f.name)
+    backs = tables.states.filter("kind = 2")
+    words = [tables.answers.filter("chunk is not null").select("bucket", "chunk", "keys", "numbers", "totals", "backs"), backs.select(F.col("bucket"), F.lit(None).cast("long").alias("chunk"), "keys", *[null(pa.field(c, _b)) for c in ("numbers", "totals")], "backs")]
+    answers = stage.write(exchange(words[0].union(words[1]), "bucket").mapInArrow(tidy(_with_backs(buckets)), ddl(ANSWER)), "backs")
+    stage.drop("counts", "states", "answers")
+    asked = _chunks(tables.encoded, answers).mapInArrow(tidy(_ask(depth, buckets, spark.sparkContext.broadcast((tables.hot, tables.hot_values)))), ddl(_PARCELS))
+    offered = tables.values.select(*[F.col(f.name) if f.name in ("bucket", "keys", "values") else null(f) for f in _PARCELS])
+    sums = stage.write(exchange(asked.union(offered), "bucket").mapInArrow(tidy(_answer(depth)), ddl(SUMS)), "sums")
+    stage.drop("values", "encoded", "backs")
+    _free(spark)
+    out = exchange(sums, "chunk").mapInArrow(tidy(_add), SCORES)
+    divisor = F.col("n_tokens") * float(np.log10(tables.divisor))
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",
-        F.col("n_known").cast("long").alias("n_known"),
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - divisor).alias("base_score"),
         (F.col("tree") - divisor).alias("score"),
     )
+
+
+# --- a look into the tree of a small corpus -------------------------------------------------------------------------
+
+
+@dataclass
+class Words:
+    """Training words: hash, count, symbol (0: a word never seen)."""
+
+    hash: np.ndarray
+    count: np.ndarray
+    symbol: np.ndarray
+    end: int
+    tokens: int
+    distinct: int
+    rare_tokens: int = 0
+    rare_distinct: int = 0
+
+
+@dataclass
+class States:
+    """The states of one depth: contexts with the share that goes to the suffix, and entries with theirs."""
+
+    context: np.ndarray
+    back: np.ndarray
+    entry: np.ndarray
+    share: np.ndarray
+
+
+@dataclass
+class Tree:
+    words: Words
+    unigram: np.ndarray
+    depths: list[States]
+
+
+def learn(train: DataFrame, stage: Stage, depth: int = 2) -> tuple[Tree, DataFrame]:
+    """The whole tree of a small corpus collected, and its word counts (key, count). Scoring does not collect it.
+
+    Keys are of symbols in BITS each.
+    """
+    if (depth + 1) * BITS > 64:
+        raise ValueError("the keys of a collected tree hold two words of context")
+    tables = learn_tables(train.select("doc_id", "text").withColumn("train", F.lit(True)), stage, depth)
+    number_of, rows = {}, []
+    for r in tables.answers.filter("chunk is null").collect():
+        keys = climbed(r["keys"]).tolist()
+        number_of |= dict(zip(keys, decodes(r["numbers"]).tolist()))
+        rows += zip(keys, decodes(r["totals"]).tolist())
+    rows.sort()
+    symbol = {number_of[h]: i for i, (h, _) in enumerate(rows, 1)}
+    hashes, counts = np.array([h for h, _ in rows], _U), np.array([c for _, c in rows], np.int64)
+    words = Words(hashes, counts, np.arange(1, len(rows) + 1), symbol.get(number_of.get(END), 1), tables.tokens, tables.distinct)
+    unigram = np.concatenate([[1.0], counts + 1.0]) if rows else np.ones(2)
+    named = [{} for _ in range(depth + 1)]  # keys of grams by depth, as symbols
+    for chunk in _read(_chunks(tables.encoded, tables.answers).toArrow().to_batches()):
+        back, there = _before(chunk, depth)
+        code = np.array([symbol[n] for n in chunk.number.tolist()], np.int64)
+        named[0] |= dict(zip(chunk.hash.tolist(), code.tolist()))
+        spelt = code[chunk.index]
+        for d, key in enumerate(_keys(chunk, back), 1):
+            spelt = spelt | code[back[d - 1]] << BITS * d
+            own = there >= d
+            named[d] |= dict(zip(key[own].tolist(), spelt[own].tolist()))
+    held = [{} for _ in range(depth)]
+    for r in tables.states.filter("kind = 0").collect():
+        held[r["depth"] - 1] |= dict(zip(climbed(r["keys"]).tolist(), zip(decodes(r["total"]).tolist(), np.frombuffer(r["backs"], np.float64).tolist())))
+    shares = [{} for _ in range(depth)]
+    for r in tables.counts.collect():
+        for d, g in enumerate(_grams(r.asDict())[0]):
+            for key, n, context in zip(g.key.tolist(), g.n.tolist(), g.context.tolist()):
+                if n >= HELD and context in held[d]:
+                    shares[d][named[d + 1][key]] = (n - DISCOUNT) / held[d][context][0]
+    depths = []
+    for d in range(depth):
+        contexts = sorted((named[d][c], back) for c, (_, back) in held[d].items())
+        entries = sorted(shares[d].items())
+        depths.append(States(np.array([c for c, _ in contexts], _U), np.array([b for _, b in contexts]), np.array([k for k, _ in entries], _U), np.array([x for _, x in entries])))
+    return Tree(words, unigram / unigram.sum(), depths), train.sparkSession.createDataFrame([(h - (1 << 64) if h >> 63 else h, c) for h, c in rows], "key long, count long")

@@ -32,10 +32,8 @@ def made_up(n=300, seed=1):
 
 @pytest.fixture
 def loose(monkeypatch):
-    """Bounds at which a small text has words of every kind."""
-    monkeypatch.setattr(suffix_tree, "SYMBOL", 0.004)
-    monkeypatch.setattr(suffix_tree, "WORD", 0.001)
-    monkeypatch.setattr(suffix_tree, "ENTRY", 0.0005)
+    """A bound at which a small text has grams that are broadcast and others."""
+    monkeypatch.setattr(suffix_tree, "HOT", 50)
 
 
 def test_counts_and_base_against_plain_python(spark, loose):
@@ -92,8 +90,8 @@ def test_scores_against_a_walk_over_the_tree(spark, loose):
         return p
 
     got = {}
-    for r in score_texts(docs).collect():
-        got.setdefault(r["doc_id"], r["score"])
+    for r in score_texts(docs, depth=2).collect():
+        got.setdefault(r["doc_id"], []).append(r["score"])  # of repeated ids several
     for i, text, *_ in rows[:60] + rows[-6:-4]:
         before, want = [w.end], 0.0
         for t in tokens(text):
@@ -102,7 +100,7 @@ def test_scores_against_a_walk_over_the_tree(spark, loose):
             if s == 0:
                 want += math.log10((counts.get(np.array([key(t)], np.uint64).view(np.int64)[0], 0) + 1) / (w.rare_tokens + w.rare_distinct + 1))
             before.append(s)
-        assert abs(got[i] - want) < 1e-6, i
+        assert min(abs(x - want) for x in got[i]) < 1e-6, i
     # every state's distribution sums to one
     for before in ([w.end], [1, 2], [3, 1], [2, 2], [0, 1]):
         assert abs(sum(probability(before, s) for s in range(len(tree.unigram))) - 1) < 1e-9
@@ -116,15 +114,14 @@ def test_empty_and_untrained(spark):
 
 
 def test_minimums_are_counts_at_every_size(spark, monkeypatch):
-    """What is seen often enough is held whatever share of all tokens it is, and the cache changes no score."""
+    """What is seen often enough is held whatever share of all tokens it is, and what is broadcast changes no score."""
     rng = random.Random(5)
     rows = [(i, " ".join("gamma delta epsilon" if rng.random() < 0.02 else f"w{rng.randint(0, 3000)}" for _ in range(60)), 0.0, i, 0) for i in range(400)]
     docs = spark.createDataFrame(rows, DOCS).select("doc_id", "text")
     train = docs.filter(~held_out(F.col("doc_id")))
     scores = []
-    for share in (0.0, 0.001, 1.0):  # all, some and nothing in the cache
-        for name in ("SYMBOL", "WORD", "ENTRY"):
-            monkeypatch.setattr(suffix_tree, name, share)
+    for hot in (1e9, 50, 1e-9):  # nearly all, some and nothing broadcast
+        monkeypatch.setattr(suffix_tree, "HOT", hot)
         scores.append({r["doc_id"]: r["score"] for r in score_texts(docs).collect()})
         tree = learn(train, Stage(spark, "t"))[0]
         w = tree.words
