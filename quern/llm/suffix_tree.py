@@ -48,7 +48,9 @@ _U = np.uint64
 END = 0xE0D0E0D0E0D0E0D1  # the end's place among word hashes
 _STEP = _U(0x9E3779B97F4A7C15)
 _BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SCALE = 1 << 30  # sums are sent in whole parts of this
+_PARTS = 1 << 24  # values of grams are whole parts of this
+#: Bytes of text in a chunk (or one text), and parts in which positions are scored, one after the other: disk holds one part's at a time.
+CHUNK, TURNS = 8 << 20, 2
 TOGETHER = 256 << 10  # packed bytes of text places that are scored at once
 
 
@@ -87,6 +89,14 @@ def climbed(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, _U), dtype=_U)
 
 
+def shares(x: np.ndarray) -> bytes:
+    return pack(x.astype(np.float32).view(np.uint32))
+
+
+def shared(data: bytes) -> np.ndarray:
+    return unpack(data, np.uint32).view(np.float32).astype(np.float64)
+
+
 def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of each key in a sorted table, and whether it is there."""
     if not len(table):
@@ -146,44 +156,54 @@ def exchange(df: DataFrame, to: str, *then: str) -> DataFrame:
 _b, _i, _l = pa.binary(), pa.int32(), pa.int64()
 #: A chunk's texts (bucket is null), and what it asks each bucket of words: hashes and how often they are learnt from.
 ENCODED = pa.schema([("bucket", _i), ("chunk", _l), ("keys", _b), ("counts", _b), ("doc_ids", pa.list_(_l)), ("sizes", _b), ("train", _b), ("index", _b)])
-#: A bucket's answer to a chunk, and (chunk is null) its words and their counts. `back` is of a word as a context, or NaN.
-ANSWER = pa.schema([("bucket", _i), ("chunk", _l), ("keys", _b), ("numbers", _b), ("totals", _b), ("backs", _b), ("tokens", _l), ("words", _l)])
+#: A bucket's answer to a chunk, and (chunk is null) its words and their counts.
+ANSWER = pa.schema([("bucket", _i), ("chunk", _l), ("keys", _b), ("numbers", _b), ("totals", _b), ("tokens", _l), ("words", _l)])
+#: A chunk: its words by number with their counts, what they give back as contexts (or NaN), its texts as places of words; `end` is the end's place.
+CHUNKS = pa.schema([("chunk", _l), ("doc_ids", pa.list_(_l)), ("sizes", _b), ("train", _b), ("index", _b), ("numbers", _b), ("totals", _b), ("backs", _b), ("end", _l)])
 
 
 def _encode(buckets: int):
+    def encoded(name, ids, train, texts):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        at, flat = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        at = at - at[0]
+        words, index = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
+        real = np.array([bool(w) for w in words], bool)[index] if words else np.empty(0, bool)
+        of = np.repeat(np.arange(len(ids)), np.diff(at))[real]
+        index = index[real]
+        # an end after each text
+        sizes = np.bincount(of, minlength=len(ids)) + 1
+        out = np.full(int(sizes.sum()), len(words), np.int64)
+        out[np.arange(len(index)) + of] = index
+        known, place = np.unique(np.append(keys, _U(END)), return_inverse=True)
+        out = place[out]
+        used = np.bincount(out, minlength=len(known)) > 0
+        known, out = known[used], (np.cumsum(used) - 1)[out]
+        counts = np.bincount(out[np.repeat(train, sizes)], minlength=len(known))
+        yield {"chunk": name, "doc_ids": ids, "sizes": codes(sizes), "train": codes(train.astype(np.uint8)), "index": codes(out)}
+        bucket = (mix(known) % _U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for b, lo, hi in bounds(bucket[order]):
+            own = order[lo:hi]
+            yield {"bucket": b, "chunk": name, "keys": climbing(known[own]), "counts": codes(counts[own])}
+
     def run(batches):
-        chunk = TaskContext.get().partitionId() << 33
+        name, held, size = TaskContext.get().partitionId() << 33, [], 0
+
+        def close():
+            texts = pa.concat_arrays([pc.fill_null(b["text"].cast(pa.large_string()), "") for b in held])
+            return sent(ENCODED, encoded(name, [i for b in held for i in b["doc_id"].to_pylist()], np.concatenate([b["train"].to_numpy(zero_copy_only=False) for b in held]), texts))
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = pc.fill_null(batch["text"], "")
-            split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
-            at, flat = split.offsets.to_numpy(), split.flatten().dictionary_encode()
-            at = at - at[0]
-            words, index = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
-            real = np.array([bool(w) for w in words], bool)[index] if words else np.empty(0, bool)
-            of = np.repeat(np.arange(batch.num_rows), np.diff(at))[real]
-            index = index[real]
-            # an end after each text
-            sizes = np.bincount(of, minlength=batch.num_rows) + 1
-            out = np.full(int(sizes.sum()), len(words), np.int64)
-            out[np.arange(len(index)) + of] = index
-            keys = np.append(keys, _U(END))
-            known, place = np.unique(keys, return_inverse=True)
-            out = place[out]
-            used = np.bincount(out, minlength=len(known)) > 0
-            known, out = known[used], (np.cumsum(used) - 1)[out]
-            train = batch["train"].to_numpy(zero_copy_only=False)
-            counts = np.bincount(out[np.repeat(train, sizes)], minlength=len(known))
-            rows = [{"chunk": chunk, "doc_ids": batch["doc_id"].to_pylist(), "sizes": codes(sizes), "train": codes(train.astype(np.uint8)), "index": codes(out)}]
-            bucket = (mix(known) % _U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            for b, lo, hi in bounds(bucket[order]):
-                own = order[lo:hi]
-                rows.append({"bucket": b, "chunk": chunk, "keys": climbing(known[own]), "counts": codes(counts[own])})
-            yield from sent(ENCODED, iter(rows))
-            chunk += 1
+            if batch.num_rows:
+                held.append(batch)
+                size += batch["text"].nbytes
+                if size >= CHUNK:
+                    yield from close()
+                    name, held, size = name + 1, [], 0
+        if held:
+            yield from close()
 
     return run
 
@@ -211,12 +231,30 @@ def _number(buckets: int):
     return run
 
 
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for name, got in runs_of(batches, "chunk"):
+            text = got.pop()
+            keys = np.concatenate([climbed(r["keys"]) for r in got])
+            by_key = np.argsort(keys)
+            number, total = (np.concatenate([decodes(r[c]).astype(np.int64) for r in got])[by_key] for c in ("numbers", "totals"))
+            order = np.argsort(number)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            yield {
+                **{c: text[c] for c in ("chunk", "doc_ids", "sizes", "train")}, "index": codes(place[decodes(text["index"])]),
+                "numbers": codes(np.diff(number[order], prepend=0)), "totals": codes(total[order]), "end": int(place[np.searchsorted(keys[by_key], _U(END))]),
+            }
+
+    yield from sent(CHUNKS, rows())
+
+
 def _chunks(encoded: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each chunk's answers, then its texts, in one partition."""
+    """Chunks in CHUNKS: each one's answers meet its texts in one partition."""
     null = lambda kind: F.lit(None).cast(kind)
-    asked = answers.filter("chunk is not null").select("chunk", F.lit(0).alias("side"), "keys", "numbers", "totals", "backs", *[null(t).alias(c) for c, t in (("doc_ids", "array<long>"), ("sizes", "binary"), ("train", "binary"), ("index", "binary"))])
-    texts = encoded.filter("bucket is null").select("chunk", F.lit(1).alias("side"), *[null("binary").alias(c) for c in ("keys", "numbers", "totals", "backs")], "doc_ids", "sizes", "train", "index")
-    return exchange(asked.union(texts), "chunk", "side")
+    asked = answers.filter("chunk is not null").select("chunk", F.lit(0).alias("side"), "keys", "numbers", "totals", *[null(t).alias(c) for c, t in (("doc_ids", "array<long>"), ("sizes", "binary"), ("train", "binary"), ("index", "binary"))])
+    texts = encoded.filter("bucket is null").select("chunk", F.lit(1).alias("side"), *[null("binary").alias(c) for c in ("keys", "numbers", "totals")], "doc_ids", "sizes", "train", "index")
+    return exchange(asked.union(texts), "chunk", "side").mapInArrow(tidy(_join), ddl(CHUNKS))
 
 
 @dataclass
@@ -240,14 +278,16 @@ class Chunk:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-    for name, rows in runs_of(batches, "chunk"):
-        text = rows.pop()
-        keys = np.concatenate([climbed(r["keys"]) for r in rows])
-        order = np.argsort(keys)
-        number, total = (np.concatenate([decodes(r[c]).astype(np.int64) for r in rows])[order] for c in ("numbers", "totals"))
-        back = np.concatenate([np.frombuffer(r["backs"], np.float64) if r["backs"] else np.full(len(climbed(r["keys"])), np.nan) for r in rows])[order]
-        end = int(np.searchsorted(keys[order], _U(END)))
-        yield Chunk(name, text["doc_ids"], decodes(text["sizes"]).astype(np.int64), decodes(text["train"]).astype(bool), decodes(text["index"]).astype(np.int64), number, total, back, mix(number.view(_U) + _STEP), end)
+    for batch in batches:
+        for r in batch.to_pylist():
+            number = np.cumsum(decodes(r["numbers"]).astype(np.int64))
+            back = shared(r["backs"]) if r["backs"] else np.full(len(number), np.nan)
+            yield Chunk(r["chunk"], r["doc_ids"], decodes(r["sizes"]).astype(np.int64), decodes(r["train"]).astype(bool), decodes(r["index"]).astype(np.int64), number, decodes(r["totals"]).astype(np.int64), back, word_key(number), r["end"])
+
+
+def word_key(number: np.ndarray) -> np.ndarray:
+    """The key of a word, by its number, as a context of its own."""
+    return mix(number.astype(_U) + _STEP)
 
 
 # --- grams ------------------------------------------------------------------------------------------------------
@@ -279,7 +319,7 @@ def _keys(chunk: Chunk, back: list[np.ndarray]) -> list[np.ndarray]:
 
 def context_of(key: np.ndarray, number: np.ndarray) -> np.ndarray:
     """The key of a gram's context, which is that of the context as a gram itself."""
-    return (key - mix(number.astype(_U) + _STEP)) * _BACK
+    return (key - word_key(number)) * _BACK
 
 
 HOT_ROWS = pa.schema([("depth", _i), ("key", _l), ("count", _l)])
@@ -332,27 +372,31 @@ def _way(keys: list[np.ndarray], there: np.ndarray, hot: list[np.ndarray], bucke
     return least, home
 
 
-#: Positions of one bucket from one chunk: runs of one last pair (its words, their counts, its length), words further back (0: none), the least depth, the text's place in the chunk.
-POSITIONS = pa.schema([("bucket", _i), ("chunk", _l), ("x", _b), ("w", _b), ("tx", _b), ("tw", _b), ("runs", _b), ("far", pa.list_(_b)), ("least", _b), ("row", _b), ("own", _b)])
+#: Positions of one bucket from one chunk: words of last pairs and their counts; runs of one last pair (the last word, the one before, the run's length); words further back (0: none), the least depth, the text's place in the chunk.
+POSITIONS = pa.schema([("bucket", _i), ("chunk", _l), ("words", _b), ("totals", _b), ("x", _b), ("w", _b), ("runs", _b), ("far", pa.list_(_b)), ("least", _b), ("row", _b), ("own", _b)])
 
 
-def _positions(chunk: Chunk, depth: int, hot: list[np.ndarray], buckets: int, rows: bool) -> tuple[Iterator[dict], list[np.ndarray], np.ndarray, list[np.ndarray]]:
+def _positions(chunk: Chunk, depth: int, hot: list[np.ndarray], buckets: int, turn: int | None) -> tuple[Iterator[dict], list[np.ndarray], np.ndarray, list[np.ndarray]]:
     """Rows of POSITIONS; and the keys by depth, the depths there are, and the words back."""
     back, there = _before(chunk, depth)
     keys = _keys(chunk, back)
     least, home = _way(keys, there, hot, buckets)
 
     def parcels():
-        go = np.flatnonzero(least <= depth)
-        order = go[np.argsort((home[go].astype(_U) << _U(40)) | (keys[0][go] >> _U(24)))]
-        x, w = chunk.index[order], back[0][order]
-        of = np.repeat(np.arange(len(chunk.size)), chunk.size)[order] if rows else None
+        go = np.flatnonzero((least <= depth) if turn is None else (least <= depth) & (home % TURNS == turn))
+        x, w, n = chunk.index[go], back[0][go], len(chunk.number)
+        order = np.argsort((home[go] * n + w) * n + x, kind="stable") if buckets * n * n < 1 << 63 else np.lexsort((x, w, home[go]))
+        x, w, order = x[order], w[order], go[order]
+        of = None if turn is None else np.repeat(np.arange(len(chunk.size)), chunk.size)[order]
         far = [np.where(there[order] >= d, chunk.number[back[d - 1][order]], 0) for d in range(2, depth + 1)]
         for b, lo, hi in bounds(home[order]):
             first = lo + np.flatnonzero(np.concatenate([[True], (x[lo + 1 : hi] != x[lo : hi - 1]) | (w[lo + 1 : hi] != w[lo : hi - 1])]))
+            used = np.zeros(n, bool)
+            used[x[first]] = used[w[first]] = True
+            own, place = np.flatnonzero(used), np.cumsum(used) - 1
             yield {
-                "bucket": b, "chunk": chunk.name, "x": codes(chunk.number[x[first]]), "w": codes(chunk.number[w[first]]), "tx": codes(chunk.total[x[first]]), "tw": codes(chunk.total[w[first]]),
-                "runs": codes(np.diff(np.append(first, hi))), "far": [codes(f[lo:hi]) for f in far], "least": codes(least[order[lo:hi]]), "row": codes(of[lo:hi]) if rows else None,
+                "bucket": b, "chunk": chunk.name, "words": codes(np.diff(chunk.number[own], prepend=0)), "totals": codes(chunk.total[own]), "x": codes(place[x[first]]), "w": codes(np.diff(place[w[first]], prepend=0)),
+                "runs": codes(np.diff(np.append(first, hi))), "far": [codes(f[lo:hi]) for f in far], "least": codes(least[order[lo:hi]]), "row": None if of is None else codes(of[lo:hi]),
             }
 
     return parcels(), keys, there, back
@@ -360,8 +404,9 @@ def _positions(chunk: Chunk, depth: int, hot: list[np.ndarray], buckets: int, ro
 
 @dataclass
 class Held:
-    """Positions of a bucket put together again."""
+    """Positions of a bucket put together again: each one's run, facts of runs, keys of positions."""
 
+    run: np.ndarray
     x: np.ndarray
     w: np.ndarray
     tx: np.ndarray
@@ -371,36 +416,40 @@ class Held:
 
 
 def _together(rows: list[dict], depth: int) -> Held:
-    wide = lambda name: np.concatenate([decodes(r[name]).astype(np.int64) for r in rows])
-    runs, least = wide("runs"), wide("least")
-    x, w, tx, tw = (np.repeat(wide(c), runs) for c in ("x", "w", "tx", "tw"))
+    xs, ws, txs, tws, runs = [], [], [], [], []
+    for r in rows:
+        word, total = np.cumsum(decodes(r["words"]).astype(np.int64)), decodes(r["totals"]).astype(np.int64)
+        x, w = decodes(r["x"]).astype(np.int64), np.cumsum(decodes(r["w"]).astype(np.int64))
+        for out, v in ((xs, word[x]), (ws, word[w]), (txs, total[x]), (tws, total[w]), (runs, decodes(r["runs"]).astype(np.int64))):
+            out.append(v)
+    x, w, tx, tw, runs = (np.concatenate(v) for v in (xs, ws, txs, tws, runs))
+    least = np.concatenate([decodes(r["least"]) for r in rows])
     power = _powers(depth)
-    number = lambda n: mix(n.view(_U) + _STEP)
-    key = [np.repeat(number(wide("x")) + power[1] * number(wide("w")), runs)]
+    key = [np.repeat(word_key(x) + power[1] * word_key(w), runs)]
     valid = [least <= 1]
     for d in range(2, depth + 1):
         far = np.concatenate([decodes(r["far"][d - 2]).astype(np.int64) for r in rows])
-        key.append(key[-1] + power[d] * number(far))
+        key.append(key[-1] + power[d] * word_key(far))
         valid.append((least <= d) & (far > 0))
-    return Held(x, w, tx, tw, key, valid)
+    return Held(np.repeat(np.arange(len(runs)), runs), x, w, tx, tw, key, valid)
 
 
 #: Held grams of a bucket, by depth: sorted keys, counts, last words, places of their suffixes (from the bucket's number of shorter grams on: of hot ones). Of depth 1: counts of the last word and of the one before, and that one's number.
 COUNTS = pa.schema([("bucket", _i), ("keys", pa.list_(_b)), ("counts", pa.list_(_b)), ("last", pa.list_(_b)), ("parent", pa.list_(_b)), ("tx", pa.list_(_b)), ("tw", pa.list_(_b)), ("w", pa.list_(_b))])
 
 
-def _learn(depth: int, buckets: int, shared):
+def _learn(depth: int, buckets: int, common):
     """Positions of training texts by bucket; counts of hot grams go to the bucket after the last."""
 
     def run(batches):
-        hot = shared.value
+        hot = common.value
         counts = [np.zeros(len(h), np.int64) for h in hot]
         facts = [np.zeros((5, len(h)), np.int64) for h in hot]  # last word, its count, count of the word before, suffix, the word before
 
         def rows():
             for chunk in _read(batches):
                 chunk = chunk.only_train()
-                parcels, keys, there, back = _positions(chunk, depth, hot, buckets, rows=False)
+                parcels, keys, there, back = _positions(chunk, depth, hot, buckets, None)
                 yield from parcels
                 for d in range(depth):
                     own = np.flatnonzero(there >= d + 1)
@@ -418,9 +467,9 @@ def _learn(depth: int, buckets: int, shared):
     return run
 
 
-def _count(depth: int, buckets: int, shared):
+def _count(depth: int, buckets: int, common):
     def run(batches):
-        hot = shared.value
+        hot = common.value
         for b, rows in runs_of(batches, "bucket"):
             table = []
             if b == buckets:
@@ -444,7 +493,8 @@ def _count(depth: int, buckets: int, shared):
                     if d:
                         parent, local = find(before, held.key[d - 1][first])
                         parent = np.where(local, parent, len(before) + find(hot[d - 1], held.key[d - 1][first])[0])
-                    table.append((key, n, held.x[first], held.tx[first], held.tw[first], parent, held.w[first]))
+                    run = held.run[first]
+                    table.append((key, n, held.x[run], held.tx[run], held.tw[run], parent, held.w[run]))
                     before = key
             yield batch_of(COUNTS, [{
                 "bucket": b, "keys": [climbing(t[0]) for t in table], "counts": [codes(t[1]) for t in table], "last": [codes(t[2]) for t in table],
@@ -480,11 +530,11 @@ STATS = pa.schema([("bucket", _i), ("depth", _i), ("kind", _i), ("home", _i), ("
 STATES = pa.schema([("bucket", _i), ("depth", _i), ("kind", _i), ("keys", _b), ("total", _b), ("backs", _b)])
 
 
-def _stats(depth: int, buckets: int, shared):
+def _stats(depth: int, buckets: int, common):
     """What a bucket knows of contexts. Of words as contexts, to the words' own bucket."""
 
     def run(batches):
-        hot_counts = shared.value
+        hot_counts = common.value
 
         def rows():
             for batch in batches:
@@ -556,15 +606,15 @@ def _decide(buckets: int, tokens: int):
                         at = np.searchsorted(c, k)
                         on = state[at]
                         if on.any():
-                            yield {"bucket": r["home"], "depth": d, "kind": 0, "keys": climbing(k[on]), "total": codes(total[at[on]].astype(np.int64)), "backs": back[at[on]].tobytes()}
+                            yield {"bucket": r["home"], "depth": d, "kind": 0, "keys": climbing(k[on]), "total": codes(total[at[on]].astype(np.int64)), "backs": shares(back[at[on]])}
                     for r in own:
                         k = climbed(r["keys"])
                         at, there = find(c, k)
                         on = there & state[at]
                         if on.any():
-                            yield {"bucket": r["home"], "depth": d - 1, "kind": 1, "keys": climbing(k[on]), "backs": back[at[on]].tobytes()}
+                            yield {"bucket": r["home"], "depth": d - 1, "kind": 1, "keys": climbing(k[on]), "backs": shares(back[at[on]])}
                     if d == 1 and state.any():
-                        yield {"bucket": b, "depth": 0, "kind": 2, "keys": climbing(c[state]), "backs": back[state].tobytes()}
+                        yield {"bucket": b, "depth": 0, "kind": 2, "keys": climbing(c[state]), "backs": shares(back[state])}
 
         yield from sent(STATES, rows())
 
@@ -578,18 +628,18 @@ VALUES = pa.schema([("bucket", _i), ("keys", pa.list_(_b)), ("values", pa.list_(
 def worth(row: dict, states: list[dict], hot_p: list[np.ndarray] | None, divisor: float) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """By depth the keys, values and probabilities of a bucket's grams. `hot_p` is None in the bucket of hot grams, whose suffixes are there."""
     grams, tx, _ = _grams(row)
-    keys, values, shares = [], [], []
+    keys, values, likely = [], [], []
 
     def known(kind: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = [r for r in states if r["kind"] == kind and r["depth"] == d]
         key = np.concatenate([np.empty(0, _U), *(climbed(r["keys"]) for r in own)])
         order = np.argsort(key)
         total = np.concatenate([np.empty(0, np.int64), *(decodes(r["total"]).astype(np.int64) if kind == 0 else np.empty(0, np.int64) for r in own)])
-        back = np.concatenate([np.empty(0), *(np.frombuffer(r["backs"], np.float64) for r in own)])
+        back = np.concatenate([np.empty(0), *(shared(r["backs"]) for r in own)])
         return key[order], total[order] if kind == 0 else total, back[order]
 
     for d, g in enumerate(grams, 1):
-        parent = (tx + 1) / divisor if d == 1 else (shares[-1] if hot_p is None else np.concatenate([shares[-1], hot_p[d - 2]]))[g.parent]
+        parent = (tx + 1) / divisor if d == 1 else (likely[-1] if hot_p is None else np.concatenate([likely[-1], hot_p[d - 2]]))[g.parent]
         total, back, value = np.zeros(len(g.key)), np.full(len(g.key), np.nan), np.zeros(len(g.key))
         context, totals, backs = known(0, d)
         at, there = find(context, g.context)
@@ -603,20 +653,20 @@ def worth(row: dict, states: list[dict], hot_p: list[np.ndarray] | None, divisor
         value[on] += np.log10(p[on]) - np.log10(back[on]) - np.log10(parent[on])
         keys.append(g.key)
         values.append(value)
-        shares.append(p)
-    return keys, values, shares
+        likely.append(p)
+    return keys, values, likely
 
 
-def _worths(shared, divisor: float):
+def _worths(common, divisor: float):
     def run(batches):
-        hot_p = shared.value
+        hot_p = common.value
         for b, rows in runs_of(batches, "bucket"):
             counts = [r for r in rows if r["counts"] is not None]
             if not counts:
                 continue
             keys, values, _ = worth(counts[0], [r | {"keys": r["keys"][0]} for r in rows if r["counts"] is None], hot_p, divisor)
             on = [v != 0 for v in values]
-            yield batch_of(VALUES, [{"bucket": b, "keys": [climbing(k[o]) for k, o in zip(keys, on)], "values": [v[o].tobytes() for v, o in zip(values, on)]}])
+            yield batch_of(VALUES, [{"bucket": b, "keys": [climbing(k[o]) for k, o in zip(keys, on)], "values": [signed(np.rint(v[o] * _PARTS)) for v, o in zip(values, on)]}])
 
     return run
 
@@ -628,8 +678,8 @@ def _worths(shared, divisor: float):
 class Tables:
     """The whole tree as written tables, and what is broadcast of it: keys, counts and values of hot grams by depth."""
 
-    encoded: DataFrame
-    answers: DataFrame
+    chunks: DataFrame
+    vocabulary: DataFrame
     counts: DataFrame
     states: DataFrame
     values: DataFrame
@@ -661,23 +711,27 @@ def learn_tables(docs: DataFrame, stage: Stage, depth: int) -> Tables:
     answers = stage.write(exchange(asked, "bucket").mapInArrow(tidy(_number(buckets)), ddl(ANSWER)), "answers")
     whole = answers.filter("chunk is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     tokens, distinct = int(whole[0]), int(whole[1])
-    every = max(1, encoded.filter("bucket is null").count() // SAMPLE_CHUNKS)
-    some = F.pmod(F.xxhash64("chunk"), F.lit(every)) == 0
-    hot = _hot(_chunks(encoded.filter(some), answers.filter(some)), stage, depth, buckets)
-    shared = spark.sparkContext.broadcast(hot)
-    positions = _chunks(encoded, answers).mapInArrow(tidy(_learn(depth, buckets, shared)), ddl(POSITIONS))
-    counts = stage.write(exchange(positions, "bucket").mapInArrow(tidy(_count(depth, buckets, shared)), ddl(COUNTS)), "counts")
+    chunks = stage.write(_chunks(encoded, answers), "chunks")
+    vocabulary = stage.write(answers.filter("chunk is null").select("keys", "numbers", "totals"), "vocabulary")
+    stage.drop("encoded", "answers")
+    _free(spark)
+    every = max(1, chunks.count() // SAMPLE_CHUNKS)
+    hot = _hot(chunks.filter(F.pmod(F.xxhash64("chunk"), F.lit(every)) == 0), stage, depth, buckets)
+    common = spark.sparkContext.broadcast(hot)
+    counts = stage.write(exchange(chunks.mapInArrow(tidy(_learn(depth, buckets, common)), ddl(POSITIONS)), "bucket").mapInArrow(tidy(_count(depth, buckets, common)), ddl(COUNTS)), "counts")
     _free(spark)
     hot_row = counts.filter(F.col("bucket") == buckets).first()  # at most HOT * buckets grams a depth
     hot_row = hot_row and hot_row.asDict()
     hot_counts = [g.n for g in _grams(hot_row)[0]] if hot_row else [np.zeros(len(h), np.int64) for h in hot]
     stats = counts.mapInArrow(tidy(_stats(depth, buckets, spark.sparkContext.broadcast(hot_counts))), ddl(STATS))
     states = stage.write(exchange(stats, "bucket").mapInArrow(tidy(_decide(buckets, tokens)), ddl(STATES)), "states")
-    tables = Tables(encoded, answers, counts, states, counts, tokens, distinct, buckets, hot, [np.zeros(len(h)) for h in hot])
+    _free(spark)
+    tables = Tables(chunks, vocabulary, counts, states, counts, tokens, distinct, buckets, hot, [np.zeros(len(h)) for h in hot])
     hot_p = [np.zeros(len(h)) for h in hot]
     if hot_row:
         own = [r.asDict() for r in states.filter((F.col("bucket") == buckets) & (F.col("kind") < 2)).collect()]
-        _, tables.hot_values, hot_p = worth(hot_row, own, None, tables.divisor)
+        _, values, hot_p = worth(hot_row, own, None, tables.divisor)
+        tables.hot_values = [np.rint(v * _PARTS) / _PARTS for v in values]
     null = lambda c, kind: F.lit(None).cast(kind).alias(c)
     left = counts.filter(F.col("bucket") < buckets).select("bucket", null("depth", "int"), null("kind", "int"), "keys", "counts", "last", "parent", "tx", "tw", "w", null("total", "binary"), null("backs", "binary"))
     right = states.filter((F.col("bucket") < buckets) & (F.col("kind") < 2)).select("bucket", "depth", "kind", F.array("keys").alias("keys"), *[null(c, "array<binary>") for c in ("counts", "last", "parent", "tx", "tw", "w")], "total", "backs")
@@ -687,26 +741,67 @@ def learn_tables(docs: DataFrame, stage: Stage, depth: int) -> Tables:
     return tables
 
 
-def _with_backs(buckets: int):
-    """Answers to chunks again, with the words' backs."""
+#: A chunk's words of one bucket (numbers), or with chunk null a bucket's states among words; answered by numbers and backs.
+BACKS = pa.schema([("bucket", _i), ("chunk", _l), ("numbers", _b), ("backs", _b)])
 
+
+def _ask_backs(buckets: int):
     def run(batches):
-        for b, rows in runs_of(batches, "bucket"):
-            states = [r for r in rows if r["chunk"] is None]
-            key = np.concatenate([np.empty(0, _U), *(climbed(r["keys"]) for r in states)])
-            back = np.concatenate([np.empty(0), *(np.frombuffer(r["backs"], np.float64) for r in states)])
+        def rows():
+            for batch in batches:
+                for r in batch.to_pylist():
+                    number = np.cumsum(decodes(r["numbers"]).astype(np.int64))
+                    bucket = (number - 1) % buckets
+                    order = np.argsort(bucket, kind="stable")
+                    for b, lo, hi in bounds(bucket[order]):
+                        yield {"bucket": b, "chunk": r["chunk"], "numbers": codes(np.diff(number[order[lo:hi]], prepend=0))}
+
+        yield from sent(BACKS, rows())
+
+    return run
+
+
+def _give_backs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for _, got in runs_of(batches, "bucket"):
+            states = [r for r in got if r["chunk"] is None]
+            if not states:
+                continue
+            key, back = np.concatenate([climbed(r["numbers"]) for r in states]), np.concatenate([shared(r["backs"]) for r in states])
             order = np.argsort(key)
             key, back = key[order], back[order]
+            for r in got:
+                if r["chunk"] is not None:
+                    number = np.cumsum(decodes(r["numbers"]).astype(np.int64))
+                    at, there = find(key, word_key(number))
+                    if there.any():
+                        yield {"chunk": r["chunk"], "numbers": codes(np.diff(number[there], prepend=0)), "backs": shares(back[at[there]])}
 
-            def answers():
-                for r in rows:
-                    if r["chunk"] is not None:
-                        at, there = find(key, mix(decodes(r["numbers"]).astype(_U) + _STEP))
-                        yield r | {"backs": (np.where(there, back[at], np.nan) if len(key) else np.full(len(at), np.nan)).tobytes()}
+    yield from sent(BACKS, rows())
 
-            yield from sent(ANSWER, answers())
 
-    return run
+def _take_backs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for _, got in runs_of(batches, "chunk"):
+            chunk = got.pop()
+            number = np.cumsum(decodes(chunk["numbers"]).astype(np.int64))
+            back = np.full(len(number), np.nan)
+            for r in got:
+                back[np.searchsorted(number, np.cumsum(decodes(r["numbers"]).astype(np.int64)))] = shared(r["backs"])
+            yield chunk | {"backs": shares(back)}
+
+    yield from sent(CHUNKS, rows())
+
+
+def _with_backs(tables: Tables) -> DataFrame:
+    """Chunks with what their words give back as contexts."""
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    asked = tables.chunks.select("chunk", "numbers").mapInArrow(tidy(_ask_backs(tables.buckets)), ddl(BACKS))
+    states = tables.states.filter("kind = 2").select("bucket", null("chunk", "long"), F.col("keys").alias("numbers"), "backs")
+    given = exchange(asked.union(states), "bucket").mapInArrow(tidy(_give_backs), ddl(BACKS))
+    given = given.select("chunk", F.lit(0).alias("side"), *[F.col(f.name) if f.name in ("numbers", "backs") else null(f.name, ddl(pa.schema([f])).split()[1]) for f in CHUNKS if f.name != "chunk"])
+    chunks = tables.chunks.select("chunk", F.lit(1).alias("side"), *[f.name for f in CHUNKS if f.name != "chunk"])
+    return exchange(given.union(chunks), "chunk", "side").mapInArrow(tidy(_take_backs), ddl(CHUNKS))
 
 
 #: Of a chunk: its texts' own sums, or a bucket's sums for texts by their place in the chunk.
@@ -714,16 +809,18 @@ SUMS = pa.schema([("chunk", _l), ("doc_ids", pa.list_(_l)), ("sizes", _b), ("kno
 _PARCELS = pa.schema([*POSITIONS, *[f for f in SUMS if f.name not in ("chunk", "row")], ("keys", pa.list_(_b)), ("values", pa.list_(_b))])
 
 
-def _ask(depth: int, buckets: int, shared):
-    """Positions of all texts by bucket, and each chunk's own sums: of words, and of hot grams."""
+def _ask(depth: int, buckets: int, common, turn: int):
+    """Positions of all texts by bucket, and in the first turn each chunk's own sums: of words, and of hot grams."""
 
     def run(batches):
-        hot, hot_values = shared.value
+        hot, hot_values = common.value
 
         def rows():
             for chunk in _read(batches):
-                parcels, keys, there, back = _positions(chunk, depth, hot, buckets, rows=True)
+                parcels, keys, there, back = _positions(chunk, depth, hot, buckets, turn)
                 yield from parcels
+                if turn:
+                    continue
                 start = np.cumsum(chunk.size) - chunk.size
                 base = np.log10(chunk.total + 1.0)[chunk.index]
                 tree = base + np.nan_to_num(np.log10(chunk.back))[back[0]]
@@ -747,7 +844,7 @@ def _answer(depth: int):
             keys, values = [np.empty(0, _U)] * depth, [np.empty(0)] * depth
             for r in rows:
                 if r["values"] is not None:
-                    keys, values = [climbed(k) for k in r["keys"]], [np.frombuffer(v, np.float64) for v in r["values"]]
+                    keys, values = [climbed(k) for k in r["keys"]], [unsigned(v) / _PARTS for v in r["values"]]
 
             def sums():
                 held, size = [], 0
@@ -765,7 +862,7 @@ def _answer(depth: int):
 
             def met(own):
                 held = _together(own, depth)
-                total = np.zeros(len(held.x))
+                total = np.zeros(len(held.run))
                 for d in range(depth):
                     valid = np.flatnonzero(held.valid[d])
                     at, there = find(keys[d], held.key[d][valid])
@@ -773,7 +870,7 @@ def _answer(depth: int):
                 at = 0
                 for r in own:
                     row = decodes(r["row"]).astype(np.int64)
-                    sum_ = np.rint(np.bincount(row, total[at : at + len(row)]) * _SCALE).astype(np.int64)
+                    sum_ = np.rint(np.bincount(row, total[at : at + len(row)]) * _PARTS).astype(np.int64)
                     at += len(row)
                     texts = np.flatnonzero(sum_)
                     yield {"chunk": r["chunk"], "row": codes(np.diff(texts, prepend=0)), "sums": signed(sum_[texts])}
@@ -792,7 +889,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = np.frombuffer(own["tree"], np.float64).copy()
         for r in rows:
             if r["sums"] is not None:
-                np.add.at(tree, np.cumsum(decodes(r["row"]).astype(np.int64)), unsigned(r["sums"]) / _SCALE)
+                np.add.at(tree, np.cumsum(decodes(r["row"]).astype(np.int64)), unsigned(r["sums"]) / _PARTS)
         columns = [pa.array(own["doc_ids"], _l), decodes(own["sizes"]).astype(np.int64), decodes(own["known"]).astype(np.int64), np.frombuffer(own["base"], np.float64), tree]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in SCORES.split(", ")])
 
@@ -812,15 +909,18 @@ def score_texts(docs: DataFrame, depth: int = 3) -> DataFrame:
     tables = learn_tables(slim.withColumn("train", ~held_out(F.col("doc_id"))), stage, depth)
     n, buckets = tables.tokens, tables.buckets
     null = lambda f: F.lit(None).cast(ddl(pa.schema([f])).split()[1]).alias(f.name)
-    backs = tables.states.filter("kind = 2")
-    words = [tables.answers.filter("chunk is not null").select("bucket", "chunk", "keys", "numbers", "totals", "backs"), backs.select(F.col("bucket"), F.lit(None).cast("long").alias("chunk"), "keys", *[null(pa.field(c, _b)) for c in ("numbers", "totals")], "backs")]
-    answers = stage.write(exchange(words[0].union(words[1]), "bucket").mapInArrow(tidy(_with_backs(buckets)), ddl(ANSWER)), "backs")
-    stage.drop("counts", "states", "answers")
-    asked = _chunks(tables.encoded, answers).mapInArrow(tidy(_ask(depth, buckets, spark.sparkContext.broadcast((tables.hot, tables.hot_values)))), ddl(_PARCELS))
-    offered = tables.values.select(*[F.col(f.name) if f.name in ("bucket", "keys", "values") else null(f) for f in _PARCELS])
-    sums = stage.write(exchange(asked.union(offered), "bucket").mapInArrow(tidy(_answer(depth)), ddl(SUMS)), "sums")
-    stage.drop("values", "encoded", "backs")
+    stage.drop("counts")
+    ready = stage.write(_with_backs(tables), "ready")
+    stage.drop("states", "chunks", "vocabulary")
     _free(spark)
+    common, sums = spark.sparkContext.broadcast((tables.hot, tables.hot_values)), None
+    for turn in range(TURNS):
+        asked = ready.mapInArrow(tidy(_ask(depth, buckets, common, turn)), ddl(_PARCELS))
+        offered = tables.values.filter(F.col("bucket") % TURNS == turn).select(*[F.col(f.name) if f.name in ("bucket", "keys", "values") else null(f) for f in _PARCELS])
+        got = stage.write(exchange(asked.union(offered), "bucket").mapInArrow(tidy(_answer(depth)), ddl(SUMS)), f"sums-{turn}")
+        sums = got if sums is None else sums.union(got)
+        _free(spark)
+    stage.drop("values", "ready")
     out = exchange(sums, "chunk").mapInArrow(tidy(_add), SCORES)
     divisor = F.col("n_tokens") * float(np.log10(tables.divisor))
     return out.select(
@@ -877,7 +977,7 @@ def learn(train: DataFrame, stage: Stage, depth: int = 2) -> tuple[Tree, DataFra
         raise ValueError("the keys of a collected tree hold two words of context")
     tables = learn_tables(train.select("doc_id", "text").withColumn("train", F.lit(True)), stage, depth)
     number_of, rows = {}, []
-    for r in tables.answers.filter("chunk is null").collect():
+    for r in tables.vocabulary.collect():
         keys = climbed(r["keys"]).tolist()
         number_of |= dict(zip(keys, decodes(r["numbers"]).tolist()))
         rows += zip(keys, decodes(r["totals"]).tolist())
@@ -887,27 +987,26 @@ def learn(train: DataFrame, stage: Stage, depth: int = 2) -> tuple[Tree, DataFra
     words = Words(hashes, counts, np.arange(1, len(rows) + 1), symbol.get(number_of.get(END), 1), tables.tokens, tables.distinct)
     unigram = np.concatenate([[1.0], counts + 1.0]) if rows else np.ones(2)
     named = [{} for _ in range(depth + 1)]  # keys of grams by depth, as symbols
-    for chunk in _read(_chunks(tables.encoded, tables.answers).toArrow().to_batches()):
+    for chunk in _read(tables.chunks.toArrow().to_batches()):
         back, there = _before(chunk, depth)
         code = np.array([symbol[n] for n in chunk.number.tolist()], np.int64)
         named[0] |= dict(zip(chunk.hash.tolist(), code.tolist()))
         spelt = code[chunk.index]
         for d, key in enumerate(_keys(chunk, back), 1):
             spelt = spelt | code[back[d - 1]] << BITS * d
-            own = there >= d
-            named[d] |= dict(zip(key[own].tolist(), spelt[own].tolist()))
+            named[d] |= dict(zip(key[there >= d].tolist(), spelt[there >= d].tolist()))
     held = [{} for _ in range(depth)]
     for r in tables.states.filter("kind = 0").collect():
-        held[r["depth"] - 1] |= dict(zip(climbed(r["keys"]).tolist(), zip(decodes(r["total"]).tolist(), np.frombuffer(r["backs"], np.float64).tolist())))
-    shares = [{} for _ in range(depth)]
+        held[r["depth"] - 1] |= dict(zip(climbed(r["keys"]).tolist(), zip(decodes(r["total"]).tolist(), shared(r["backs"]).tolist())))
+    own = [{} for _ in range(depth)]
     for r in tables.counts.collect():
         for d, g in enumerate(_grams(r.asDict())[0]):
             for key, n, context in zip(g.key.tolist(), g.n.tolist(), g.context.tolist()):
                 if n >= HELD and context in held[d]:
-                    shares[d][named[d + 1][key]] = (n - DISCOUNT) / held[d][context][0]
+                    own[d][named[d + 1][key]] = (n - DISCOUNT) / held[d][context][0]
     depths = []
     for d in range(depth):
         contexts = sorted((named[d][c], back) for c, (_, back) in held[d].items())
-        entries = sorted(shares[d].items())
+        entries = sorted(own[d].items())
         depths.append(States(np.array([c for c, _ in contexts], _U), np.array([b for _, b in contexts]), np.array([k for k, _ in entries], _U), np.array([x for _, x in entries])))
     return Tree(words, unigram / unigram.sum(), depths), train.sparkSession.createDataFrame([(h - (1 << 64) if h >> 63 else h, c) for h, c in rows], "key long, count long")
