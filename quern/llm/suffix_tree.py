@@ -19,6 +19,7 @@ to its suffix, and a held gram the difference to that.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +52,8 @@ _BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PARTS = 1 << 24  # values of grams are whole parts of this
 #: Bytes of text in a chunk (or one text), and parts in which positions are scored, one after the other: disk holds one part's at a time.
 CHUNK, TURNS = 8 << 20, 2
+#: Seconds that the cleaner of shuffle files is given.
+CLEANED = 0.5
 TOGETHER = 256 << 10  # packed bytes of text places that are scored at once
 
 
@@ -308,10 +311,10 @@ def _powers(depth: int) -> list:
     return [_U(pow(int(_STEP), d, 1 << 64)) for d in range(depth + 1)]
 
 
-def _keys(chunk: Chunk, back: list[np.ndarray]) -> list[np.ndarray]:
-    """Keys of the grams at each place by depth (from 1)."""
+def _keys(chunk: Chunk, back: list[np.ndarray], depth: int | None = None) -> list[np.ndarray]:
+    """Keys of the grams at each place by depth, from 1 to `depth`."""
     power, key, out = _powers(len(back)), chunk.hash[chunk.index], []
-    for d, w in enumerate(back, 1):
+    for d, w in enumerate(back[:depth], 1):
         key = key + power[d] * chunk.hash[w]
         out.append(key)
     return out
@@ -353,13 +356,12 @@ def _hot(chunks: DataFrame, stage: Stage, depth: int, buckets: int) -> list[np.n
     return hot
 
 
-def _way(keys: list[np.ndarray], there: np.ndarray, hot: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _way(keys: list[np.ndarray], there: np.ndarray, hot: list[np.ndarray], buckets: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The least depth at which a place's gram isn't hot (depth + 1: none), and the bucket of that gram."""
-    depth = len(keys)
     least = np.ones(len(there), np.int8)
     home = (mix(keys[0]) % _U(buckets)).astype(np.int64)
     on = np.arange(len(there))
-    for d in range(1, depth + 1):
+    for d in range(1, len(keys) + 1):
         on = on[find(hot[d - 1], keys[d - 1][on])[1]]
         if not len(on):
             break
@@ -379,13 +381,14 @@ POSITIONS = pa.schema([("bucket", _i), ("chunk", _l), ("words", _b), ("totals",
 def _positions(chunk: Chunk, depth: int, hot: list[np.ndarray], buckets: int, turn: int | None) -> tuple[Iterator[dict], list[np.ndarray], np.ndarray, list[np.ndarray]]:
     """Rows of POSITIONS; and the keys by depth, the depths there are, and the words back."""
     back, there = _before(chunk, depth)
-    keys = _keys(chunk, back)
-    least, home = _way(keys, there, hot, buckets)
+    # a depth beyond the last with hot grams needs no keys here, but for where its grams go
+    keys = _keys(chunk, back, min(depth, 1 + max((d for d, h in enumerate(hot, 1) if len(h)), default=0)))
+    least, home = _way(keys, there, hot, buckets, depth)
 
     def parcels():
         go = np.flatnonzero((least <= depth) if turn is None else (least <= depth) & (home % TURNS == turn))
         x, w, n = chunk.index[go], back[0][go], len(chunk.number)
-        order = np.argsort((home[go] * n + w) * n + x, kind="stable") if buckets * n * n < 1 << 63 else np.lexsort((x, w, home[go]))
+        order = np.argsort((home[go] * n + w) * n + x) if buckets * n * n < 1 << 63 else np.lexsort((x, w, home[go]))
         x, w, order = x[order], w[order], go[order]
         of = None if turn is None else np.repeat(np.arange(len(chunk.size)), chunk.size)[order]
         far = [np.where(there[order] >= d, chunk.number[back[d - 1][order]], 0) for d in range(2, depth + 1)]
@@ -407,6 +410,7 @@ class Held:
     """Positions of a bucket put together again: each one's run, facts of runs, keys of positions."""
 
     run: np.ndarray
+    least: np.ndarray
     x: np.ndarray
     w: np.ndarray
     tx: np.ndarray
@@ -431,7 +435,7 @@ def _together(rows: list[dict], depth: int) -> Held:
         far = np.concatenate([decodes(r["far"][d - 2]).astype(np.int64) for r in rows])
         key.append(key[-1] + power[d] * word_key(far))
         valid.append((least <= d) & (far > 0))
-    return Held(np.repeat(np.arange(len(runs)), runs), x, w, tx, tw, key, valid)
+    return Held(np.repeat(np.arange(len(runs)), runs), least, x, w, tx, tw, key, valid)
 
 
 #: Held grams of a bucket, by depth: sorted keys, counts, last words, places of their suffixes (from the bucket's number of shorter grams on: of hot ones). Of depth 1: counts of the last word and of the one before, and that one's number.
@@ -451,7 +455,7 @@ def _learn(depth: int, buckets: int, common):
                 chunk = chunk.only_train()
                 parcels, keys, there, back = _positions(chunk, depth, hot, buckets, None)
                 yield from parcels
-                for d in range(depth):
+                for d in range(len(keys)):
                     own = np.flatnonzero(there >= d + 1)
                     at, hit = find(hot[d], keys[d][own])
                     at, own = at[hit], own[hit]
@@ -483,12 +487,18 @@ def _count(depth: int, buckets: int, common):
                     table.append((hot[d], n, *facts))
             else:
                 held = _together(rows, depth)
-                before = np.empty(0, _U)
+                before, may = np.empty(0, _U), np.ones(len(held.run), bool)
                 for d in range(depth):
-                    own = np.flatnonzero(held.valid[d])
-                    key, first, n = np.unique(held.key[d][own], return_index=True, return_counts=True)
+                    # a gram that is held has a suffix that is held, here or among the hot ones
+                    own = np.flatnonzero(held.valid[d] & may)
+                    order = np.argsort(held.key[d][own])
+                    key = held.key[d][own[order]]
+                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+                    n = np.diff(np.append(first, len(key)))
                     many = n >= HELD
-                    key, first, n = key[many], own[first[many]], n[many]
+                    may = held.least > d + 1
+                    may[own[order[np.repeat(many, n)]]] = True
+                    key, first, n = key[first[many]], own[order[first[many]]], n[many]
                     parent = np.zeros(len(key), np.int64)
                     if d:
                         parent, local = find(before, held.key[d - 1][first])
@@ -665,8 +675,7 @@ def _worths(common, divisor: float):
             if not counts:
                 continue
             keys, values, _ = worth(counts[0], [r | {"keys": r["keys"][0]} for r in rows if r["counts"] is None], hot_p, divisor)
-            on = [v != 0 for v in values]
-            yield batch_of(VALUES, [{"bucket": b, "keys": [climbing(k[o]) for k, o in zip(keys, on)], "values": [signed(np.rint(v[o] * _PARTS)) for v, o in zip(values, on)]}])
+            yield batch_of(VALUES, [{"bucket": b, "keys": [climbing(k) for k in keys], "values": [signed(np.rint(v * _PARTS)) for v in values]}])
 
     return run
 
@@ -697,11 +706,13 @@ class Tables:
 def _free(spark) -> None:
     """Has the driver's collector find the shuffles of written tables, whose files Spark then removes."""
     gc.collect()
+    spark.range(1).collect()  # the scheduler holds on to the last job
     spark._jvm.System.gc()
+    time.sleep(CLEANED)  # the cleaner has a thread of its own
 
 
-def learn_tables(docs: DataFrame, stage: Stage, depth: int) -> Tables:
-    """From docs (doc_id, text, train), all of which are encoded and those of `train` learnt from."""
+def learn_tables(docs: DataFrame, stage: Stage, depth: int, look: bool = False) -> Tables:
+    """From docs (doc_id, text, train), all of which are encoded and those of `train` learnt from; with the vocabulary if to `look` at."""
     if depth < 1:
         raise ValueError("a context has one symbol at least")
     spark = docs.sparkSession
@@ -712,7 +723,7 @@ def learn_tables(docs: DataFrame, stage: Stage, depth: int) -> Tables:
     whole = answers.filter("chunk is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     tokens, distinct = int(whole[0]), int(whole[1])
     chunks = stage.write(_chunks(encoded, answers), "chunks")
-    vocabulary = stage.write(answers.filter("chunk is null").select("keys", "numbers", "totals"), "vocabulary")
+    vocabulary = stage.write(answers.filter("chunk is null").select("keys", "numbers", "totals"), "vocabulary") if look else answers
     stage.drop("encoded", "answers")
     _free(spark)
     every = max(1, chunks.count() // SAMPLE_CHUNKS)
@@ -725,6 +736,7 @@ def learn_tables(docs: DataFrame, stage: Stage, depth: int) -> Tables:
     hot_counts = [g.n for g in _grams(hot_row)[0]] if hot_row else [np.zeros(len(h), np.int64) for h in hot]
     stats = counts.mapInArrow(tidy(_stats(depth, buckets, spark.sparkContext.broadcast(hot_counts))), ddl(STATS))
     states = stage.write(exchange(stats, "bucket").mapInArrow(tidy(_decide(buckets, tokens)), ddl(STATES)), "states")
+    del stats
     _free(spark)
     tables = Tables(chunks, vocabulary, counts, states, counts, tokens, distinct, buckets, hot, [np.zeros(len(h)) for h in hot])
     hot_p = [np.zeros(len(h)) for h in hot]
@@ -735,9 +747,14 @@ def learn_tables(docs: DataFrame, stage: Stage, depth: int) -> Tables:
     null = lambda c, kind: F.lit(None).cast(kind).alias(c)
     left = counts.filter(F.col("bucket") < buckets).select("bucket", null("depth", "int"), null("kind", "int"), "keys", "counts", "last", "parent", "tx", "tw", "w", null("total", "binary"), null("backs", "binary"))
     right = states.filter((F.col("bucket") < buckets) & (F.col("kind") < 2)).select("bucket", "depth", "kind", F.array("keys").alias("keys"), *[null(c, "array<binary>") for c in ("counts", "last", "parent", "tx", "tw", "w")], "total", "backs")
-    both = exchange(left.union(right), "bucket")
-    tables.values = stage.write(both.mapInArrow(tidy(_worths(spark.sparkContext.broadcast(hot_p), tables.divisor)), ddl(VALUES)), "values")
-    _free(spark)
+    common, values = spark.sparkContext.broadcast(hot_p), None
+    for turn in range(TURNS):
+        both = exchange(left.union(right).filter(F.col("bucket") % TURNS == turn), "bucket")
+        own = stage.write(both.mapInArrow(tidy(_worths(common, tables.divisor)), ddl(VALUES)), f"values-{turn}")
+        values = own if values is None else values.union(own)
+        del both
+        _free(spark)
+    tables.values = values
     return tables
 
 
@@ -824,7 +841,7 @@ def _ask(depth: int, buckets: int, common, turn: int):
                 start = np.cumsum(chunk.size) - chunk.size
                 base = np.log10(chunk.total + 1.0)[chunk.index]
                 tree = base + np.nan_to_num(np.log10(chunk.back))[back[0]]
-                for d in range(depth):
+                for d in range(len(keys)):
                     own = np.flatnonzero(there >= d + 1)
                     at, hit = find(hot[d], keys[d][own])
                     tree[own[hit]] += hot_values[d][at[hit]]
@@ -863,10 +880,14 @@ def _answer(depth: int):
             def met(own):
                 held = _together(own, depth)
                 total = np.zeros(len(held.run))
+                may = np.ones(len(held.run), bool)
                 for d in range(depth):
-                    valid = np.flatnonzero(held.valid[d])
+                    # a gram is held only where its suffix is, here or among the hot ones
+                    valid = np.flatnonzero(held.valid[d] & may)
                     at, there = find(keys[d], held.key[d][valid])
                     total[valid[there]] += values[d][at[there]]
+                    may = held.least > d + 1
+                    may[valid[there]] = True
                 at = 0
                 for r in own:
                     row = decodes(r["row"]).astype(np.int64)
@@ -911,7 +932,7 @@ def score_texts(docs: DataFrame, depth: int = 3) -> DataFrame:
     null = lambda f: F.lit(None).cast(ddl(pa.schema([f])).split()[1]).alias(f.name)
     stage.drop("counts")
     ready = stage.write(_with_backs(tables), "ready")
-    stage.drop("states", "chunks", "vocabulary")
+    stage.drop("states", "chunks")
     _free(spark)
     common, sums = spark.sparkContext.broadcast((tables.hot, tables.hot_values)), None
     for turn in range(TURNS):
@@ -920,7 +941,7 @@ def score_texts(docs: DataFrame, depth: int = 3) -> DataFrame:
         got = stage.write(exchange(asked.union(offered), "bucket").mapInArrow(tidy(_answer(depth)), ddl(SUMS)), f"sums-{turn}")
         sums = got if sums is None else sums.union(got)
         _free(spark)
-    stage.drop("values", "ready")
+    stage.drop("ready", *[f"values-{turn}" for turn in range(TURNS)])
     out = exchange(sums, "chunk").mapInArrow(tidy(_add), SCORES)
     divisor = F.col("n_tokens") * float(np.log10(tables.divisor))
     return out.select(
@@ -975,7 +996,7 @@ def learn(train: DataFrame, stage: Stage, depth: int = 2) -> tuple[Tree, DataFra
     """
     if (depth + 1) * BITS > 64:
         raise ValueError("the keys of a collected tree hold two words of context")
-    tables = learn_tables(train.select("doc_id", "text").withColumn("train", F.lit(True)), stage, depth)
+    tables = learn_tables(train.select("doc_id", "text").withColumn("train", F.lit(True)), stage, depth, look=True)
     number_of, rows = {}, []
     for r in tables.vocabulary.collect():
         keys = climbed(r["keys"]).tolist()
