@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -21,14 +23,24 @@ from pyspark.sql import functions as F
 #: Bytes of an Arrow batch, in place of Spark's 10,000 rows of any length. The setting holds for the session.
 BATCH_BYTES = 4 << 20
 
+#: Seconds that the cleaner of shuffle files, a thread of its own, is given.
+CLEANED = 0.5
+
 _local: list[str] = []
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.conf.get("spark.master", "").split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` where the cluster names one; else (tests, one machine) a temporary folder."""
+    """`spark.checkpoint.dir` where the cluster names one; on one machine alone (tests) else a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not one_machine(spark):
+        raise ValueError("a cluster needs spark.checkpoint.dir: a folder of this machine is not seen by the others")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="quern-stage-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
@@ -40,6 +52,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.held: list[DataFrame] = []
         # what a Python worker is handed at once, in bytes: rows may be long
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -59,9 +72,24 @@ class Stage:
     def hold(self, df: DataFrame) -> DataFrame:
         """`df` kept on the executors' disks, for what is read again soon.
 
-        A lost executor's part is computed again from the written tables that `df` comes from.
+        A lost executor's part is computed again from the written tables that `df` comes from. `release` ends it.
         """
-        return df.persist(StorageLevel.DISK_ONLY)
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.held[-1]
+
+    def release(self) -> None:
+        """Lets go of all that is held."""
+        while self.held:
+            self.held.pop().unpersist()
+
+    def free(self) -> None:
+        """Has Spark remove the shuffle files of written tables, which it does when their plans are collected."""
+        if one_machine(self.spark):
+            return
+        gc.collect()
+        self.spark.range(1).collect()  # the scheduler holds on to the last job
+        self.spark._jvm.System.gc()
+        time.sleep(CLEANED)
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""

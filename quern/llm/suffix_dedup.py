@@ -12,16 +12,18 @@ is sorted in queues on disk.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .induced_sort import suffix_order
+from .induced_sort import CAP, suffix_order
 from .stage import Stage, parts, tidy
 from .tally import mix, pack, unpack
 
@@ -83,10 +85,6 @@ def _slot(x: np.ndarray, buckets: int) -> np.ndarray:
     return (x ^ (x >> 15) ^ (x >> 31)) % buckets
 
 
-def _slot_column(x: Column, buckets: int) -> Column:
-    return F.pmod(x.bitwiseXOR(F.shiftright(x, 15)).bitwiseXOR(F.shiftright(x, 31)), F.lit(buckets)).cast("int")
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     """Rows (as tuples without the text) and texts, about a MB at a time."""
     rows, texts, size = [], [], 0
@@ -187,23 +185,66 @@ def _take(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[index]
 
 
-def _split_side(batches: Iterator[pa.RecordBatch]) -> tuple[list[dict], Iterator[pa.RecordBatch]]:
-    """The packed rows that stand before the texts of a partition, and the batches of texts."""
+#: Texts of one bucket, or rows packed by document that go before them.
+BESIDE = pa.schema([("bucket", pa.int32()), ("side", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
+#: Bytes of texts that a task holds before it sends them.
+TEXTS = 8 << 20
+
+
+def _dealt(buckets: int):
+    """Texts packed by document's bucket and compressed; `keys` of rows with a null id are in `docs`' place after NONE."""
+
+    def run(batches):
+        held, size = {}, 0
+
+        def send():
+            for b, rows in sorted(held.items()):
+                ids, texts = zip(*rows)
+                sizes = np.array([len(t) for t in texts], np.int64)
+                yield _rows(_BESIDE, [(b, 1, pack(np.array([NONE if i is None else i for i in ids], np.int64)), pack(np.array([i is None for i in ids], np.uint8)), pack(sizes), zstandard.ZstdCompressor(level=1).compress(b"".join(texts)))])
+
+        for batch in batches:
+            of = _slot(pc.fill_null(batch["doc_id"], NONE).to_numpy(zero_copy_only=False), buckets)
+            for b, i, t in zip(of.tolist(), batch["doc_id"].to_pylist(), batch["text"]):
+                text = (t.as_py() or "").encode()
+                held.setdefault(b, []).append((i, text))
+                size += len(text) + 64
+                if size >= TEXTS:
+                    yield from send()
+                    held, size = {}, 0
+        yield from send()
+
+    return run
+
+
+_BESIDE = {f.name: f.type for f in BESIDE}
+
+
+def _split_side(batches: Iterator[pa.RecordBatch]) -> tuple[list[dict], Iterator[tuple[list, list[bytes]]]]:
+    """The packed rows that stand before the texts of a partition; (key, doc_id) and texts, about a MB at a time."""
     packed: list[dict] = []
-    held: list[pa.RecordBatch] = []
+    first: list[dict] = []
+    batches = iter(batches)
     for batch in batches:
-        side = batch["side"].to_numpy()
-        n = int((side == 0).sum())
-        packed += batch.slice(0, n).select(["docs", "keys"]).to_pylist()
-        if n < batch.num_rows:
-            held.append(batch.slice(n))
+        rows = batch.to_pylist()
+        packed += [r for r in rows if r["side"] == 0]
+        first = [r for r in rows if r["side"] == 1]
+        if first:
             break
 
     def rest():
-        for b in held:
-            yield b.select(["key", "doc_id", "text"])
-        for b in batches:
-            yield b.select(["key", "doc_id", "text"])
+        rows, texts, size = [], [], 0
+        for r in itertools.chain(first, (r for b in batches for r in b.to_pylist())):
+            data, at = zstandard.ZstdDecompressor().decompress(r["data"]), 0
+            for key, null, n in zip(unpack(r["docs"], np.int64).tolist(), unpack(r["keys"], np.uint8).tolist(), unpack(r["sizes"], np.int64).tolist()):
+                rows.append((key, None if null else key))
+                texts.append(data[at : at + n])
+                at, size = at + n, size + n
+                if size >= CHUNK:
+                    yield rows, texts
+                    rows, texts, size = [], [], 0
+        if rows:
+            yield rows, texts
 
     return packed, rest()
 
@@ -233,7 +274,7 @@ def _pieces(length: int, buckets: int):
                 body = zstandard.ZstdCompressor(level=1).compress(_take(data, ends[lo:hi] - n, n).tobytes())
                 yield _rows(_PIECE, [(b, pack(key[lo:hi]), pack(doc[lo:hi]), pack(tag[lo:hi]), pack(start[lo:hi].astype(np.uint32)), pack(count[lo:hi].astype(np.uint32)), pack(named[lo:hi]), body)])
 
-        for rows, texts in _chunks(texts_of):
+        for rows, texts in texts_of:
             data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
             at, count, key, of = runs(data, sizes, length)
             ids = np.array([r[0] for r in rows], np.int64)[of]
@@ -275,6 +316,24 @@ def least_documents(data: np.ndarray, ends: np.ndarray, doc: np.ndarray, length:
     return out
 
 
+def _tell_apart(data: np.ndarray, at: np.ndarray, n: np.ndarray, key: np.ndarray, named: np.ndarray) -> None:
+    """Gives pieces whose names are equal but whose bytes are not names of their own."""
+    live = np.arange(len(key))
+    while len(live):
+        order = live[np.lexsort((named[live], key[live]))]
+        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (named[order][1:] != named[order][:-1])])
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        other, head = order[~new], head[~new]
+        odd = n[other] != n[head]
+        same = np.flatnonzero(~odd)
+        for lo in range(0, len(same), 1 << 14):
+            a, b = other[same[lo : lo + (1 << 14)]], head[same[lo : lo + (1 << 14)]]
+            differ = _take(data, at[a], n[a]) != _take(data, at[b], n[b])
+            odd[same[lo : lo + (1 << 14)]] = np.logical_or.reduceat(differ, np.cumsum(n[a]) - n[a])
+        live = other[odd]  # against each other, under a next name
+        named[live] = mix(named[live] + _U(1))
+
+
 def _spans(length: int, buckets: int):
     """Of pieces packed by anchor the strings that a smaller document has, as spans packed by document."""
 
@@ -296,6 +355,7 @@ def _spans(length: int, buckets: int):
         body.clear()
         n = count + length - 1
         at = np.cumsum(n) - n
+        _tell_apart(data, at, n, key, named)
         order = np.lexsort((doc, named, key))
         key, doc, tag, start, count, named, n, at = (x[order] for x in (key, doc, tag, start, count, named, n, at))
         # equal pieces are one piece, of its first document
@@ -372,7 +432,7 @@ def _cut(with_text: bool):
         order = np.lexsort((lo, tag, doc))
         doc, tag, lo, hi = doc[order], tag[order], lo[order], (lo + size)[order]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        for rows, texts in _chunks(texts_of):
+        for rows, texts in texts_of:
             out = []
             for (key, doc_id), t in zip(rows, texts):
                 a, b = np.searchsorted(doc, [key, key + 1]) if key < NONE else (np.searchsorted(doc, key), len(doc))
@@ -398,10 +458,15 @@ def suffix_dedup(df: DataFrame, length: int = 50, key: str = "doc_id", text: str
     Texts are UTF-8 bytes. Each byte that a string of `length` bytes covers which also starts in a document
     with a smaller doc_id is removed; strings are judged on the input, and never cross documents.
 
-    Nulls: a null text is empty; a null key is larger than all others, so such rows lose what others have.
+    `length` is at most 253: longer prefixes in common are not told apart.
+
+    Nulls: a null text is empty; a null key is larger than all others, so such rows lose what others have (it
+    shares its place with the largest id, 2**63 - 1).
     Rows of one key take nothing from each other. Empty and short texts stay. Repeated rows have equal
     results. Extra columns are not read. An empty table gives an empty table.
     """
+    if not 1 <= length < CAP:
+        raise ValueError(f"length is from 1 to {CAP - 1}")
     spark = df.sparkSession
     n = parts(spark)
     buckets = 4 * n + 1
@@ -411,14 +476,17 @@ def suffix_dedup(df: DataFrame, length: int = 50, key: str = "doc_id", text: str
 
     def beside(packed: DataFrame) -> DataFrame:
         """Texts dealt by document, the packed rows of each partition's documents before them."""
-        none = lambda kind: F.lit(None).cast(kind)
-        left = packed.select("bucket", F.lit(0).alias("side"), "docs", "keys", none("long").alias("key"), none("long").alias("doc_id"), none("string").alias("text"))
-        right = docs.select(_slot_column(F.col("key"), buckets).alias("bucket"), F.lit(1).alias("side"), none("binary").alias("docs"), none("binary").alias("keys"), "key", "doc_id", "text")
-        return left.unionByName(right).repartition(n, "bucket").sortWithinPartitions("side").drop("bucket")
+        left = packed.select("bucket", F.lit(0).alias("side"), "docs", "keys", *[F.lit(None).cast("binary").alias(c) for c in ("sizes", "data")])
+        right = docs.select("doc_id", "text").mapInArrow(tidy(_dealt(buckets)), "bucket int, side int, docs binary, keys binary, sizes binary, data binary")
+        return left.unionByName(right).repartition(n, "bucket").sortWithinPartitions("side")
 
     pairs = docs.select("key", "text").mapInArrow(tidy(_anchors(length, buckets)), PAIR)
     shared = stage.write(pairs.repartition(n, "bucket").mapInArrow(tidy(_shared(buckets)), PAIR), "shared")
+    del pairs
+    stage.free()
     pieces = beside(shared).mapInArrow(tidy(_pieces(length, buckets)), PIECE)
     spans = stage.write(pieces.repartition(n, "bucket").mapInArrow(tidy(_spans(length, buckets)), PAIR), "spans")
+    del pieces
     stage.drop("shared")
+    stage.free()
     return beside(spans).mapInArrow(tidy(_cut(with_text)), KEPT)

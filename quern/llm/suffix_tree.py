@@ -18,8 +18,6 @@ to its suffix, and a held gram the difference to that.
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +41,8 @@ HOT = 8
 SAMPLE, SAMPLE_CHUNKS = 8, 4096
 #: Buckets a shuffle partition; they are worked on one after the other.
 BUCKETS = 2
+#: Keys that a bucket has for a group of contexts, about.
+MESSAGE = 128
 #: Bits of a symbol in the keys of a collected tree.
 BITS = 21
 _U = np.uint64
@@ -52,8 +52,6 @@ _BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PARTS = 1 << 24  # values of grams are whole parts of this
 #: Bytes of text in a chunk (or one text), and parts in which positions are scored, one after the other: disk holds one part's at a time.
 CHUNK, TURNS = 8 << 20, 2
-#: Seconds that the cleaner of shuffle files is given.
-CLEANED = 0.5
 TOGETHER = 256 << 10  # packed bytes of text places that are scored at once
 
 
@@ -288,6 +286,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             yield Chunk(r["chunk"], r["doc_ids"], decodes(r["sizes"]).astype(np.int64), decodes(r["train"]).astype(bool), decodes(r["index"]).astype(np.int64), number, decodes(r["totals"]).astype(np.int64), back, word_key(number), r["end"])
 
 
+def word_group(number: np.ndarray, buckets: int, groups: int) -> np.ndarray:
+    """Where a word as a context is decided on."""
+    return (number - 1) % buckets % groups
+
+
 def word_key(number: np.ndarray) -> np.ndarray:
     """The key of a word, by its number, as a context of its own."""
     return mix(number.astype(_U) + _STEP)
@@ -439,7 +442,7 @@ def _together(rows: list[dict], depth: int) -> Held:
 
 
 #: Held grams of a bucket, by depth: sorted keys, counts, last words, places of their suffixes (from the bucket's number of shorter grams on: of hot ones). Of depth 1: counts of the last word and of the one before, and that one's number.
-COUNTS = pa.schema([("bucket", _i), ("keys", pa.list_(_b)), ("counts", pa.list_(_b)), ("last", pa.list_(_b)), ("parent", pa.list_(_b)), ("tx", pa.list_(_b)), ("tw", pa.list_(_b)), ("w", pa.list_(_b))])
+COUNTS = pa.schema([("bucket", _i), ("keys", pa.list_(_b)), ("counts", pa.list_(_b)), ("last", pa.list_(_b)), ("parent", pa.list_(_b)), ("tx", pa.list_(_b)), ("tw", pa.list_(_b)), ("w", pa.list_(_b)), ("held", _l)])
 
 
 def _learn(depth: int, buckets: int, common):
@@ -508,7 +511,7 @@ def _count(depth: int, buckets: int, common):
                     before = key
             yield batch_of(COUNTS, [{
                 "bucket": b, "keys": [climbing(t[0]) for t in table], "counts": [codes(t[1]) for t in table], "last": [codes(t[2]) for t in table],
-                "parent": [codes(t[5]) for t in table], "tx": [codes(t[3]) for t in table[:1]], "tw": [codes(t[4]) for t in table[:1]], "w": [codes(t[6]) for t in table[:1]],
+                "parent": [codes(t[5]) for t in table], "tx": [codes(t[3]) for t in table[:1]], "tw": [codes(t[4]) for t in table[:1]], "w": [codes(t[6]) for t in table[:1]], "held": sum(len(t[0]) for t in table),
             }])
 
     return run
@@ -534,13 +537,13 @@ def _grams(row: dict) -> tuple[list[Grams], np.ndarray, np.ndarray]:
 
 # --- states -----------------------------------------------------------------------------------------------------
 
-#: To the bucket of a context's key: sums over its next symbols (kind 0), or its own count and its suffix's as it is held at home (kind 1).
+#: To the group (`bucket`) of a context's key: sums over its next symbols (kind 0), or its own count and its suffix's as it is held at home (kind 1).
 STATS = pa.schema([("bucket", _i), ("depth", _i), ("kind", _i), ("home", _i), ("keys", _b), ("total", _b), ("sums", _b), ("held", _b), ("parents", _b), ("distinct", _b)])
-#: To the home bucket of grams: their contexts' counts and backs (kind 0), their own backs as contexts (kind 1); to a word's bucket its back (kind 2).
+#: To the home bucket of grams: their contexts' counts and backs (kind 0), their own backs as contexts (kind 1); for a word's group its back (kind 2).
 STATES = pa.schema([("bucket", _i), ("depth", _i), ("kind", _i), ("keys", _b), ("total", _b), ("backs", _b)])
 
 
-def _stats(depth: int, buckets: int, common):
+def _stats(depth: int, buckets: int, groups: int, common):
     """What a bucket knows of contexts. Of words as contexts, to the words' own bucket."""
 
     def run(batches):
@@ -560,14 +563,13 @@ def _stats(depth: int, buckets: int, common):
                         n, s = g.n[order].astype(np.float64), before[order].astype(np.float64)
                         sums, held, parents = add(n * np.log(n / s)), add(g.n[order]), add(before[order])
                         distinct, total = np.diff(np.append(first, len(order))), tw[order[first]] if d == 1 else np.zeros(len(c), np.int64)
-                        # a word as a context goes to the word's own bucket
-                        to = (decodes(r["w"][0]).astype(np.int64)[order[first]] - 1) % buckets if d == 1 else (mix(c) % _U(buckets)).astype(np.int64)
+                        to = word_group(decodes(r["w"][0]).astype(np.int64)[order[first]], buckets, groups) if d == 1 else (mix(c) % _U(groups)).astype(np.int64)
                         by = np.argsort(to, kind="stable")
                         for b, lo, hi in bounds(to[by]):
                             o = by[lo:hi]
                             yield {"bucket": b, "depth": d, "kind": 0, "home": r["bucket"], "keys": climbing(c[o]), "total": codes(total[o]), "sums": sums[o].tobytes(), "held": codes(held[o]), "parents": codes(parents[o]), "distinct": codes(distinct[o])}
                         if d < depth:
-                            to = (mix(g.key) % _U(buckets)).astype(np.int64)
+                            to = (mix(g.key) % _U(groups)).astype(np.int64)
                             by = np.argsort(to, kind="stable")
                             by = by[on[by]]
                             for b, lo, hi in bounds(to[by]):
@@ -695,6 +697,7 @@ class Tables:
     tokens: int
     distinct: int
     buckets: int
+    groups: int
     hot: list[np.ndarray]
     hot_values: list[np.ndarray]
 
@@ -703,14 +706,6 @@ class Tables:
         return float(self.tokens + self.distinct + 1)
 
 
-def _free(spark) -> None:
-    """Has the driver's collector find the shuffles of written tables, whose files Spark then removes."""
-    gc.collect()
-    spark.range(1).collect()  # the scheduler holds on to the last job
-    spark._jvm.System.gc()
-    time.sleep(CLEANED)  # the cleaner has a thread of its own
-
-
 def learn_tables(docs: DataFrame, stage: Stage, depth: int, look: bool = False) -> Tables:
     """From docs (doc_id, text, train), all of which are encoded and those of `train` learnt from; with the vocabulary if to `look` at."""
     if depth < 1:
@@ -725,20 +720,23 @@ def learn_tables(docs: DataFrame, stage: Stage, depth: int, look: bool = False)
     chunks = stage.write(_chunks(encoded, answers), "chunks")
     vocabulary = stage.write(answers.filter("chunk is null").select("keys", "numbers", "totals"), "vocabulary") if look else answers
     stage.drop("encoded", "answers")
-    _free(spark)
+    stage.free()
     every = max(1, chunks.count() // SAMPLE_CHUNKS)
     hot = _hot(chunks.filter(F.pmod(F.xxhash64("chunk"), F.lit(every)) == 0), stage, depth, buckets)
     common = spark.sparkContext.broadcast(hot)
     counts = stage.write(exchange(chunks.mapInArrow(tidy(_learn(depth, buckets, common)), ddl(POSITIONS)), "bucket").mapInArrow(tidy(_count(depth, buckets, common)), ddl(COUNTS)), "counts")
-    _free(spark)
+    stage.free()
     hot_row = counts.filter(F.col("bucket") == buckets).first()  # at most HOT * buckets grams a depth
     hot_row = hot_row and hot_row.asDict()
     hot_counts = [g.n for g in _grams(hot_row)[0]] if hot_row else [np.zeros(len(h), np.int64) for h in hot]
-    stats = counts.mapInArrow(tidy(_stats(depth, buckets, spark.sparkContext.broadcast(hot_counts))), ddl(STATS))
+    # so few that a message between a bucket and a group has some MESSAGE keys, else their number would be that of the buckets squared
+    held = counts.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("n")).first()["n"]
+    groups = int(min(buckets, max(parts(spark) / 4, held / buckets / MESSAGE)) + 1)
+    stats = counts.mapInArrow(tidy(_stats(depth, buckets, groups, spark.sparkContext.broadcast(hot_counts))), ddl(STATS))
     states = stage.write(exchange(stats, "bucket").mapInArrow(tidy(_decide(buckets, tokens)), ddl(STATES)), "states")
     del stats
-    _free(spark)
-    tables = Tables(chunks, vocabulary, counts, states, counts, tokens, distinct, buckets, hot, [np.zeros(len(h)) for h in hot])
+    stage.free()
+    tables = Tables(chunks, vocabulary, counts, states, counts, tokens, distinct, buckets, groups, hot, [np.zeros(len(h)) for h in hot])
     hot_p = [np.zeros(len(h)) for h in hot]
     if hot_row:
         own = [r.asDict() for r in states.filter((F.col("bucket") == buckets) & (F.col("kind") < 2)).collect()]
@@ -753,7 +751,7 @@ def learn_tables(docs: DataFrame, stage: Stage, depth: int, look: bool = False)
         own = stage.write(both.mapInArrow(tidy(_worths(common, tables.divisor)), ddl(VALUES)), f"values-{turn}")
         values = own if values is None else values.union(own)
         del both
-        _free(spark)
+        stage.free()
     tables.values = values
     return tables
 
@@ -762,13 +760,13 @@ def learn_tables(docs: DataFrame, stage: Stage, depth: int, look: bool = False)
 BACKS = pa.schema([("bucket", _i), ("chunk", _l), ("numbers", _b), ("backs", _b)])
 
 
-def _ask_backs(buckets: int):
+def _ask_backs(buckets: int, groups: int):
     def run(batches):
         def rows():
             for batch in batches:
                 for r in batch.to_pylist():
                     number = np.cumsum(decodes(r["numbers"]).astype(np.int64))
-                    bucket = (number - 1) % buckets
+                    bucket = word_group(number, buckets, groups)
                     order = np.argsort(bucket, kind="stable")
                     for b, lo, hi in bounds(bucket[order]):
                         yield {"bucket": b, "chunk": r["chunk"], "numbers": codes(np.diff(number[order[lo:hi]], prepend=0))}
@@ -813,7 +811,7 @@ def _take_backs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_backs(tables: Tables) -> DataFrame:
     """Chunks with what their words give back as contexts."""
     null = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    asked = tables.chunks.select("chunk", "numbers").mapInArrow(tidy(_ask_backs(tables.buckets)), ddl(BACKS))
+    asked = tables.chunks.select("chunk", "numbers").mapInArrow(tidy(_ask_backs(tables.buckets, tables.groups)), ddl(BACKS))
     states = tables.states.filter("kind = 2").select("bucket", null("chunk", "long"), F.col("keys").alias("numbers"), "backs")
     given = exchange(asked.union(states), "bucket").mapInArrow(tidy(_give_backs), ddl(BACKS))
     given = given.select("chunk", F.lit(0).alias("side"), *[F.col(f.name) if f.name in ("numbers", "backs") else null(f.name, ddl(pa.schema([f])).split()[1]) for f in CHUNKS if f.name != "chunk"])
@@ -933,14 +931,14 @@ def score_texts(docs: DataFrame, depth: int = 3) -> DataFrame:
     stage.drop("counts")
     ready = stage.write(_with_backs(tables), "ready")
     stage.drop("states", "chunks")
-    _free(spark)
+    stage.free()
     common, sums = spark.sparkContext.broadcast((tables.hot, tables.hot_values)), None
     for turn in range(TURNS):
         asked = ready.mapInArrow(tidy(_ask(depth, buckets, common, turn)), ddl(_PARCELS))
         offered = tables.values.filter(F.col("bucket") % TURNS == turn).select(*[F.col(f.name) if f.name in ("bucket", "keys", "values") else null(f) for f in _PARCELS])
         got = stage.write(exchange(asked.union(offered), "bucket").mapInArrow(tidy(_answer(depth)), ddl(SUMS)), f"sums-{turn}")
         sums = got if sums is None else sums.union(got)
-        _free(spark)
+        stage.free()
     stage.drop("ready", *[f"values-{turn}" for turn in range(TURNS)])
     out = exchange(sums, "chunk").mapInArrow(tidy(_add), SCORES)
     divisor = F.col("n_tokens") * float(np.log10(tables.divisor))

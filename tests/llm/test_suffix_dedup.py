@@ -81,3 +81,17 @@ def test_kept_bytes_and_empty_table(spark):
     long = "x" * 300_000 + "".join(map(str, range(40_000)))
     got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup(spark.createDataFrame([(1, long), (2, "y" + long)], "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: len(long)}
+
+
+def test_pieces_of_one_name_are_told_apart_by_their_bytes():
+    data = np.frombuffer(b"aaaabbbbaaaacccccc", np.uint8)
+    at, n = np.array([0, 4, 8, 12]), np.array([4, 4, 4, 6])
+    key, named = np.zeros(4, np.uint64), np.zeros(4, np.uint64)
+    module._tell_apart(data, at, n, key, named)
+    assert named[0] == named[2] and len({int(x) for x in named}) == 3
+
+
+def test_length_over_what_common_prefixes_hold_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        suffix_dedup(docs, length=254)
