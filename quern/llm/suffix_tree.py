@@ -51,7 +51,7 @@ _STEP = _U(0x9E3779B97F4A7C15)
 _BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PARTS = 1 << 24  # values of grams are whole parts of this
 #: Bytes of text in a chunk (or one text), and parts in which positions are scored, one after the other: disk holds one part's at a time.
-CHUNK, TURNS = 8 << 20, 2
+CHUNK, TURNS = 6 << 20, 2
 TOGETHER = 256 << 10  # packed bytes of text places that are scored at once
 
 
@@ -283,7 +283,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         for r in batch.to_pylist():
             number = np.cumsum(decodes(r["numbers"]).astype(np.int64))
             back = shared(r["backs"]) if r["backs"] else np.full(len(number), np.nan)
-            yield Chunk(r["chunk"], r["doc_ids"], decodes(r["sizes"]).astype(np.int64), decodes(r["train"]).astype(bool), decodes(r["index"]).astype(np.int64), number, decodes(r["totals"]).astype(np.int64), back, word_key(number), r["end"])
+            yield Chunk(r["chunk"], r["doc_ids"], decodes(r["sizes"]).astype(np.int64), decodes(r["train"]).astype(bool), decodes(r["index"]).astype(np.int32), number, decodes(r["totals"]).astype(np.int64), back, word_key(number), r["end"])
 
 
 def word_group(number: np.ndarray, buckets: int, groups: int) -> np.ndarray:
@@ -301,12 +301,11 @@ def word_key(number: np.ndarray) -> np.ndarray:
 
 def _before(chunk: Chunk, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The words back from each place by depth (from 1), as places in the chunk's words; and how many there are, the end before a text counted."""
-    start = np.repeat(np.cumsum(chunk.size) - chunk.size, chunk.size)
-    place = np.arange(len(chunk.index)) - start
-    out = []
+    place = np.arange(len(chunk.index), dtype=np.int32) - np.repeat((np.cumsum(chunk.size) - chunk.size).astype(np.int32), chunk.size)
+    out, end = [], np.int32(chunk.end)
     for d in range(1, depth + 1):
-        back = np.concatenate([np.full(min(d, len(place)), chunk.end, np.int64), chunk.index[: max(0, len(place) - d)]])
-        out.append(np.where(place >= d, back, chunk.end))
+        back = np.concatenate([np.full(min(d, len(place)), end), chunk.index[: max(0, len(place) - d)]])
+        out.append(np.where(place >= d, back, end))
     return out, place + 1
 
 
@@ -390,7 +389,7 @@ def _positions(chunk: Chunk, depth: int, hot: list[np.ndarray], buckets: int, tu
 
     def parcels():
         go = np.flatnonzero((least <= depth) if turn is None else (least <= depth) & (home % TURNS == turn))
-        x, w, n = chunk.index[go], back[0][go], len(chunk.number)
+        x, w, n = chunk.index[go].astype(np.int64), back[0][go].astype(np.int64), len(chunk.number)
         order = np.argsort((home[go] * n + w) * n + x) if buckets * n * n < 1 << 63 else np.lexsort((x, w, home[go]))
         x, w, order = x[order], w[order], go[order]
         of = None if turn is None else np.repeat(np.arange(len(chunk.size)), chunk.size)[order]
@@ -834,6 +833,7 @@ def _ask(depth: int, buckets: int, common, turn: int):
             for chunk in _read(batches):
                 parcels, keys, there, back = _positions(chunk, depth, hot, buckets, turn)
                 yield from parcels
+                del parcels
                 if turn:
                     continue
                 start = np.cumsum(chunk.size) - chunk.size
