@@ -8,7 +8,11 @@ shingles than their bitmaps do in bits. Every pair that is left is confirmed on
 
 Buckets are never expanded into all pairs. In a first round each member is held against a few pivots of its
 bucket. Links give components; a pair that is already in one component needs no test. In a second round
-all other pairs of buckets are tested: this is the exact way for what the pivots did not settle.
+what the pivots did not settle is settled exactly: where few members of a bucket are outside its largest component,
+they are held against all. Where many are, as with texts that share a block but are not alike, the bucket
+tells too little: its members meet by the rarest of their shingles instead. Of two sets that are alike enough, each has a
+shingle of the other among its first n - ceil(n * percent / 100) + 1 in any one order of all shingles; in the
+order of how many sets have them, what is common to many comes last and brings nobody together.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -32,6 +36,8 @@ SAMPLES = 160
 PARITY_WORDS = 16
 #: A pair at the threshold shares no band once in this many times.
 MISS = 1e-6
+#: Members outside a bucket's largest component that are held against all of the bucket.
+FEW = 32
 #: Ids up to this many, at 8 bytes each, are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -141,6 +147,28 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, stage: Stage, name: str, n: in
     return out
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Of keys with several components: the largest one, and the number of members outside it."""
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    keys = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"), (F.sum("c") - F.max("c")).alias("outside"))
+    return keys.filter("outside > 0")
+
+
+def _meetings(crowd: DataFrame, n: int, docs: DataFrame, stage: Stage, k: int, percent: int) -> DataFrame:
+    """(key, rep, root): the shingles that `crowd` (`n` rows of rep, root) meets by, as keys.
+
+    Shingles of one component alone come first in the order, the others by the number of sets that have them.
+    """
+    texts = docs.join(F.broadcast(crowd) if n <= BROADCAST_IDS else crowd, F.col("doc_id") == F.col("rep"), "left_semi")
+    sets = stage.write(texts.mapInArrow(tidy(_sets(k)), "doc_id long, set array<long>").distinct(), "crowd-sets")
+    own = sets.withColumnsRenamed({"doc_id": "rep"}).join(crowd, "rep").select("rep", "root", F.xxhash64("set").alias("which"), F.size("set").alias("n"), F.explode("set").alias("key"))
+    several = own.groupBy("key").agg(F.count("*").alias("sets"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "sets")
+    one = Window.partitionBy("rep", "which")
+    ranked = own.join(several, "key").withColumn("place", F.row_number().over(one.orderBy("sets", "key"))).withColumn("_several", F.count("*").over(one))
+    first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    return ranked.filter(F.col("place") + F.col("n") - F.col("_several") <= first).select("key", "rep", "root").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", pivots: int = 4) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -183,17 +211,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     links = _confirmed(pairs, docs, stage, "first", pairs.count(), k, percent)
     roots = components(links, stage, "c1")
 
-    placed = near.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    # members of a bucket's largest component need no test among themselves: the others are held against all
-    open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("most")).filter("lo < hi").select("key", "most")
-    rest = placed.join(open_, "key").join(facts, "rep")
+    placed = stage.hold(near.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root")))
     side = lambda t, s: t.select(F.col("key").alias(f"k{s}"), F.col("rep").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"), F.col("parity").alias(f"q{s}"))
-    cross = side(rest.filter("root <> most"), "x").join(side(rest, "y"), (F.col("kx") == F.col("ky")) & (F.col("rx") != F.col("ry")) & close("x", "y"))
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def across(members: DataFrame, open_: DataFrame) -> DataFrame:
+        """Pairs (a, b) of one key and different components: those outside the key's largest component, held against all."""
+        rest = members.join(open_.select("key", "most"), "key").join(facts, "rep")
+        pairs = side(rest.filter("root <> most"), "x").join(side(rest, "y"), (F.col("kx") == F.col("ky")) & (F.col("rx") != F.col("ry")) & close("x", "y"))
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    open_ = stage.hold(_open(placed))
+    cross = across(placed, open_.filter(F.col("outside") <= FEW))
+    crowd = stage.write(placed.join(open_.filter(F.col("outside") > FEW), "key", "left_semi").select("rep", "root").distinct(), "crowd")
+    if n := crowd.count():
+        meeting = stage.write(_meetings(crowd, n, docs, stage, k, percent), "meetings")
+        cross = cross.unionByName(across(meeting, _open(meeting))).distinct()
     cross = stage.hold(cross.join(pairs, ["a", "b"], "left_anti"))
     if n := cross.count():
         links = links.unionByName(_confirmed(cross, docs, stage, "second", n, k, percent))
         roots = components(links, stage, "c2")
+    stage.release()
     named = classes.select("class", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("root", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))

@@ -3,6 +3,7 @@ import random
 import re
 from collections import defaultdict
 
+from quern.llm import near_dedup
 from quern.llm.components import components
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.near_dedup import near_duplicates
@@ -98,3 +99,27 @@ def test_exact_dedup_against_a_dictionary(spark):
     got = exact_dedup(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert exact_dedup(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_boilerplate_meets_by_its_own_shingles(spark, monkeypatch):
+    """Many texts with a common block, few of them alike: found as by holding all against all, without all pairs."""
+    monkeypatch.setattr(near_dedup, "FEW", 3)
+    rng = random.Random(9)
+    block = " ".join(f"b{i}" for i in range(100))
+    rows = []
+    for i in range(300):
+        own = [f"w{rng.randint(0, 5000)}" for _ in range(40)]
+        rows.append((i, f"{block} {' '.join(own)}"))
+        if i % 10 == 0:
+            own[rng.randrange(40)] = "changed"
+            rows.append((1000 + i, f"{block} {' '.join(own)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: set(near_dedup.shingles(t, 5).tolist()) for i, t in rows}
+    want = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                want[b] = min(want[b], want[a])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == want and sum(i != c for i, c in want.items()) == 30
