@@ -114,9 +114,19 @@ class Matcher:
                 yield key, *min(found)
 
 
-def _matches(items: list[tuple[int, str]], rate: float):
+_ready: list[tuple[str, Matcher]] = []
+
+
+def matcher(name: str, items: list[tuple[int, str]], rate: float) -> Matcher:
+    """The matcher of a block, made once by a worker for all its tasks; a worker holds one."""
+    if not _ready or _ready[0][0] != name:
+        _ready[:] = [(name, Matcher(items, rate))]
+    return _ready[0][1]
+
+
+def _matches(name: str, shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(items, rate)
+        match = matcher(name, shared.value, rate)
         for batch in batches:
             rows = [(k, *hit) for k, t in zip(batch["doc_id"].to_pylist(), batch["text"]) for hit in match(t.as_py())]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
@@ -153,7 +163,8 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
     """
     stage = Stage(docs.sparkSession, "decontaminate")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    found = [stage.write(docs.mapInArrow(tidy(_matches(block, rate)), HITS), f"hits-{i}") for i, block in enumerate(_blocks(items))]
+    send = docs.sparkSession.sparkContext.broadcast
+    found = [stage.write(docs.mapInArrow(tidy(_matches(f"{stage.root}/{i}", send(block), rate)), HITS), f"hits-{i}") for i, block in enumerate(_blocks(items))]
     if not found:
         return docs.sparkSession.createDataFrame([], HITS)
     out = found[0]
@@ -164,11 +175,11 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of `docs`, all columns as they are, in which no item is found; nulls as in `contaminated`."""
-    blocks = _blocks(items)
-    for block in blocks:
+    root = Stage(docs.sparkSession, "decontaminate").root
+    for i, block in enumerate(_blocks(items)):
 
-        def run(batches, block=block):
-            match = Matcher(block, rate)
+        def run(batches, name=f"{root}/{i}", shared=docs.sparkSession.sparkContext.broadcast(block)):
+            match = matcher(name, shared.value, rate)
             for batch in batches:
                 yield batch.filter(pa.array([next(match(t.as_py()), None) is None for t in batch["text"]], pa.bool_()))
 

@@ -39,9 +39,10 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = df.select(df[key].alias("k"), norm.alias("t"))
     slim = stage.write(rows.select("k", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, PREFIX)).alias("p")), "lengths")
 
-    lengths = slim.groupBy("n").count().filter("count > 1").select("n")
-    groups = slim.join(lengths, "n", "left_semi").groupBy("n", "p").count().filter("count > 1").select("n", "p")
-    groups = stage.write(groups, "groups")
+    # counted before anything is joined: a length or prefix of a third of all rows is one row here
+    counts = stage.write(slim.groupBy("n", "p").agg(F.count("*").alias("c")), "counts")
+    lengths = counts.groupBy("n").agg(F.sum("c").alias("c")).filter("c > 1").select("n")
+    groups = stage.write(counts.filter("c > 1").join(lengths, "n", "left_semi").select("n", "p"), "groups")
 
     keyed = rows.withColumns({"n": F.length("t"), "p": F.xxhash64(F.substring("t", 1, PREFIX))})
     if groups.count() <= BROADCAST_GROUPS:

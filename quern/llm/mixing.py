@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .stage import Stage, small, text_of
 
-#: Blocks of a source: documents by hash of their id. The boundary block of a pass is ordered row by row.
-BLOCKS = 1024
-#: Blocks of all sources up to this many, at some 40 bytes each, are broadcast; more are joined by a shuffle.
-BROADCAST_BLOCKS = 200_000
+#: Blocks of a source, documents by hash of their id: at least BLOCKS, and so many that one has some BLOCK_ROWS rows. The boundary block of a pass is ordered row by row.
+BLOCKS, BLOCK_ROWS = 1024, 65_536
+#: A mix is over sources: more than SOURCES of them, whose shares are planned on the driver, are refused; up to BROADCAST_SOURCES, at some 60 bytes each, go to every task.
+SOURCES, BROADCAST_SOURCES = 1_000_000, 200_000
 
 
 def weights(tokens: dict[str, int], exponent: float) -> dict[str, float]:
@@ -101,7 +101,8 @@ def mix(
 
     Nulls: a null source is a source of its own, a null text has no tokens. Documents without tokens go out
     in whole passes and, as they cost nothing, with their neighbours in the last; a source without any goes
-    out once. Repeated rows are documents each. Columns `pass`, `block` and `n_tokens` of `docs` are
+    out once. Repeated rows are documents each; which of them go out once more follows their place in `docs`,
+    and the budget counts them one by one. More than SOURCES sources are an error. Columns `pass`, `block` and `n_tokens` of `docs` are
     replaced. An empty table gives an empty table.
     """
     spark = docs.sparkSession
@@ -109,30 +110,43 @@ def mix(
     named = F.coalesce(F.concat(F.lit("="), docs[source].cast("string")), F.lit(""))
     count = words(text_of(docs, text))
     draw = F.xxhash64(docs[key].cast("string"), count, F.lit(seed))
-    facts = {"_source": named, "n_tokens": count, "_draw": draw, "block": F.pmod(draw, F.lit(BLOCKS))}
+    n_blocks = max(BLOCKS, docs.count() // BLOCK_ROWS)
+    # `_tie` orders rows of one draw, which repeat an id
+    facts = {"_source": named, "n_tokens": count, "_draw": draw, "block": F.pmod(draw, F.lit(n_blocks)), "_tie": F.monotonically_increasing_id()}
     rows = docs.drop("pass").withColumns(facts)
-    slim = stage.write(rows.select("_source", "n_tokens", "_draw", "block"), "counts")
-    # at most BLOCKS rows a source, however many documents it has
+    slim = stage.write(rows.select("_source", "n_tokens", "_draw", "_tie", "block"), "counts")
+    # at most `n_blocks` rows a source, however many documents it has
     blocks = stage.write(slim.groupBy("_source", "block").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "blocks")
-    tokens = {r["_source"]: r["tokens"] for r in blocks.groupBy("_source").agg(F.sum("tokens").alias("tokens")).collect()}
+    sums = blocks.groupBy("_source").agg(F.sum("tokens").alias("tokens")).limit(SOURCES + 1).collect()
+    if len(sums) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    tokens = {r["_source"]: r["tokens"] for r in sums}
     made = plan(tokens, target_entropy, max_repeats, budget)
     whole = {s: math.floor(e + 1e-9) for s, e in made.epochs.items()}
     passes = [(s, whole[s], max(0.0, e - whole[s]) * tokens[s]) for s, e in made.epochs.items()]
     passes += [(s, 1, 0.0) for s in tokens if s not in made.epochs]
     budgets = spark.createDataFrame(passes, "_source string, whole long, rest double")
-
-    turn = Window.partitionBy("_source").orderBy(F.xxhash64("block", F.lit(seed)), "block")
-    order = blocks.join(F.broadcast(budgets), "_source").withColumn("before", F.sum("tokens").over(turn) - F.col("tokens"))
-    order = stage.write(order.select("_source", "block", "whole", (F.col("rest") - F.col("before")).alias("room"), "tokens"), "order")
+    near = lambda t: F.broadcast(t) if len(passes) <= BROADCAST_SOURCES else t
+
+    # blocks are taken in the order of `turn`, up to the one that meets the budget
+    turn = F.struct(F.xxhash64("block", F.lit(seed)), "block")
+    running = Window.partitionBy("_source").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    order = blocks.withColumn("turn", turn).join(near(budgets), "_source").withColumn("room", F.col("rest") - F.sum("tokens").over(running) + F.col("tokens"))
+    order = order.groupBy("_source").agg(
+        F.max("whole").alias("whole"),
+        F.max(F.when((F.col("room") > 0) & (F.col("room") >= F.col("tokens")), F.col("turn"))).alias("upto"),
+        F.max(F.when((F.col("room") > 0) & (F.col("room") < F.col("tokens")), F.struct("block", "room"))).alias("edge"),
+    )
+    order = stage.write(order, "order")
     # one boundary block a source: only its rows need their own running sum
-    edge = slim.join(order.filter("room > 0 and room < tokens").select("_source", "block", "room"), ["_source", "block"])
-    inside = F.sum("n_tokens").over(Window.partitionBy("_source", "block").orderBy("_draw"))
-    edge = edge.withColumn("upto", inside - F.col("n_tokens")).filter("upto < room").groupBy("_source", "block").agg(F.max("_draw").alias("last"))
-    all_of_it = (F.col("room") > 0) & (F.col("room") >= F.col("tokens"))
-    fate = stage.write(order.join(edge, ["_source", "block"], "left").select("_source", "block", "whole", all_of_it.alias("all_of_it"), "last"), "fate")
-
-    rows = rows.join(small(fate, BROADCAST_BLOCKS), ["_source", "block"])
-    times = F.col("whole") + F.when(F.col("all_of_it") | (F.col("_draw") <= F.col("last")), 1).otherwise(0)
+    edge = slim.join(near(order.filter("edge is not null").select("_source", F.col("edge.block").alias("block"), "edge.room")), ["_source", "block"])
+    inside = F.sum("n_tokens").over(Window.partitionBy("_source", "block").orderBy("_draw", "_tie").rowsBetween(Window.unboundedPreceding, 0))
+    edge = edge.withColumn("upto", inside - F.col("n_tokens")).filter("upto < room").groupBy("_source").agg(F.max(F.struct("_draw", "_tie")).alias("last"))
+    fate = stage.write(order.join(near(edge), "_source", "left").select("_source", "whole", "upto", F.col("edge.block").alias("edge"), "last"), "fate")
+
+    rows = rows.join(small(fate, BROADCAST_SOURCES), "_source")
+    last = (turn <= F.col("upto")) | ((F.col("block") == F.col("edge")) & (F.struct("_draw", "_tie") <= F.col("last")))
+    times = F.col("whole") + F.when(last, 1).otherwise(0)
     rows = rows.withColumn("_times", times).filter("_times > 0")
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
     if carry:

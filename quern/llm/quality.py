@@ -178,13 +178,13 @@ def one_label(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, learnt from labelled rows that aren't held out.
 
-    Texts are read once; their statistics are held. Nulls: a null text is empty, a null id is scored but
+    Texts are read once; their statistics are a written table. Nulls: a null text is empty, a null id is scored but
     never learnt from. Empty texts get the score of an empty vector of statistics. Repeated rows are scored each.
     Without two rows of each label all scores are 0.5. Extra columns are not read. Empty tables give empty tables.
     """
     stage = Stage(docs.sparkSession, "quality")
     slim = docs.select(docs["doc_id"], docs["text"])
-    rows = stage.hold(add_statistics(slim))
+    rows = stage.write(add_statistics(slim), "statistics")
     known = rows.filter(~held_out(F.col("doc_id"))).join(one_label(labels), "doc_id")
     out = score(rows, train(known))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -192,10 +192,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose score reaches the threshold; nulls as in `classify`."""
-    stage = Stage(docs.sparkSession, "quality")
-    slim = stage.hold(add_statistics(docs.select("doc_id", "text")))
-    model = train(slim.filter(~held_out(F.col("doc_id"))).join(one_label(labels), "doc_id"))
-    slim.unpersist()
+    Stage(docs.sparkSession, "quality")  # bounds the Arrow batches
+    # only of rows that may be learnt from; sums alone come of them
+    known = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(one_label(labels), "doc_id")
+    model = train(add_statistics(known))
 
     def run(batches):
         for batch in batches:

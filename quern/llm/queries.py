@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .chat_format import chat_digests
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
-from .hilbert import hilbert_shards
+from .hilbert import hilbert_shards, write_shards
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import classify
@@ -46,7 +46,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), carry=False)[0]
+    """A row for each document in the mix, with its text's digest."""
+    mixed, _ = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "n_tokens", "pass", "block", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,13 +72,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with their texts in written shards, and what is read back from there."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    slim = docs.select(
-        "doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32")
-    )
-    out = hilbert_shards(slim, ["source", "lang", "size", "doc_id"], shards=8, tie=["doc_id", "text_crc32"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows = docs.select("doc_id", "source", "lang", "text", (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc32"))
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(hilbert_shards(rows, ["source", "lang", "_size", "doc_id"], shards=8, tie=["doc_id", "_crc32"]).drop("_size", "_crc32", "curve"), path)
+    out = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
+    size, crc32 = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary")).cast("long")
+    return out.select("doc_id", size.alias("size"), crc32.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .stage import Stage, parts, tidy
 
-#: Documents that the dictionary is trained on (those with the smallest hashes of their ids), bytes of a sample, bytes of all, bytes of the dictionary.
-DICT_DOCS, DICT_PIECE, DICT_TOTAL, DICT_BYTES = 2000, 4096, 8 << 20, 64 << 10
+#: Documents that the dictionary is trained on (those with the smallest hashes of their ids), bytes of the one sample of each, bytes of the dictionary.
+DICT_DOCS, DICT_PIECE, DICT_BYTES = 2000, 4096, 64 << 10
 #: A block is closed at this many bytes or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 #: Words whose ids a worker remembers; beyond, it forgets all and starts again.
@@ -44,18 +44,24 @@ _OTHER_SPACE = re.compile("[" + "".join(map(chr, _SPACES)) + "]")
 
 
 class Words:
-    """Ids of words by the words' 64-bit hashes, in sorted columns: some 20 bytes a word."""
+    """Ids of words by the words' 128-bit hashes, in columns sorted by one half: some 28 bytes a word.
+
+    A word with the first half of another's hash but not the second is not known, and can't be added.
+    """
 
     def __init__(self, dtype: np.dtype):
+        self.check = np.empty(0, np.uint64)
         self.hash, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
         self.pool, self.used = np.empty(1 << 16, dtype), 0
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places, and whether a word is known."""
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of rows of hashes, whether a word is known, and whether another word is in its place."""
         if not len(self.hash):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return at, self.hash[at] == hashes
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hash, hashes[:, 0]), len(self.hash) - 1)
+        half = self.hash[at] == hashes[:, 0]
+        known = half & (self.check[at] == hashes[:, 1])
+        return at, known, half & ~known
 
     def behind(self, ids: np.ndarray) -> None:
         """Puts ids behind those of the words; what is put next takes their place."""
@@ -67,10 +73,10 @@ class Words:
         """New words and their ids, one word's after the other's; size -1 and no ids for what can't be encoded apart."""
         self.behind(ids)
         took = np.maximum(sizes, 0)
-        order = np.argsort(hashes)
-        both = np.concatenate([self.hash, hashes[order]])
+        order = np.argsort(hashes[:, 0], kind="stable")
+        both = np.concatenate([self.hash, hashes[order, 0]])
         merged = np.argsort(both, kind="stable")
-        self.hash = both[merged]
+        self.hash, self.check = both[merged], np.concatenate([self.check, hashes[order, 1]])[merged]
         self.start = np.concatenate([self.start, (self.used + np.cumsum(took) - took)[order]])[merged]
         self.size = np.concatenate([self.size, sizes[order].astype(np.int32)])[merged]
         self.used += len(ids)
@@ -138,19 +144,19 @@ class Encoder:
         later[firsts] = False
         used = np.zeros(len(words), bool)
         used[number[later]] = True
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        place, known = self.words.find(hashes)
-        new = np.flatnonzero(used & ~known)
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+        place, known, taken = self.words.find(hashes)
+        new = np.flatnonzero(used & ~known & ~taken)
         if len(new):
             self._learn([words[i] for i in new.tolist()], hashes[new])
-            place, known = self.words.find(hashes)
+            place, known, taken = self.words.find(hashes)
         # of the words their places in the pool; first words of texts and whole texts behind it
         size = np.where(known, self.words.size[place], 0) if len(self.words.hash) else np.zeros(len(words), np.int32)
         start = np.where(known, self.words.start[place], 0) if len(self.words.hash) else np.zeros(len(words), np.int64)
         first_words = [words[i] for i in number[firsts].tolist()]
         whole = np.array([bool(w) and is_odd(w) for w in first_words], bool)
         if n:
-            whole |= np.logical_or.reduceat((size < 0)[number] & later, firsts)
+            whole |= np.logical_or.reduceat(((size < 0) | (used & ~known))[number] & later, firsts)
         own = self._ids(["" if w else f for f, w in zip(first_words, whole.tolist())])
         rest = self._ids([texts[int(i)].as_py() for i in np.flatnonzero(whole)])
         more = np.array([len(x) for x in [*own, *rest]], np.int64)
@@ -197,10 +203,10 @@ def _train(path: str, end_id: int):
         code, samples, size = encoder(path), [], 0
         for _, held, _ in _encoded(batches, code, end_id):
             for ids in held:
-                for at in range(0, len(ids), DICT_PIECE):
-                    if size < DICT_TOTAL:
-                        samples.append(ids[at : at + DICT_PIECE])
-                        size += len(samples[-1])
+                # one piece of each document, from a place that its ids decide
+                at = zlib.crc32(ids) % max(1, -(-len(ids) // DICT_PIECE)) * DICT_PIECE
+                samples.append(ids[at : at + DICT_PIECE])
+                size += len(samples[-1])
         try:
             data = zstandard.train_dictionary(min(DICT_BYTES, max(1024, size // 8)), samples).as_bytes()
         except zstandard.ZstdError:  # too few samples: a dictionary of raw content

@@ -83,3 +83,13 @@ def test_token_files_round_trip(spark, tmp_path, n):
     assert [r["doc_id"] or -1 for r in got] == sorted(r["doc_id"] or -1 for r in got)
     if n > 1:
         assert fetch(spark, path, [15])[15].tolist() == dict(want)[15]
+
+
+def test_words_with_half_a_hash_in_common_are_told_apart():
+    from quern.llm.token_files import Words
+
+    words = Words(np.dtype("<u2"))
+    words.add(np.array([[5, 1], [9, 2]], np.uint64), np.array([1, 2]), np.array([10, 20, 21], "<u2"))
+    place, known, taken = words.find(np.array([[5, 1], [5, 7], [9, 2], [1, 1]], np.uint64))
+    assert known.tolist() == [True, False, True, False] and taken.tolist() == [False, True, False, False]
+    assert words.pool[words.start[place[2]] : words.start[place[2]] + words.size[place[2]]].tolist() == [20, 21]

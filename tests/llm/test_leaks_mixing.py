@@ -106,3 +106,10 @@ def test_mix_meets_budgets_in_whole_documents(spark, budget):
         passes[r["doc_id"], r["text"]].append(r["pass"])
     assert all(sorted(p) == list(range(len(p))) for k, p in passes.items() if k[0] != 3)
     assert mix(spark.createDataFrame([], DOCS))[0].collect() == []
+
+
+def test_repeated_rows_meet_the_budget_one_by_one(spark):
+    rows = [(1, "w " * 10, "a", "clash", 0)] * 200 + [(2, "w " * 10, "b", "clash", 0)]
+    mixed, made = mix(spark.createDataFrame(rows, DOCS).repartition(3), target_entropy=0.0, max_repeats=9.0, budget=3000)
+    own = sum(r["n_tokens"] for r in mixed.collect() if r["source"] == "a")
+    assert abs(own - made.epochs["=a"] * 2000) < 10
