@@ -217,13 +217,18 @@ def sentence_units(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(X.sentences(t)).alias("sentences"), X.estimate_tokens(t).alias("tokens"))
 
 
-FOLD = f"""units AS (SELECT doc_id, {SENTENCES_SQL} AS u FROM documents),
+TOKENS_OF = "greatest(1, round(length({0}) / 3.0))"
+TRIMMED = "list_filter(list_transform({0}, lambda y: trim(y, ' ' || chr(10) || chr(9) || chr(13))), lambda y: y <> '')"
+# greedy runs of words of at most 400 tokens, which are 1201 characters
+RUNS = r"list_reduce(list_transform(regexp_split_to_array({0}, '\s+'), lambda w: [w]), lambda a, b: CASE WHEN length(a[-1]) + 1 + length(b[1]) <= 1201 THEN list_append(a[:-2], a[-1] || ' ' || b[1]) ELSE list_concat(a, b) END)"
+UNITS = f"""flatten(list_transform({TRIMMED.format(r"regexp_split_to_array(text, '\n{2,}')")}, lambda p: CASE WHEN {TOKENS_OF.format("p")} <= 400 THEN [p] ELSE flatten(list_transform({SENTENCES_SQL.replace("(text,", "(p,")}, lambda z: CASE WHEN {TOKENS_OF.format("z")} <= 400 THEN [z] ELSE {RUNS.format("z")} END)) END))"""
+FOLD = rf"""units AS (SELECT doc_id, {UNITS} AS u FROM documents WHERE {TOKENS} > 692),
  folded AS (SELECT doc_id, list_reduce(list_transform(u, lambda x: {{'done': []::VARCHAR[][], 'run': [x]::VARCHAR[], 'n': greatest(1, round(length(x) / 3.0))::INTEGER}}),
   lambda s, x: CASE WHEN len(s.run) > 0 AND s.n + x.n > 400 THEN {{'done': list_append(s.done, s.run), 'run': list_append(s.run[len(s.run) + 1 - len(list_filter(list_transform(range(1, len(s.run) + 1), lambda i: list_sum(list_transform(s.run[i:], lambda y: greatest(1, round(length(y) / 3.0))))), lambda z: z <= least(60, 400 - x.n))):], x.run[1]),
    'n': (x.n + coalesce(list_sum(list_filter(list_transform(range(1, len(s.run) + 1), lambda i: CASE WHEN list_sum(list_transform(s.run[i:], lambda y: greatest(1, round(length(y) / 3.0)))) <= least(60, 400 - x.n) THEN greatest(1, round(length(s.run[i]) / 3.0)) ELSE 0 END), lambda z: z > 0)), 0))::INTEGER}}
   ELSE {{'done': s.done, 'run': list_append(s.run, x.run[1]), 'n': (s.n + x.n)::INTEGER}} END) AS s FROM units WHERE len(u) > 0),
  packs AS (SELECT doc_id, unnest(range(len(s.done) + 1)) AS i, list_append(s.done, s.run) AS p FROM folded),
- chunks AS (SELECT doc_id, i::INTEGER AS index, array_to_string(p[i + 1], chr(10) || chr(10)) AS text FROM packs)"""
+ chunks AS (SELECT doc_id, i::INTEGER AS index, array_to_string(p[i + 1], chr(10) || chr(10)) AS text FROM packs UNION ALL SELECT doc_id, 0, text FROM documents WHERE {TOKENS} <= 692 AND regexp_matches(text, '\S'))"""
 
 
 @query(f"WITH {FOLD} SELECT doc_id, index, sha256(text) AS text_sha256, {TOKENS} AS token_count FROM chunks")
