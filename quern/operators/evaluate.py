@@ -72,3 +72,54 @@ def failures(results: DataFrame) -> DataFrame:
 def report_line(reports: DataFrame) -> DataFrame:
     percent = lambda c: F.col(c) * 100
     return reports.select("mode", F.format_string("%-14s hit %5.1f%%  recall %5.1f%%  mrr %.3f  abstains %5.1f%%  wrongly %5.1f%%", "mode", percent("hit_rate"), percent("recall"), "mrr", percent("abstention_rate"), percent("false_abstention_rate")).alias("line"))
+
+
+#: Passages up to this many are broadcast.
+BROADCAST_PASSAGES = 100_000
+#: Words inside a passage by which it is looked for.
+INSIDE = 6
+
+
+def _marked(word: Column) -> Column:
+    """One word in eight."""
+    return F.pmod(F.xxhash64(word), F.lit(8)) == 0
+
+
+def _windows(k: int, marked: bool) -> Column:
+    """Hashes of runs of `k` words in `_w`: of all, or of those that begin with a marked word."""
+    at = F.sequence(F.lit(1), F.size("_w") - k + 1)
+    at = F.filter(at, lambda i: _marked(F.get("_w", i - 1))) if marked else at
+    return F.transform(at, lambda i: F.xxhash64(F.slice("_w", i, k)))
+
+
+def holders(texts: DataFrame, passages: DataFrame, n_passages: int, key: str = "doc_id") -> DataFrame:
+    """(query_id, key): the texts (key, _t) that hold a passage (query_id, _q) as a string; both have single spaces between words.
+
+    All but the first and last word of a passage stand in a text as words of their own. So texts and passages
+    meet by the hash of a window of such words, and only those that meet are compared; passages of fewer than
+    three words, if there are any, are held against every text. Passages are broadcast up to a checked number.
+    """
+    few = lambda t: F.broadcast(t) if n_passages <= BROADCAST_PASSAGES else t
+    asked = passages.withColumn("_w", F.split("_q", " ")).withColumn("_k", F.least(F.size("_w") - 2, F.lit(INSIDE)))
+    widths = sorted(r["_k"] for r in asked.filter("_q <> ''").select("_k").distinct().collect())  # at most INSIDE + 2 numbers
+    found = []
+    for k in (k for k in widths if k >= 1):
+        # a passage's window is its first that begins with a marked word, so of a text only such windows are made
+        inside = asked.filter(F.col("_k") == k).withColumn("_i", F.transform(F.sequence(F.lit(2), F.size("_w") - k), lambda i: F.when(_marked(F.get("_w", i - 1)), i)))
+        inside = inside.withColumn("_i", F.array_compact("_i"))
+        for marked in (True, False):
+            own = inside.filter(F.size("_i") > 0) if marked else inside.filter(F.size("_i") == 0)
+            if not marked and own.head(1) == []:
+                continue
+            own = own.select("query_id", F.xxhash64(F.slice("_w", F.get("_i", F.lit(0)) if marked else F.lit(2), F.lit(k))).alias("_h"))
+            windows = texts.select(key, F.split("_t", " ").alias("_w")).filter(F.size("_w") >= k).select(key, F.explode(_windows(k, marked)).alias("_h"))
+            near = windows.join(few(own), "_h").select(key, "query_id").distinct()
+            found.append(texts.join(near, key).join(few(asked.select("query_id", "_q")), "query_id").filter(F.col("_t").contains(F.col("_q"))).select("query_id", key))
+    if any(k < 1 for k in widths):
+        short = asked.filter("_k < 1 and _q <> ''").select("query_id", "_q")
+        found.append(texts.join(few(short), F.col("_t").contains(F.col("_q"))).select("query_id", key))
+    empty = asked.filter("_q = ''").select("query_id")
+    out = texts.select(key).join(few(empty)).select("query_id", key) if not found or empty.head(1) else None
+    for f in found:
+        out = f if out is None else out.unionByName(f)
+    return out.distinct()

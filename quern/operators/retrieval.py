@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import estimate_tokens, terms
+from quern.operators.staging import staged
 
 # Fixed values.
 K1, B = 1.2, 0.75
@@ -25,6 +26,8 @@ MODES = ("dense", "sparse", "hybrid", "hybrid+rerank")
 BROADCAST_ROWS = 200_000
 #: Query vectors that go to every task, and vectors that meet them at once.
 VECTOR_QUERIES, VECTORS = 10_000, 512
+#: Queries whose terms make one matrix.
+ASKED = 256
 
 
 @dataclass(frozen=True)
@@ -57,6 +60,103 @@ def postings(chunks: DataFrame, key: str = "id", text: str = "text", only: DataF
     return rows.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
 
 
+@dataclass(frozen=True)
+class Counted:
+    """What the texts have of the queries' terms: a written table of one row a text (key, len, at: places of its terms in `terms`, tf)."""
+
+    table: DataFrame
+    key: str
+    terms: list[str]
+    asked: list[tuple]  # (query_id, places of its terms)
+    n: int
+    avg_len: float
+    df: np.ndarray
+
+    def idf(self) -> np.ndarray:
+        return np.log(1 + (self.n - self.df + 0.5) / (self.df + 0.5))
+
+    def postings(self) -> DataFrame:
+        """As `postings` gives them, of the queries' terms."""
+        spark = self.table.sparkSession
+        names = spark.createDataFrame(list(enumerate(self.terms)), "_at int, term string")
+        rows = self.table.select(self.key, "len", F.inline(F.arrays_zip("at", "tf"))).withColumnRenamed("at", "_at")
+        return rows.join(F.broadcast(names), "_at").select(self.key, "term", "tf", "len")
+
+
+def counted(queries: DataFrame, chunks: DataFrame, key: str = "id", text: str = "text") -> Counted | None:
+    """One reading of the texts for all that a batch of queries asks of them; None where the batch has more than BROADCAST_ROWS terms.
+
+    The JVM makes the terms, numpy counts those of the queries.
+    """
+    asked = query_terms(queries, text="text").groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("t")).limit(BROADCAST_ROWS + 1).collect()
+    names = sorted({t for r in asked for t in r["t"]})
+    if len(names) > BROADCAST_ROWS or len(asked) > BROADCAST_ROWS:
+        return None
+    kind = dict(chunks.dtypes)[key]
+    shared = chunks.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches):
+        wanted = pa.array(shared.value, pa.string())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch["_t"]
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.fill_null(pc.index_in(lists.flatten(), wanted), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(batch.num_rows), size)[at >= 0]
+            pair, tf = np.unique(of * len(wanted) + at[at >= 0], return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(wanted)), minlength=batch.num_rows))]).astype(np.int32)
+            made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (pair % max(1, len(wanted)), tf)]
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array(size.astype(np.int32)), *made], names=[key, "len", "at", "tf"])
+
+    made = chunks.select(F.col(key), terms(F.col(text)).alias("_t")).mapInArrow(run, f"`{key}` {kind}, len int, at array<int>, tf array<int>")
+    table = staged(made, "postings")
+    n, length = table.agg(F.count("*"), F.sum("len")).first()
+    df = np.zeros(len(names), np.int64)
+    for r in table.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect():  # a row a term of the queries
+        df[r["at"]] = r["n"]
+    number = {t: i for i, t in enumerate(names)}
+    return Counted(table, key, names, [(r["query_id"], [number[t] for t in r["t"]]) for r in asked], n, max(1.0, length / n) if n else 1.0, df)
+
+
+def _bm25_of_batches(c: Counted, shared, limit: int, kind, places: int = 6):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow, key, avg_len = to_arrow_type(kind), c.key, c.avg_len
+
+    def run(batches):
+        asked, idf = shared.value
+        blocks = []
+        for lo in range(0, len(asked), ASKED):
+            own = asked[lo : lo + ASKED]
+            used = np.unique(np.concatenate([np.array(t, np.int64) for _, t in own]))
+            weight = np.zeros((len(used), len(own)))
+            for j, (_, t) in enumerate(own):
+                weight[np.searchsorted(used, t), j] = idf[t]
+            blocks.append(([i for i, _ in own], used, weight))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, VECTORS):
+                part = batch.slice(lo, VECTORS)
+                count = pc.list_value_length(part["at"]).to_numpy(zero_copy_only=False)
+                at, tf = (part[x].flatten().to_numpy(zero_copy_only=False) for x in ("at", "tf"))
+                of = np.repeat(np.arange(part.num_rows), count)
+                ratio = part["len"].to_numpy(zero_copy_only=False) / avg_len
+                value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * ratio[of]))
+                for ids, used, weight in blocks:
+                    place = np.minimum(np.searchsorted(used, at), len(used) - 1)
+                    own = used[place] == at
+                    held = np.zeros((part.num_rows, len(used)))
+                    held[of[own], place[own]] = value[own]
+                    score = np.round((held @ weight).T, places)
+                    # all that tie with the last of the best stay: ties are broken by key later
+                    cut = np.partition(score, -limit, axis=1)[:, -limit] if part.num_rows > limit else np.zeros(len(ids))
+                    # a text without a term of the query is no hit, whatever its score rounds to
+                    q, j = np.nonzero((score >= cut[:, None]) & (score > 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, arrow).take(pa.array(q)), part[key].take(pa.array(j)), pa.array(score[q, j])], names=["query_id", key, "score"])
+
+    return run
+
+
 def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
     """One row: n (texts), avg_len (mean number of terms, at least 1; of no texts 1)."""
     return chunks.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg(F.size(terms(F.col(text)))), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
@@ -87,20 +187,30 @@ def ranked(df: DataFrame, score: str, tie: str, name: str, limit: int) -> DataFr
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= limit)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, limit: int, post: DataFrame | None = None, key: str = "id", n_queries: int | None = None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, limit: int, post: DataFrame | Counted | None = None, key: str = "id", n_queries: int | None = None) -> DataFrame:
     """(query_id, key, score, sparse_rank): scores to 6 places, ties by key.
 
     Weights are made at query time from raw counts and the corpus' mean length, so they do not depend on
-    the order in which texts were indexed. A query without terms has no rows.
+    the order in which texts were indexed. A query without terms has no rows. `post` may be given: the postings of an
+    index, or what `counted` returns. Without postings a batch of texts is scored against all queries as one product
+    of matrices, and passes on its own best `limit` a query only.
     """
+    if post is None:
+        post = counted(queries, chunks, key)
+    if isinstance(post, Counted):
+        kind = queries.schema["query_id"].dataType
+        if not post.asked:
+            return ranked(queries.limit(0).crossJoin(chunks.select(key).limit(0)).select("query_id", key, F.lit(0.0).alias("score")), "score", key, "sparse_rank", limit)
+        shared = chunks.sparkSession.sparkContext.broadcast((post.asked, post.idf()))
+        kinds = f"query_id {kind.simpleString()}, `{key}` {dict(chunks.dtypes)[key]}, score double"
+        return ranked(post.table.mapInArrow(_bm25_of_batches(post, shared, limit, kind), kinds), "score", key, "sparse_rank", limit)
     wanted = few(query_terms(queries), n_queries and n_queries * 64)
     own = few(wanted.select("term").distinct(), n_queries and n_queries * 64)
     post = postings(chunks, key, only=own) if post is None else post.join(own, "term", "left_semi")
     hit = post.join(wanted, "term")
     df = document_frequency(post)
-    stats = corpus_stats(chunks)
     weight = saturation(F.col("tf"), F.col("len"), F.col("avg_len")) * idf(F.col("n"), F.col("df"))
-    scored = hit.join(df, "term").join(F.broadcast(stats)).groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
+    scored = hit.join(df, "term").join(F.broadcast(corpus_stats(chunks))).groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
     return ranked(scored, "score", key, "sparse_rank", limit)
 
 
@@ -116,19 +226,19 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, limit: int, key: str = "id", places: int = 6) -> DataFrame:
     """(query_id, key, score, dense_rank): exact cosine; `queries` (query_id, q) against every row of `vectors` (key, embedding).
 
-    A stated query set against all rows: up to VECTOR_QUERIES queries go to every task as one matrix, and a
-    batch of vectors passes on its own best `limit` a query only, so what is shuffled does not grow with the
-    product. More queries are joined with the vectors in the JVM. Queries whose dimension differs from a
+    A stated query set against all rows, in blocks of about VECTOR_QUERIES queries that go to every task as one
+    matrix; a batch of vectors passes on its own best `limit` a query only, so what is shuffled does not grow with
+    the product. Queries whose dimension differs from a
     vector's do not meet it; a zero or null vector has a score of 0 or none.
     """
     held = queries.filter("q is not null").select("query_id", "q")
-    rows = held.limit(VECTOR_QUERIES + 1).collect()
-    if len(rows) > VECTOR_QUERIES:
-        pairs = vectors.select(key, "embedding").join(held, F.size("embedding") == F.size("q"))
-        best = pairs.select("query_id", key, F.round(cosine(F.col("q"), F.col("embedding")), places).alias("score"))
-    else:
-        kinds = f"query_id {dict(queries.dtypes)['query_id']}, `{key}` {dict(vectors.dtypes)[key]}, score double"
-        best = vectors.select(key, "embedding").mapInArrow(_best_of_batches([(r["query_id"], r["q"]) for r in rows], limit, places, held.schema["query_id"].dataType), kinds)
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, `{key}` {dict(vectors.dtypes)[key]}, score double"
+    blocks = held.count() // VECTOR_QUERIES + 1
+    best = None
+    for block in range(blocks):
+        rows = held.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect() if blocks > 1 else held.collect()
+        own = vectors.select(key, "embedding").mapInArrow(_best_of_batches([(r["query_id"], r["q"]) for r in rows], limit, places, held.schema["query_id"].dataType), kinds)
+        best = own if best is None else best.unionByName(own)
     return ranked(best, "score", key, "dense_rank", limit)
 
 
@@ -189,14 +299,20 @@ def select_passages(hits: DataFrame, config: SearchConfig, threshold: bool, rank
     return rows.filter(keep).drop("_cost", "_best")
 
 
-def coverage(queries: DataFrame, hits: DataFrame, post: DataFrame, n_texts: Column | int, key: str = "id", n_queries: int | None = None) -> DataFrame:
+def coverage(queries: DataFrame, hits: DataFrame, post: DataFrame | Counted, n_texts: int | None = None, key: str = "id", n_queries: int | None = None) -> DataFrame:
     """`hits` (query_id, key, ...) with `coverage`: sum of idf of matched query terms over that of all query terms, to 6 places.
 
     A deterministic stand-in for a cross-encoder. Terms that no text has weigh as if in none.
     """
     wanted = query_terms(queries)
-    df = document_frequency(post.join(few(wanted.select("term").distinct(), n_queries and n_queries * 64), "term", "left_semi"))
-    weighed = wanted.join(df, "term", "left").withColumn("w", idf(F.lit(n_texts) if isinstance(n_texts, int) else n_texts, F.coalesce("df", F.lit(0))))
+    if isinstance(post, Counted):
+        # what is known of the terms is at hand, and only the hits' own postings are read
+        weights = hits.sparkSession.createDataFrame([(t, float(w)) for t, w in zip(post.terms, post.idf())], "term string, w double")
+        weighed = wanted.join(F.broadcast(weights), "term")
+        post = Counted(post.table.join(hits.select(key).distinct(), key, "left_semi"), key, post.terms, post.asked, post.n, post.avg_len, post.df).postings()
+    else:
+        df = document_frequency(post.join(few(wanted.select("term").distinct(), n_queries and n_queries * 64), "term", "left_semi"))
+        weighed = wanted.join(df, "term", "left").withColumn("w", idf(F.lit(n_texts), F.coalesce("df", F.lit(0))))
     whole = weighed.groupBy("query_id").agg(F.sum("w").alias("whole"))
     part = hits.select("query_id", key).join(weighed, "query_id").join(post.select(key, "term"), [key, "term"]).groupBy("query_id", key).agg(F.sum("w").alias("part"))
     out = hits.join(part, ["query_id", key], "left").join(whole, "query_id", "left")
@@ -228,7 +344,7 @@ def search(
         chunks = chunks.filter(F.col("source") == source)
     if kind is not None:
         chunks = chunks.filter(F.col("kind") == kind)
-    sparse = bm25(queries, chunks, config.prefetch, key=key) if mode != "dense" else None
+    sparse = bm25(queries, chunks, config.prefetch, key=key, n_queries=queries.count()) if mode != "dense" else None
     dense = None
     if mode != "sparse":
         if vectors is None or embed is None:

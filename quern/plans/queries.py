@@ -15,6 +15,7 @@ from quern.functions import text as X
 from quern.operators import answer, evaluate, index, layout, retrieval, tabular, views
 from quern.operators.chunk import prose_chunks
 from quern.operators.retrieval import SearchConfig
+from quern.operators.staging import spread, staged
 from quern.sources.corpus import parse
 from quern.streaming.ingest import event_windows
 
@@ -41,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,10 +147,11 @@ def filtered_search(spark, sf_dir):
 
 def covered(spark, sf_dir):
     d, q = docs(spark, sf_dir), questions(spark, sf_dir)
-    n = q.count()
-    post = retrieval.postings(d, "doc_id", only=retrieval.few(retrieval.query_terms(q).select("term").distinct(), n * 64))
-    hits = retrieval.bm25(q, d, CONFIG.candidates, post=post, key="doc_id", n_queries=n)
-    return retrieval.coverage(q, hits, post, d.count(), key="doc_id", n_queries=n)
+    post = retrieval.counted(q, d, key="doc_id")
+    if post is None:
+        raise ValueError("more questions than one batch takes")
+    hits = staged(retrieval.bm25(q, d, CONFIG.candidates, post=post, key="doc_id"), "hits")
+    return staged(retrieval.coverage(q, hits, post, key="doc_id"), "covered")
 
 
 @query(f"WITH {COVER} SELECT query_id, doc_id, coverage, r::INTEGER AS sparse_rank FROM cover")
@@ -186,7 +188,7 @@ def gold(spark, sf_dir):
     squash = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     q = questions(spark, sf_dir).select("query_id", squash("text").alias("_q"))
     d = docs(spark, sf_dir).select("doc_id", squash("text").alias("_t"))
-    hit = d.join(F.broadcast(q), F.col("_t").contains(F.col("_q"))).groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("expected"))
+    hit = evaluate.holders(d, q, q.count()).groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("expected"))
     return q.select("query_id").join(hit, "query_id", "left").select("query_id", F.coalesce("expected", F.array().cast("array<string>")).alias("expected"))
 
 

@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from quern.functions.vectors import hashed
 from quern.operators import answer, evaluate, retrieval
+from quern.operators.evaluate import holders
 from quern.operators.retrieval import SearchConfig, bm25, coverage, fuse, nearest, postings, search, select_passages
 
 CHUNKS = [("c1", "Clean the pump filter weekly", "a.md", "prose"), ("c2", "Error code E-07 means the pump is hot", "a.md", "prose"), ("c3", "The warranty lasts two years", "b.md", "record"), ("c4", "pump pump pump pump", "b.md", "prose")]
@@ -131,3 +133,33 @@ def test_answers_and_citations(spark):
     assert c.endswith("Last question: and then?") and c.count("Question: ") == 3
     got = spark.createDataFrame([("q", " new \nrest"), ("q", "  "), ("q", None)], "q string, r string").select(answer.condensed(F.col("q"), F.col("r"))).collect()
     assert [r[0] for r in got] == ["new", "q", "q"]
+
+
+def test_holders_are_those_that_contain(spark):
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(["ab", "b", "cab", "abc", "ca"]) for _ in range(rng.randint(0, 30)))) for i in range(80)]
+    asked = [(n, t[rng.randint(0, len(t) // 2) : len(t) // 2 + rng.randint(1, 40)].strip()) for n, (_, t) in enumerate(texts[:60])] + [(90, ""), (91, "b"), (92, "zz zz zz zz")]
+    got = holders(spark.createDataFrame(texts, "doc_id long, _t string"), spark.createDataFrame(asked, "query_id long, _q string"), 63).collect()
+    assert sorted(map(tuple, got)) == sorted((n, i) for n, q in asked for i, t in texts if q in t)
+
+
+def test_counted_postings_agree_with_separate_readings(spark):
+    texts = spark.createDataFrame([(1, "a1 b2 b2"), (2, "cc"), (3, ""), (4, None), (5, "b2"), (5, "b2")], "id long, text string")
+    asked = spark.createDataFrame([(1, "b2 a1"), (2, "zz"), (3, ""), (4, None)], "query_id long, text string")
+    made, want = retrieval.counted(asked, texts), retrieval.corpus_stats(texts).first()
+    rows = lambda t: sorted(map(tuple, t.select("id", "term", "tf", "len").collect()))
+    apart = retrieval.postings(texts.filter("id <> 5"), only=retrieval.query_terms(asked).select("term").distinct())
+    assert [r for r in rows(made.postings()) if r[0] != 5] == rows(apart) and (made.n, made.avg_len) == tuple(want)
+    plain = retrieval.bm25(asked, texts.filter("id <> 5"), 9, post=retrieval.postings(texts.filter("id <> 5")))
+    assert sorted(map(tuple, retrieval.bm25(asked, texts.filter("id <> 5"), 9).collect())) == sorted(map(tuple, plain.collect()))
+    assert retrieval.bm25(asked.filter("query_id > 2"), texts, 9).collect() == []
+
+
+def test_queries_in_blocks_find_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    vectors = [(i, [rng.random() for _ in range(3)]) for i in range(60)]
+    v = spark.createDataFrame(vectors, "id long, embedding array<double>")
+    q = v.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")).filter("id % 5 = 0")
+    whole = sorted(map(tuple, retrieval.nearest(q, v, 4).collect()))
+    monkeypatch.setattr(retrieval, "VECTOR_QUERIES", 3)
+    assert sorted(map(tuple, retrieval.nearest(q, v, 4).collect())) == whole
