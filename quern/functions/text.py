@@ -25,9 +25,23 @@ TABLE_RULE = r"^\s*\|?\s*:?-{2,}"
 ID_VALUE = r"^[A-Za-z]{0,4}[-_. ]?\d+(?:[-_.]\d+)*\+?$"
 CHARS_PER_TOKEN = 3.0
 CHUNK_NAMESPACE = "0b5f7a527d1e5f9a9c6e6f9f1a2b3c4d"
-# Accented letters of the Latin-1 range that decompose to a letter and a mark, and the letters.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Code points that `fold` looks at: Latin letters, marks, super- and subscripts, full-width forms.
+FOLDS = [range(0x80, 0x250), range(0x300, 0x370), range(0x1E00, 0x1F00), range(0x2070, 0x20A0), range(0xFF01, 0xFF5F)]
+
+
+def _folds() -> tuple[str, str]:
+    """Characters whose compatibility decomposition without marks is one other character, and those; then characters of which nothing stays."""
+    one, gone = [], ""
+    for c in (chr(n) for block in FOLDS for n in block):
+        left = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not left:
+            gone += c
+        elif left != c and len(left) == 1:
+            one.append((c, left))
+    return "".join(c for c, _ in one) + gone, "".join(x for _, x in one)
+
+
+ACCENTED, FOLDED = _folds()
 
 
 def normalize_spaces(text: Column) -> Column:
@@ -63,7 +77,7 @@ def breadcrumb(title: Column, path: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the accents of Latin-1 letters, in the JVM; `fold_exact` has all of Unicode."""
+    """Lower case without accents, in the JVM: of FOLDS what decomposes to one character; `fold_exact` has all of Unicode, and ligatures."""
     return F.translate(F.lower(text), ACCENTED, FOLDED)
 
 

@@ -34,6 +34,17 @@ def condense_prompt(history: DataFrame, followups: DataFrame) -> DataFrame:
     return followups.join(told, "conv_id").select("conv_id", F.concat(F.lit(CONDENSE_PROMPT + "\n\n"), "told", F.lit("\nLast question: "), "question").alias("prompt"))
 
 
+def standalone(turns: DataFrame, followups: DataFrame, complete: Callable[[Column, Column], Column]) -> DataFrame:
+    """(conv_id, question, text): questions and what they are searched by, which needs no conversation.
+
+    A question with exchanges before it is rewritten by the model, of whose answer the first line counts; one without,
+    or for which the model gives nothing, stays as it is. `followups` (conv_id, question) has one row a conversation.
+    """
+    asked = condense_prompt(history_window(turns), followups)
+    rewritten = asked.select("conv_id", complete(F.lit(CONDENSE_PROMPT), F.col("prompt")).alias("_rewritten"))
+    return followups.join(rewritten, "conv_id", "left").select("conv_id", "question", condensed(F.col("question"), F.col("_rewritten")).alias("text"))
+
+
 def condensed(question: Column, rewritten: Column) -> Column:
     """The first line of a rewritten question; the question itself where a model gave nothing."""
     first = F.trim(F.element_at(F.split(F.trim(rewritten), "\n", 2), 1))
@@ -58,9 +69,28 @@ def prompts(queries: DataFrame, passages: DataFrame) -> DataFrame:
     return asked.select("query_id", F.lit(SYSTEM_PROMPT).alias("system"), prompt.alias("prompt"), F.coalesce("passages", F.lit(0)).alias("passages"))
 
 
+MESSAGE = "array<struct<role:string,content:string>>"
+
+
+def messages(asked: DataFrame, history: DataFrame) -> DataFrame:
+    """`asked` (query_id, system, prompt, passages) with `messages`: the system's, the kept exchanges in order, the prompt.
+
+    `history` (conv_id, position, question, answer) is of `history_window`; its conv_id is the query's id. Without passages there are none.
+    """
+    say = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    pair = F.struct("position", F.array(say("user", F.col("question")), say("assistant", F.col("answer"))).alias("said"))
+    told = history.groupBy(F.col("conv_id").alias("query_id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["said"])).alias("_told"))
+    whole = F.concat(F.array(say("system", F.col("system"))), F.coalesce("_told", F.array().cast(MESSAGE)), F.array(say("user", F.col("prompt"))))
+    return asked.join(told, "query_id", "left").withColumn("messages", F.when(F.col("prompt").isNotNull(), whole)).drop("_told")
+
+
 def answers(asked: DataFrame, complete: Callable[[Column, Column], Column]) -> DataFrame:
-    """(query_id, text, refused). Questions without passages are a branch of their own: the model is never called for them."""
-    kept = asked.filter("passages > 0").select("query_id", complete(F.col("system"), F.col("prompt")).alias("text"), F.lit(False).alias("refused"))
+    """(query_id, text, refused). Questions without passages are a branch of their own: the model is never called for them.
+
+    `complete` takes (system, prompt), or where `asked` has `messages`, those.
+    """
+    said = complete(F.col("messages")) if "messages" in asked.columns else complete(F.col("system"), F.col("prompt"))
+    kept = asked.filter("passages > 0").select("query_id", said.alias("text"), F.lit(False).alias("refused"))
     return kept.unionByName(asked.filter("passages = 0").select("query_id", F.lit(NO_CONTEXT_ANSWER).alias("text"), F.lit(True).alias("refused")))
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.staging import staged
 from quern.operators.chunk import CHUNK, ChunkConfig, chunk_sections
 from quern.operators.retrieval import postings
 
@@ -141,12 +142,12 @@ class IndexTable:
         out = changes.join(failed.withColumn("_failed", F.lit(True)), "source", "left").select(
             "source", F.when(F.col("_failed"), "failed").otherwise(F.col("action")).alias("action"), (F.coalesce("_failed", F.lit(False)) & F.col("old").isNotNull()).alias("stale")
         )
-        rows = out.collect()  # a row a source, for the caller's report
-        if any(r["action"] in ("added", "updated", "removed") for r in rows) or (force and rows):
+        report = staged(out, "sync")  # a row a source
+        if report.head(1) if force else report.filter("action in ('added', 'updated', 'removed')").head(1):
             self._replace(old.unionByName(new), kept.unionByName(vectors))
         changes.unpersist()
         parsed.unpersist()
-        return self.spark.createDataFrame(rows, "source string, action string, stale boolean")
+        return report
 
     def snapshot(self, path: str) -> None:
         """A copy of the current version as an index of its own."""

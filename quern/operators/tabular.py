@@ -15,8 +15,9 @@ from quern.functions.text import ID_VALUE
 from quern.operators.chunk import Section
 
 HEADER_ROWS, LABEL_CHARS, PROSE_CHARS = 12, 80, 40
-# Labels of id columns in the languages that are read.
-ID_LABELS = ["id", "identifiant", "identifier", "ref", "ref.", "réf", "réf.", "reference", "référence", "code", "n°", "no", "no.", "numéro", "numero", "number", "part number", "key", "clé", "kennung", "nummer", "referencia", "código", "codigo"]
+# Labels of id columns, in any case.
+ID_LABEL = r"^(?:identifiant|référence|reference|réf\.?|ref\.?|id|code|item|clé|key|n°|no\.?|num(?:éro|ber)?|part\s*(?:number|no)|sku)$"
+_LABEL = re.compile(ID_LABEL, re.IGNORECASE)
 _ID = re.compile(ID_VALUE)
 
 
@@ -40,7 +41,7 @@ def find_header(rows: list[list[str]]) -> int | None:
 def id_column(header: list[str], data: list[list[str]]) -> int | None:
     """The first column named as an id; else the first of two or more values, all different and all like ids."""
     for j, label in enumerate(header):
-        if label.strip().lower() in ID_LABELS:
+        if _LABEL.match(label.strip()):
             return j
     for j in range(len(header)):
         values = [r[j] for r in data if j < len(r) and r[j]]
@@ -96,7 +97,7 @@ def id_columns(cells: DataFrame) -> DataFrame:
     facts = cells.groupBy("doc_key", "column").agg(
         F.first("label").alias("label"), F.count_if(held).alias("n"), F.count_distinct(F.when(held, F.col("value"))).alias("distinct"), F.every(like | ~held).alias("like")
     )
-    named = F.lower(F.trim("label")).isin(ID_LABELS)
+    named = F.trim("label").rlike(f"(?iu){ID_LABEL}")
     shaped = (F.col("n") >= 2) & (F.col("distinct") == F.col("n")) & F.col("like")
     return facts.groupBy("doc_key").agg(F.coalesce(F.min(F.when(named, F.col("column"))), F.min(F.when(shaped, F.col("column")))).alias("id_column")).filter("id_column is not null")
 

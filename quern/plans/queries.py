@@ -271,10 +271,18 @@ def nation_rows(spark, sf_dir):
     return head.unionByName(n.select(F.col("n_regionkey").alias("doc_key"), place.alias("row_no"), F.array(F.concat(F.lit("N-"), "n_nationkey"), "n_name", F.lit("x")).alias("cells")))
 
 
-@query("SELECT n_regionkey AS doc_key, 0 AS id_column FROM nation GROUP BY 1")
+LABELS = "['SKU', 'Kennung', 'Part no', 'Item name', 'Num']"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT n_regionkey AS doc_key, {LABELS}[n_regionkey + 1] AS label FROM nation),
+ shaped AS (SELECT n_regionkey AS doc_key, bool_and(regexp_matches('N-' || n_nationkey, '^[A-Za-z]{{0,4}}[-_. ]?\\d+')) AND count(*) >= 2 AS ok FROM nation GROUP BY 1)
+ SELECT doc_key, CASE WHEN regexp_matches(label, '{tabular.ID_LABEL}', 'i') THEN 2 ELSE 1 END AS id_column FROM r JOIN shaped USING (doc_key) WHERE ok""")
 def id_column(spark, sf_dir):
-    rows = nation_rows(spark, sf_dir).filter("row_no > 0").select("doc_key", F.posexplode("cells").alias("column", "value"))
-    return tabular.id_columns(rows.withColumn("label", F.concat(F.lit("c"), "column")))
+    """A table a region, with names, codes and a third column under a label that names an id or doesn't."""
+    n = table(spark, sf_dir, "nation")
+    label = F.element_at(F.array(*[F.lit(x) for x in ("SKU", "Kennung", "Part no", "Item name", "Num")]), F.col("n_regionkey") + 1)
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), x.alias("label"), v.alias("value")) for i, (x, v) in enumerate([(F.lit("Name"), F.col("n_name")), (F.lit("Mark"), F.concat(F.lit("N-"), "n_nationkey")), (label, F.lit("x"))])])
+    return tabular.id_columns(n.select(F.col("n_regionkey").alias("doc_key"), F.inline(cells)))
 
 
 @query("SELECT source, count(*) AS chunks FROM documents GROUP BY source")
@@ -310,11 +318,11 @@ def made_answers(spark, sf_dir):
 
 
 @query(r"""WITH a AS (SELECT doc_id AS answer_id, list_transform(regexp_extract_all('First [' || (doc_id % 4 + 1) || '], again [' || (doc_id % 4 + 1) || '], then [' || (doc_id % 9) || '] and [' || (doc_id % 50) || '], not [123].', '\[(\d{1,2})\]', 1), lambda x: x::INTEGER) AS f FROM documents)
- SELECT answer_id, array_to_string(list_sort(list_distinct(list_filter(f, lambda x: x BETWEEN 1 AND 4))), ',') AS valid, array_to_string(list_sort(list_distinct(list_filter(f, lambda x: x NOT BETWEEN 1 AND 4))), ',') AS invalid FROM a""")
+ SELECT answer_id, array_to_string(list_sort(list_distinct(list_filter(f, lambda x: x BETWEEN 1 AND 4))), ',') AS valid, array_to_string(list_filter(f, lambda x, i: x NOT BETWEEN 1 AND 4 AND list_position(f, x) = i), ',') AS invalid FROM a""")
 def citations_extract(spark, sf_dir):
     valid, invalid = answer.citations(F.col("text"), F.lit(4))
     s = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return made_answers(spark, sf_dir).select("answer_id", s(valid).alias("valid"), s(F.array_sort(invalid)).alias("invalid"))
+    return made_answers(spark, sf_dir).select("answer_id", s(valid).alias("valid"), s(invalid).alias("invalid"))
 
 
 @query(r"""WITH a AS (SELECT DISTINCT doc_id AS answer_id, unnest(list_transform(regexp_extract_all('First [' || (doc_id % 4 + 1) || '], again [' || (doc_id % 4 + 1) || '], then [' || (doc_id % 9) || '] and [' || (doc_id % 50) || '], not [123].', '\[(\d{1,2})\]', 1), lambda x: x::INTEGER)) AS number FROM documents)
@@ -333,6 +341,41 @@ def history_window(spark, sf_dir):
     return answer.history_window(table(spark, sf_dir, "conversations"))
 
 
+LAST = "last AS (SELECT conv_id, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id)"
+
+
+@query(f"""WITH {PAIRS}, {LAST}, told AS (SELECT conv_id, string_agg('Question: ' || question || chr(10) || 'Answer: ' || answer, chr(10) ORDER BY turn) AS told FROM kept GROUP BY conv_id)
+ SELECT conv_id, sha256('{answer.CONDENSE_PROMPT}' || chr(10) || chr(10) || told || chr(10) || 'Last question: ' || question) AS prompt_sha256 FROM told JOIN last USING (conv_id)""")
+def followup_prompts(spark, sf_dir):
+    """What a model is asked to rewrite the last question of each conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = answer.condense_prompt(answer.history_window(turns), last_questions(turns))
+    return asked.select("conv_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+def last_questions(turns):
+    return turns.filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
+
+
+@query(f"""WITH {PAIRS}, {LAST}, said AS (SELECT conv_id, count(*) AS n, string_agg('user' || chr(10) || question || chr(10) || 'assistant' || chr(10) || answer || chr(10), '' ORDER BY turn) AS said FROM kept GROUP BY conv_id)
+ SELECT conv_id, (2 + 2 * coalesce(n, 0))::INTEGER AS messages, sha256('system' || chr(10) || '{answer.SYSTEM_PROMPT}' || chr(10) || coalesce(said, '') || 'user' || chr(10) || '[1] (c)' || chr(10) || question || chr(10) || chr(10) || 'Question: ' || question || chr(10)) AS sha256 FROM last LEFT JOIN said USING (conv_id)""")
+def chat_messages(spark, sf_dir):
+    """The messages of each conversation's last question, with the exchanges before it; its own text is the one passage."""
+    turns = table(spark, sf_dir, "conversations")
+    q = last_questions(turns).select(F.col("conv_id").alias("query_id"), F.col("question").alias("text"))
+    passages = q.select("query_id", F.lit(1).alias("rank"), F.lit("c").alias("location"), "text")
+    made = answer.messages(answer.prompts(q, passages), answer.history_window(turns))
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("\n"), m["content"], F.lit("\n"))), "")
+    return made.select(F.col("query_id").alias("conv_id"), F.size("messages").alias("messages"), F.sha2(said, 256).alias("sha256"))
+
+
+@query(f"""WITH {LAST} SELECT conv_id, CASE WHEN conv_id IN (SELECT conv_id FROM conversations c1 WHERE EXISTS (SELECT 1 FROM conversations c2 WHERE c2.conv_id = c1.conv_id AND c1.role = 'user' AND c2.role = 'assistant' AND c2.turn = (SELECT min(turn) FROM conversations c3 WHERE c3.conv_id = c1.conv_id AND c3.turn > c1.turn))) THEN 'rewritten' ELSE question END AS text FROM last""")
+def followup_questions(spark, sf_dir):
+    """Questions that have exchanges before them are rewritten, others stay; the model gives one line and more."""
+    turns = table(spark, sf_dir, "conversations")
+    return answer.standalone(turns, last_questions(turns), lambda system, prompt: F.concat(F.lit(" rewritten \nmore "), F.substring(prompt, 1, 0))).select("conv_id", "text")
+
+
 @query(f"""WITH {SELECTED}, b AS (SELECT query_id, string_agg('[' || rank || '] (' || source || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n FROM selected JOIN documents USING (doc_id) GROUP BY query_id)
  SELECT item_id AS query_id, sha256(context || chr(10) || chr(10) || 'Question: ' || text) AS prompt_sha256, coalesce(n, 0)::INTEGER AS passages FROM benchmark LEFT JOIN b ON query_id = item_id""")
 def prompt_context(spark, sf_dir):

@@ -12,6 +12,7 @@ from datetime import datetime, time, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+from quern.functions import text as text_functions
 from quern.operators.chunk import Section
 from quern.operators.tabular import find_header, prose_sections, record_sections
 
@@ -21,9 +22,11 @@ DELIMITERS = ",;\t|"
 NOISE = {"script", "style", "nav", "footer", "header", "aside", "noscript", "form", "svg"}
 BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "pre", "blockquote", "table", "dd"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-BULLET = re.compile(r"^\s*(?:[•▪◦o\-–—*]|\(?\d+[.)]|[a-z][.)])\s+")
+BULLET = re.compile(text_functions.BULLET.removeprefix("(?U)"))  # the same pattern, as the JVM and as Python spell it
 NUMBERED_LINE = re.compile(r"^(\d+(?:\.\d+)*)[.)]?\s+\S")
-HEADING_STYLE = re.compile(r"^(?:heading|titre|title|überschrift|encabezado)\s*(\d)?$", re.IGNORECASE)
+HEADING_STYLE = re.compile(r"^(?:heading|titre|title|überschrift|encabezado)\s*(\d+)?", re.IGNORECASE)
+LIST_STYLE = re.compile(r"list|liste|puces|bullet|number", re.IGNORECASE)
+DEEPEST = 6
 EXCEL_DATES = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 
 
@@ -486,11 +489,11 @@ def load_docx(data: bytes, stem: str) -> Extracted:
             style = _attr(_find(e, "pPr", "pStyle"), "val") or ""
             name = names.get(style, style)
             heading = HEADING_STYLE.match(name)
-            if heading and int(heading[1] or 1) <= 6:
+            if heading:
                 flush()
-                path.enter(int(heading[1] or 1), text(e))
+                path.enter(min(int(heading[1] or 1), DEEPEST), text(e))
             else:
-                held.append(f"- {text(e)}" if name.lower().startswith("list") else text(e))
+                held.append(f"- {text(e)}" if LIST_STYLE.search(name) else text(e))
     flush()
     if not out:
         raise LoaderError("no text")

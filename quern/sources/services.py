@@ -79,25 +79,61 @@ def reranker(url: str):
     return rerank
 
 
-def completer(url: str, model: str = "default", token: str | None = None, temperature: float = 0.1, max_tokens: int = 512):
-    """For `answers(complete=...)`: a UDF of (system, prompt)."""
+def _completion(url: str, body: dict, token: str | None) -> str:
+    got = post(f"{url}/v1/chat/completions", body, token)
+    try:
+        return got["choices"][0]["message"]["content"]
+    except (KeyError, IndexError, TypeError) as e:
+        raise ServiceError("no text in the answer") from e
+
+
+def completer(url: str, model: str = "default", token: str | None = None, temperature: float = 0.1, max_tokens: int = 512, strict: bool = True):
+    """For `answers(complete=...)`: a UDF of (system, prompt). If not `strict`, null where the service fails, as rewriting a question wants it."""
 
     @F.pandas_udf("string")
     def complete(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for system, prompt in batches:
             out = []
             for s, p in zip(system, prompt):
-                messages = [{"role": "system", "content": s}, {"role": "user", "content": p}]
-                got = post(f"{url}/v1/chat/completions", {"model": model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens}, token)
+                said = [{"role": "system", "content": s}, {"role": "user", "content": p}]
                 try:
-                    out.append(got["choices"][0]["message"]["content"])
-                except (KeyError, IndexError, TypeError) as e:
-                    raise ServiceError("no text in the answer") from e
+                    out.append(_completion(url, {"model": model, "messages": said, "temperature": temperature, "max_tokens": max_tokens}, token))
+                except ServiceError:
+                    if strict:
+                        raise
+                    out.append(None)
             yield pd.Series(out, dtype=object)
 
     return complete
 
 
+def chat_completer(url: str, model: str = "default", token: str | None = None, temperature: float = 0.1, max_tokens: int = 512):
+    """For `answers` of rows with `messages`: a UDF of an array of (role, content)."""
+
+    @F.pandas_udf("string")
+    def complete(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for said in batches:
+            yield pd.Series([_completion(url, {"model": model, "messages": [{"role": m["role"], "content": m["content"]} for m in row], "temperature": temperature, "max_tokens": max_tokens}, token) for row in said], dtype=object)
+
+    return complete
+
+
+def stream_completion(url: str, messages: list[dict], model: str = "default", token: str | None = None, temperature: float = 0.1, max_tokens: int = 512, timeout: float = 120) -> Iterator[str]:
+    """The pieces of one answer as the service sends them, for a reader who waits; a malformed event is an error."""
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+    body = {"model": model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens, "stream": True}
+    try:
+        with urllib.request.urlopen(urllib.request.Request(f"{url}/v1/chat/completions", json.dumps(body).encode(), headers), timeout=timeout) as answer:
+            for line in answer:
+                data = line.decode().strip().removeprefix("data:").strip() if line.startswith(b"data:") else ""
+                if data == "[DONE]":
+                    return
+                if data and (piece := (json.loads(data)["choices"] or [{}])[0].get("delta", {}).get("content")):
+                    yield piece
+    except (urllib.error.URLError, TimeoutError, ValueError, KeyError, TypeError) as e:
+        raise ServiceError(f"{url}: {e}") from e
+
+
 def events(stream: str) -> list[tuple[str, dict]]:
     """(event, data) of a server-sent event stream's text; blocks without data are left out."""
     out = []

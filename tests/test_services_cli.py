@@ -87,3 +87,32 @@ def test_commands(spark, tmp_path, capsys, url):
     code, out = run("eval", str(cases), "--mode", "sparse")
     assert code == 0 and "hit 100.0%" in out
     assert run("ingest", f"file://{tmp_path}/none")[0] == 2
+
+
+def test_answers_are_streamed_and_failures_of_a_rewriter_are_null(spark):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            self.send_response(200)
+            self.end_headers()
+            for piece in ("One ", "two", None):
+                delta = {"content": piece} if piece else {}
+                self.wfile.write(f"data: {json.dumps({'choices': [{'delta': delta}]})}\n\n".encode())
+            self.wfile.write(b"data: [DONE]\n\n")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert list(services.stream_completion(url, [{"role": "user", "content": "?"}])) == ["One ", "two"]
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(services.ServiceError):
+        list(services.stream_completion(url, []))
+    df = spark.createDataFrame([("s", "p")], "a string, b string")
+    assert df.select(services.completer(url, strict=False)("a", "b")).first()[0] is None
