@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.staging import gone_at_exit, shared_dir, spread
+
 from .chat_format import chat_digests
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
@@ -15,14 +17,13 @@ from .hilbert import hilbert_shards, write_shards
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import classify
-from .stage import shared_dir
 from .suffix_dedup import suffix_dedup
 from .suffix_tree import score_texts
 from .token_files import read_tokens, write_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = gone_at_exit(spark, f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return read_tokens(spark, path)
 
@@ -76,7 +77,7 @@ def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", "source", "lang", "text", (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc32"))
-    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    path = gone_at_exit(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     write_shards(hilbert_shards(rows, ["source", "lang", "_size", "doc_id"], shards=8, tie=["doc_id", "_crc32"]).drop("_size", "_crc32", "curve"), path)
     out = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
     size, crc32 = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary")).cast("long")

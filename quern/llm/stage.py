@@ -6,11 +6,8 @@ steps before the table. Files are written and read by Spark alone, so any file s
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -20,33 +17,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.staging import gone_at_exit, one_machine, shared_dir
+
 #: Bytes of an Arrow batch, in place of Spark's 10,000 rows of any length. The setting holds for the session.
 BATCH_BYTES = 4 << 20
 
 #: Seconds that the cleaner of shuffle files, a thread of its own, is given.
 CLEANED = 0.5
 
-_local: list[str] = []
-
-
-def one_machine(spark: SparkSession) -> bool:
-    """Whether driver and executors are one process."""
-    return spark.conf.get("spark.master", "").split("[")[0] == "local"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` where the cluster names one; on one machine alone (tests) else a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not one_machine(spark):
-        raise ValueError("a cluster needs spark.checkpoint.dir: a folder of this machine is not seen by the others")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="quern-stage-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return f"file://{_local[0]}"
-
-
 class Stage:
     """The written tables of one run of an operator."""
 
@@ -55,7 +33,7 @@ class Stage:
         self.held: list[DataFrame] = []
         # what a Python worker is handed at once, in bytes: rows may be long
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = gone_at_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
     def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """Writes `df` as Parquet and returns the table read back. Columns without a type become strings.
