@@ -225,7 +225,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     crowd = stage.write(placed.join(open_.filter(F.col("outside") > FEW), "key", "left_semi").select("rep", "root").distinct(), "crowd")
     if n := crowd.count():
         meeting = stage.write(_meetings(crowd, n, docs, stage, k, percent), "meetings")
-        cross = cross.unionByName(across(meeting, _open(meeting))).distinct()
+        # written first, so that Spark can split the join by a key that many have
+        cross = cross.unionByName(across(meeting, stage.write(_open(meeting), "open"))).distinct()
     cross = stage.hold(cross.join(pairs, ["a", "b"], "left_anti"))
     if n := cross.count():
         links = links.unionByName(_confirmed(cross, docs, stage, "second", n, k, percent))

@@ -192,10 +192,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose score reaches the threshold; nulls as in `classify`."""
-    Stage(docs.sparkSession, "quality")  # bounds the Arrow batches
-    # only of rows that may be learnt from; sums alone come of them
-    known = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(one_label(labels), "doc_id")
-    model = train(add_statistics(known))
+    stage = Stage(docs.sparkSession, "quality")
+    # of rows that may be learnt from; texts are not shuffled
+    slim = stage.write(add_statistics(docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))), "statistics")
+    model = train(slim.join(one_label(labels), "doc_id"))
+    stage.drop("statistics")
 
     def run(batches):
         for batch in batches:

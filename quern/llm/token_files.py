@@ -184,7 +184,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], code: Encoder, end_id: int, limit: int = 4 << 20) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray]]:
+def _encoded(batches: Iterator[pa.RecordBatch], code: Encoder, end_id: int, limit: int = 3 << 20) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray]]:
     """Keys, ids with the end id as bytes, and numbers of ids, a few MB of text at a time."""
     end = np.array([end_id], code.dtype).tobytes()
     for batch in batches:
