@@ -33,7 +33,7 @@ DICT_DOCS, DICT_PIECE, DICT_BYTES = 2000, 4096, 64 << 10
 #: A block is closed at this many bytes or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 #: Words whose ids a worker remembers; beyond, it forgets all and starts again.
-WORDS = 3_000_000
+WORDS = 1_500_000
 #: How the vocabulary writes a space.
 SPACE = chr(0x120)
 LEVEL = 3
@@ -44,14 +44,14 @@ _OTHER_SPACE = re.compile("[" + "".join(map(chr, _SPACES)) + "]")
 
 
 class Words:
-    """Ids of words by the words' 128-bit hashes, in columns sorted by one half: some 28 bytes a word.
+    """Ids of words by the words' 96-bit hashes, in columns sorted by 64 bits of them: some 20 bytes a word.
 
-    A word with the first half of another's hash but not the second is not known, and can't be added.
+    A word with these bits of another's hash but not the rest is not known, and can't be added.
     """
 
     def __init__(self, dtype: np.dtype):
-        self.check = np.empty(0, np.uint64)
-        self.hash, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.check = np.empty(0, np.uint32)
+        self.hash, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32)
         self.pool, self.used = np.empty(1 << 16, dtype), 0
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +60,7 @@ class Words:
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
         at = np.minimum(np.searchsorted(self.hash, hashes[:, 0]), len(self.hash) - 1)
         half = self.hash[at] == hashes[:, 0]
-        known = half & (self.check[at] == hashes[:, 1])
+        known = half & (self.check[at] == hashes[:, 1].astype(np.uint32))
         return at, known, half & ~known
 
     def behind(self, ids: np.ndarray) -> None:
@@ -76,8 +76,8 @@ class Words:
         order = np.argsort(hashes[:, 0], kind="stable")
         both = np.concatenate([self.hash, hashes[order, 0]])
         merged = np.argsort(both, kind="stable")
-        self.hash, self.check = both[merged], np.concatenate([self.check, hashes[order, 1]])[merged]
-        self.start = np.concatenate([self.start, (self.used + np.cumsum(took) - took)[order]])[merged]
+        self.hash, self.check = both[merged], np.concatenate([self.check, hashes[order, 1].astype(np.uint32)])[merged]
+        self.start = np.concatenate([self.start, (self.used + np.cumsum(took) - took)[order].astype(np.uint32)])[merged]
         self.size = np.concatenate([self.size, sizes[order].astype(np.int32)])[merged]
         self.used += len(ids)
 
@@ -152,7 +152,7 @@ class Encoder:
             place, known, taken = self.words.find(hashes)
         # of the words their places in the pool; first words of texts and whole texts behind it
         size = np.where(known, self.words.size[place], 0) if len(self.words.hash) else np.zeros(len(words), np.int32)
-        start = np.where(known, self.words.start[place], 0) if len(self.words.hash) else np.zeros(len(words), np.int64)
+        start = np.where(known, self.words.start[place], 0).astype(np.int64) if len(self.words.hash) else np.zeros(len(words), np.int64)
         first_words = [words[i] for i in number[firsts].tolist()]
         whole = np.array([bool(w) and is_odd(w) for w in first_words], bool)
         if n:
