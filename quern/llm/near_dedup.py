@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .stage import Stage, small, tidy
-from .tally import mix
+from .tally import mix, tally
 
 ROWS = 4  # samples in a band
 SKETCH_WORDS = 8
@@ -154,19 +154,56 @@ def _open(members: DataFrame) -> DataFrame:
     return keys.filter("outside > 0")
 
 
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield batch["set"].flatten().to_numpy(zero_copy_only=False).view(_U)
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    many = counts > 1
+    return pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["key", "sets"])
+
+
+def _rarest(shared, percent: int):
+    """Of each set the shingles that it meets others by, of those in several sets."""
+
+    def run(batches):
+        keys, sets = shared.value
+        for batch in batches:
+            reps, out = [], []
+            for rep, h in zip(batch["doc_id"].to_pylist(), batch["set"]):
+                h = np.asarray(h.values)
+                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+                there = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+                first = len(h) - (len(h) * percent + 99) // 100 + 1 - int((~there).sum())
+                if first > 0:
+                    own = h[there][np.lexsort((h[there], sets[at[there]]))[:first]]
+                    out.append(own)
+                    reps.append(np.full(len(own), rep))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(reps))], names=["key", "rep"])
+
+    return run
+
+
 def _meetings(crowd: DataFrame, n: int, docs: DataFrame, stage: Stage, k: int, percent: int) -> DataFrame:
     """(key, rep, root): the shingles that `crowd` (`n` rows of rep, root) meets by, as keys.
 
-    Shingles of one component alone come first in the order, the others by the number of sets that have them.
+    The order is that of the number of sets that have a shingle, then of its hash. Numbers over one go to every task up to
+    BROADCAST_IDS of them; more are joined.
     """
     texts = docs.join(F.broadcast(crowd) if n <= BROADCAST_IDS else crowd, F.col("doc_id") == F.col("rep"), "left_semi")
     sets = stage.write(texts.mapInArrow(tidy(_sets(k)), "doc_id long, set array<long>").distinct(), "crowd-sets")
-    own = sets.withColumnsRenamed({"doc_id": "rep"}).join(crowd, "rep").select("rep", "root", F.xxhash64("set").alias("which"), F.size("set").alias("n"), F.explode("set").alias("key"))
-    several = own.groupBy("key").agg(F.count("*").alias("sets"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "sets")
+    several = stage.write(tally(sets.select("set"), _several, _counted, "key long, sets long"), "crowd-counts")
+    if several.count() <= BROADCAST_IDS:
+        got = several.toArrow().sort_by("key")
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(got[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "sets")))
+        return sets.mapInArrow(tidy(_rarest(shared, percent)), "key long, rep long").distinct().join(crowd, "rep").select("key", "rep", "root")
+    own = sets.select(F.col("doc_id").alias("rep"), F.xxhash64("set").alias("which"), F.size("set").alias("n"), F.explode("set").alias("key"))
     one = Window.partitionBy("rep", "which")
     ranked = own.join(several, "key").withColumn("place", F.row_number().over(one.orderBy("sets", "key"))).withColumn("_several", F.count("*").over(one))
     first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    return ranked.filter(F.col("place") + F.col("n") - F.col("_several") <= first).select("key", "rep", "root").distinct()
+    return ranked.filter(F.col("place") + F.col("n") - F.col("_several") <= first).select("key", "rep").distinct().join(crowd, "rep").select("key", "rep", "root")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", pivots: int = 4) -> DataFrame:

@@ -121,5 +121,7 @@ def test_boilerplate_meets_by_its_own_shingles(spark, monkeypatch):
             both = len(sets[a] & sets[b])
             if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 want[b] = min(want[b], want[a])
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
-    assert got == want and sum(i != c for i, c in want.items()) == 30
+    for limit in (near_dedup.BROADCAST_IDS, 10):  # numbers of sets broadcast, and joined
+        monkeypatch.setattr(near_dedup, "BROADCAST_IDS", limit)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+        assert got == want and sum(i != c for i, c in want.items()) == 30
