@@ -33,7 +33,7 @@ DICT_DOCS, DICT_PIECE, DICT_BYTES = 2000, 4096, 64 << 10
 #: A block is closed at this many bytes or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 #: Words whose ids a worker remembers; beyond, it forgets all and starts again.
-WORDS = 1_500_000
+WORDS = 400_000
 #: How the vocabulary writes a space.
 SPACE = chr(0x120)
 LEVEL = 3
