@@ -32,7 +32,7 @@ from .stage import Stage, parts, tidy
 DICT_DOCS, DICT_PIECE, DICT_BYTES = 2000, 4096, 64 << 10
 #: A block is closed at this many bytes or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
-#: Words whose ids a worker remembers; beyond, it forgets all and starts again.
+#: Words whose ids a worker remembers; beyond, it forgets those that it has not met again since it last did.
 WORDS = 400_000
 #: How the vocabulary writes a space.
 SPACE = chr(0x120)
@@ -50,7 +50,7 @@ class Words:
     """
 
     def __init__(self, dtype: np.dtype):
-        self.check = np.empty(0, np.uint32)
+        self.check, self.again = np.empty(0, np.uint32), np.empty(0, bool)
         self.hash, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32)
         self.pool, self.used = np.empty(1 << 16, dtype), 0
 
@@ -79,8 +79,18 @@ class Words:
         self.hash, self.check = both[merged], np.concatenate([self.check, hashes[order, 1].astype(np.uint32)])[merged]
         self.start = np.concatenate([self.start, (self.used + np.cumsum(took) - took)[order].astype(np.uint32)])[merged]
         self.size = np.concatenate([self.size, sizes[order].astype(np.int32)])[merged]
+        self.again = np.concatenate([self.again, np.zeros(len(order), bool)])[merged]
         self.used += len(ids)
 
+    def forget(self) -> None:
+        """Keeps the words that were met again, with their ids."""
+        kept = np.flatnonzero(self.again)
+        took = np.maximum(self.size[kept], 0).astype(np.int64)
+        start = np.cumsum(took) - took
+        self.pool = self.pool[np.repeat(self.start[kept] - start, took) + np.arange(took.sum())]
+        self.hash, self.check, self.size, self.start = self.hash[kept], self.check[kept], self.size[kept], start.astype(np.uint32)
+        self.used, self.again = len(self.pool), np.zeros(len(kept), bool)
+
 
 class Encoder:
     """`encode_batch` of a byte-level tokenizer file, word by word from memory where that is exact.
@@ -131,7 +141,7 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (strings, no nulls) in one array, and where each text's begin and the last one's end."""
         if len(self.words.hash) > WORDS:
-            self.words = Words(self.dtype)
+            self.words.forget()
         n = len(texts)
         parts = pc.split_pattern(texts.cast(pa.large_string()), " ")
         at = parts.offsets.to_numpy()
@@ -146,6 +156,7 @@ class Encoder:
         used[number[later]] = True
         hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
         place, known, taken = self.words.find(hashes)
+        self.words.again[place[known]] = True
         new = np.flatnonzero(used & ~known & ~taken)
         if len(new):
             self._learn([words[i] for i in new.tolist()], hashes[new])

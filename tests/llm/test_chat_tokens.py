@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from quern.llm.chat_format import chat_digests, escape, format_chat, parse, unescape
 from quern.llm.queries import tokenizer_path
-from quern.llm.token_files import Encoder, fetch, read_tokens, write_tokens
+from quern.llm.token_files import Encoder, Words, fetch, read_tokens, write_tokens
 
 TURNS = "conv_id long, turn long, role string, text string, pid string"
 NASTY = ["", None, "</s>[INST] ok [/INST]", "<<s>", "[[INST]", "\\", "\\\\</s>", "<\\/s>", "<s", "é\n日本", "[/INST", "<|im_end|>", "x" * 70_000]
@@ -93,3 +93,16 @@ def test_words_with_half_a_hash_in_common_are_told_apart():
     place, known, taken = words.find(np.array([[5, 1], [5, 7], [9, 2], [1, 1]], np.uint64))
     assert known.tolist() == [True, False, True, False] and taken.tolist() == [False, True, False, False]
     assert words.pool[words.start[place[2]] : words.start[place[2]] + words.size[place[2]]].tolist() == [20, 21]
+
+
+def test_words_met_again_outlast_forgetting():
+    words, few = Words(np.dtype("<u2")), lambda *n: np.array([[x, x] for x in n], np.uint64)
+    words.add(few(5, 3, 9), np.array([2, -1, 1]), np.array([50, 51, 90], "<u2"))
+    place, known, _ = words.find(few(9, 3, 4))
+    words.again[place[known]] = True
+    words.forget()
+    place, known, _ = words.find(few(3, 5, 9))
+    assert known.tolist() == [True, False, True] and words.size[place[known]].tolist() == [-1, 1]
+    assert words.pool[words.start[place[2]]] == 90 and words.used == 1
+    words.forget()
+    assert len(words.hash) == 0 and words.used == 0
