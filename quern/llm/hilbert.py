@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 from .stage import Stage, ordered, parts
 
 BITS = 5
-#: Distinct strings of a dimension that its bounds are made from (a bound on what comes to the driver; a matter of pruning only).
-VALUES = 1024
 
 
 def _gray_inverse(g: int) -> int:
@@ -82,18 +80,25 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType))
 
 
-def _text_bounds(df: DataFrame, name: str, cells: int) -> list[bytes]:
-    """Whole strings that cut a column into cells of about equal counts: of at most VALUES distinct ones, those with the least hashes."""
-    value = df[name].cast("binary").alias("v")
-    held = df.select(value).filter("v is not null").groupBy("v").agg(F.count("*").alias("n")).orderBy(F.xxhash64("v"), "v").limit(VALUES).collect()
-    held = sorted((bytes(r["v"]), r["n"]) for r in held)
-    if len(held) <= cells:
-        return [v for v, _ in held[:-1]]
-    whole, run, bounds = sum(n for _, n in held), 0, []
-    for v, n in held[:-1]:
-        run += n
-        if run * cells >= whole * (len(bounds) + 1) and len(bounds) < cells - 1:
-            bounds.append(v)
+def _text_bounds(df: DataFrame, name: str, cells: int, stage: Stage, table: str) -> list[bytes]:
+    """Whole strings that cut a column into cells of about equal counts, from the counts of all its strings.
+
+    In order of the strings, one is a bound where more shares of the rows are full than there are bounds so far. So of the
+    strings at which the same number is full, only the first `cells` can be, and no others come to the driver.
+    """
+    values = df.select(df[name].cast("binary").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    values = ordered(values, stage, table, "v")
+    sums = values.groupBy("pid").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    sums = sums.selectExpr("pid", "sum(n) over (order by pid) - n as n0", "sum(k) over (order by pid) - k as k0", "sum(n) over () as nt", "sum(k) over () as kt")
+    values = values.join(F.broadcast(sums), "pid")  # a row for each partition of the order
+    values = values.withColumn("run", F.expr("n0 + sum(n) over (partition by pid order by at rows unbounded preceding)"))
+    values = values.selectExpr("v", "kt", "k0 + at as k", f"run * {cells} div nt as full").filter("k < kt - 1")
+    first = values.withColumn("_r", F.expr("row_number() over (partition by full order by k)")).filter(f"_r <= {cells}")
+    bounds = []
+    for r in sorted(first.collect(), key=lambda r: r["k"]):
+        if r["kt"] <= cells or r["full"] > len(bounds):
+            bounds.append(bytes(r["v"]))
+    stage.drop(table)
     return bounds
 
 
@@ -118,7 +123,7 @@ def hilbert_shards(df: DataFrame, dims: list[str], shards: int = 8, size: str |
     # one row of dims x (cells - 1) numbers, whatever the input
     bounds = df.agg(*[F.percentile_approx(x, cut, 10_000).alias(f"q{i}") for i, x in enumerate(number.values())]).first() if number else []
     steps = {d: (x, sorted(set(bounds[i] or []))) for i, (d, x) in enumerate(number.items())}
-    steps |= {d: (df[d].cast("binary"), [bytearray(b) for b in _text_bounds(df, d, cells)]) for d in dims if d not in number}
+    steps |= {d: (df[d].cast("binary"), [bytearray(b) for b in _text_bounds(df, d, cells, stage, f"strings{i}")]) for i, d in enumerate(dims) if d not in number}
     cell = []
     for d in dims:
         x, own = steps[d]

@@ -1,3 +1,4 @@
+import bisect
 import itertools
 import random
 import zlib
@@ -71,3 +72,17 @@ def test_strings_are_compared_whole(spark):
     for r in got:
         shards.setdefault(r["source"], set()).add(r["shard"])
     assert sum(map(len, shards.values())) / 50 < 4
+
+
+def test_bounds_of_strings_come_from_all_of_them(spark):
+    """Cells of 5000 distinct strings, one in a third of the rows, are those of a plain pass over all counts."""
+    counts = {f"source{i:04d}".encode(): 1 + i % 3 for i in range(5000)} | {b"source1000": 5000}
+    whole, run, bounds = sum(counts.values()), 0, []
+    for v, n in sorted(counts.items())[:-1]:
+        run += n
+        if run * 32 >= whole * (len(bounds) + 1):
+            bounds.append(v)
+    df = spark.createDataFrame([(v.decode(), n) for v, n in counts.items()], "source string, n int").selectExpr("source", "explode(sequence(1, n)) as i")
+    got = hilbert_shards(df.repartition(3), ["source"], bits=5).select("source", "curve").distinct().collect()
+    assert len(bounds) == 31 and len(got) == 5000
+    assert {r["source"].encode(): r["curve"] for r in got} == {v: bisect.bisect_left(bounds, v) for v in counts}
