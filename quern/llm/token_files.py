@@ -9,6 +9,7 @@ Spark writes and commits the files, so they can be in any store and a lost task
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import itertools
@@ -41,6 +42,14 @@ LEVEL = 3
 # Code points of white space besides space and newline, in Unicode's and the tokenizer's reading.
 _SPACES = [9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, _SPACES)) + "]")
+# Words whose pieces are plain to see: Latin letters or digits, then signs, then a line's end and the same again. No apostrophe.
+_SIGNS, _RUN = r"[!-&(-/:-@\[-`{-~]", "(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+)"
+_PLAIN = rf"\A{_RUN}(?:{_SIGNS}+(?:\n{_RUN}{_SIGNS}*)?)?\z"
+_BEGINS = re.compile(rf"{_SIGNS}+".encode())
+_CUT = 0xFF  # a byte that UTF-8 doesn't have
+_KEPT = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: How the vocabulary writes each byte, and a space for a cut.
+_WRITTEN = "".join(" " if b == _CUT else chr(b if b in _KEPT else 256 + sum(x not in _KEPT for x in range(b))) for b in range(256))
 
 
 class Words:
@@ -58,7 +67,8 @@ class Words:
         """Places of rows of hashes, whether a word is known, and whether another word is in its place."""
         if not len(self.hash):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hash, hashes[:, 0]), len(self.hash) - 1)
+        order, at = np.argsort(hashes[:, 0]), np.empty(len(hashes), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.hash, hashes[order, 0]), len(self.hash) - 1)  # in order: near places are in the cache
         half = self.hash[at] == hashes[:, 0]
         known = half & (self.check[at] == hashes[:, 1].astype(np.uint32))
         return at, known, half & ~known
@@ -102,25 +112,42 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        # the same model over pieces cut here, for words that are plain
+        self.cut = None
+        own = self.tokenizer.pre_tokenizer
+        if isinstance(own, pre_tokenizers.ByteLevel) and own.use_regex and self.tokenizer.normalizer is None:
+            self.cut = Tokenizer(self.tokenizer.model)
+            self.cut.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t[0] == SPACE]] = True
         self.words = Words(self.dtype)  # after a space
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str], hashes: np.ndarray) -> None:
+    def _learn(self, new: pa.Array, hashes: np.ndarray) -> None:
         """Encodes many words in one text: an id whose token begins with a space begins the next word."""
+        plain = np.zeros(len(new), bool) if self.cut is None else pc.match_substring_regex(new, _PLAIN).to_numpy(zero_copy_only=False)
+        order = np.argsort(~plain, kind="stable")
+        words, count = new.to_numpy(zero_copy_only=False)[order].tolist(), int(plain.sum())
         sizes, ids = [], []
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        for at in range(0, count, 1024):
+            part = words[at : min(at + 1024, count)]
+            text = _BEGINS.sub(b"\xff\\g<0>", f" {' '.join(part)}".encode()).replace(b" ", b"\xff ").replace(b"\n", b"\xff\n\xff")
+            own = self._ids([codecs.charmap_decode(text, "strict", _WRITTEN)[0]], self.cut)[0]
+            sizes.append(np.diff(np.append(np.flatnonzero(self.opens[own]), len(own))))
+            ids.append(own)
+            if len(sizes[-1]) != len(part):
+                raise AssertionError("a plain word's ids don't begin with a space")
+        for at in range(count, len(words), 4096):
+            part = words[at : at + 4096]
             text = " ".join(part)
             odd = None
             if not text or "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _OTHER_SPACE.search(text):
@@ -136,7 +163,7 @@ class Encoder:
                 raise AssertionError("a token that begins with a space stands inside a word")
             sizes.append(size)
             ids.append(own)
-        self.words.add(hashes, np.concatenate(sizes), np.concatenate(ids))
+        self.words.add(hashes[order], np.concatenate(sizes), np.concatenate(ids))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (strings, no nulls) in one array, and where each text's begin and the last one's end."""
@@ -148,7 +175,7 @@ class Encoder:
         flat = parts.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at = at - at[0]
         number = flat.indices.to_numpy(zero_copy_only=False)
-        words = flat.dictionary.to_pylist()
+        words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()  # strings made by Arrow, not one by one here
         firsts = at[:-1]
         later = np.ones(len(number), bool)
         later[firsts] = False
@@ -159,7 +186,7 @@ class Encoder:
         self.words.again[place[known]] = True
         new = np.flatnonzero(used & ~known & ~taken)
         if len(new):
-            self._learn([words[i] for i in new.tolist()], hashes[new])
+            self._learn(flat.dictionary.take(pa.array(new)), hashes[new])
             place, known, taken = self.words.find(hashes)
         # of the words their places in the pool; first words of texts and whole texts behind it
         size = np.where(known, self.words.size[place], 0) if len(self.words.hash) else np.zeros(len(words), np.int32)

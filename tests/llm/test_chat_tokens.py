@@ -63,6 +63,30 @@ def test_encoder_equals_the_library():
         assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+PLAIN = ["a", "the", "Thonre", "élève", "ǆ", "ß", "×", "ª", "µ", "1990", "²", "٣", "日", ".", ",", "!!", "***", "&&&", "'", "'s", "’", "<|endoftext|>", "\n", "\n", "\r", "\x85", " ", " ", " "]
+
+
+def test_words_cut_into_pieces_equal_the_library():
+    """Most words of usual text go to the model in pieces that are cut here; others and all texts equal the library's ids."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = True
+    rng, seen = random.Random(5), []
+    texts = ["".join(rng.choices(PLAIN, k=rng.randint(1, 24))) for _ in range(12000)]
+    texts += [f"In {i}. the\nword{i} end, word.\nNext, x{chr(c)}y {chr(c)} {chr(c)}. a{chr(c)}\nb" for i, c in enumerate([*range(0x21, 0x250), 0x2019, 0x3000, 0xFEFF, 0x1F600])]
+    code = Encoder(tokenizer_path())
+    own = code._ids
+    code._ids = lambda texts, *more: (seen.append((len(more), sum(map(len, texts)))), own(texts, *more))[1]
+    ids, at = code(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    seen.clear()
+    words = [f"{x}{y}{z}" for x in ("thon", "Èona", "ORBL") for y in ("re", "ti", "qu") for z in ("", ".", ",", "***", "$$$", ".\nAnd", "!!\nÉté,")]
+    code(pa.array(["go " + " ".join(words)]))
+    assert [n for more, n in seen if more] and max(n for more, n in seen if not more) < 10  # none of these words takes the long way
+
+
 @pytest.mark.parametrize("n", [0, 1, 300])
 def test_token_files_round_trip(spark, tmp_path, n):
     from tokenizers import Tokenizer
