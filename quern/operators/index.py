@@ -100,7 +100,8 @@ class IndexTable:
     def versions(self) -> DataFrame:
         return self.chunks.groupBy("source").agg(F.min("doc_sha256").alias("sha256"))
 
-    def _replace(self, chunks: DataFrame, dense: DataFrame) -> None:
+    def _replace(self, chunks: DataFrame, dense: DataFrame, counts: DataFrame | None = None) -> None:
+        """A new version. `counts`: the postings of these chunks, where they are at hand."""
         meta = self._meta()
         if meta is None:
             raise ValueError("no index here; create it first")
@@ -111,7 +112,7 @@ class IndexTable:
         written = self.spark.read.schema(CHUNK).parquet(f"{at}/chunks")
         checked = dense.withColumn("embedding", F.when(F.size("embedding") == meta["dimension"], F.col("embedding")).otherwise(F.raise_error(F.lit("a vector has another dimension than the index"))))
         checked.write.parquet(f"{at}/dense")
-        postings(written).write.parquet(f"{at}/postings")
+        (postings(written) if counts is None else counts).write.parquet(f"{at}/postings")
         self._point(meta | {"version": version})
 
     def upsert(self, chunks: DataFrame, dense: DataFrame) -> None:
@@ -154,4 +155,4 @@ class IndexTable:
         meta = self._meta() or {"dimension": 0, "version": None}
         copy = IndexTable(self.spark, path)
         copy.create(meta["dimension"])
-        copy._replace(self.chunks, self.dense)
+        copy._replace(self.chunks, self.dense, self.postings)

@@ -163,3 +163,21 @@ def test_queries_in_blocks_find_the_same(spark, monkeypatch):
     whole = sorted(map(tuple, retrieval.nearest(q, v, 4).collect()))
     monkeypatch.setattr(retrieval, "VECTOR_QUERIES", 3)
     assert sorted(map(tuple, retrieval.nearest(q, v, 4).collect())) == whole
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_counted_where_texts_are_read(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TERMS", 4)
+    texts = [(1, "a1 b2 b2"), (2, "cc x é ÉÉ ee"), (3, ""), (4, None), (5, "b2 b2 cc"), (5, "b2 cc dd"), (5, "b2"), (None, "cc"), (None, "cc"), (6, "dd"), (7, "aa " * 9 + "bb")]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(2)
+    found = df.select("id", F.size(retrieval.terms(F.col("text"))).alias("len"), F.explode(retrieval.terms(F.col("text"))).alias("term"))
+    want = found.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    rows = lambda t: sorted(map(repr, t.select("id", "len", "term", "tf").collect()))
+    assert rows(postings(df)) == rows(want) and dict(postings(df).dtypes) == dict(want.dtypes)
+    apart = df.filter("id in (1, 2, 3, 4, 6, 7)").coalesce(1)
+    assert rows(postings(apart)) == rows(want.filter("id in (1, 2, 3, 4, 6, 7)"))
+    assert "Aggregate" not in planned(postings(apart))
+    assert postings(df.limit(0)).collect() == []
