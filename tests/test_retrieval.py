@@ -181,3 +181,17 @@ def test_postings_are_counted_where_texts_are_read(spark, monkeypatch):
     assert rows(postings(apart)) == rows(want.filter("id in (1, 2, 3, 4, 6, 7)"))
     assert "Aggregate" not in planned(postings(apart))
     assert postings(df.limit(0)).collect() == []
+
+
+def most_at_once(spark):
+    """The most of 3000 rows of 4000 characters that a Python worker is handed at once."""
+    size = F.pandas_udf(lambda n, t: n * 0 + len(t), "long")
+    return spark.range(3000).coalesce(1).select(size("id", F.repeat(F.lit("x"), 4000)).alias("n")).agg(F.max("n")).first()[0]
+
+
+@pytest.mark.parametrize("operator", [lambda q, c, v: retrieval.counted(q, c), lambda q, c, v: bm25(q, c, 3), lambda q, c, v: nearest(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), v, 3)])
+def test_workers_are_handed_bytes_not_rows(spark, chunks, asked, operator):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert most_at_once(spark) == 3000
+    operator(asked, chunks, spark.createDataFrame([("c1", [1.0])], "id string, embedding array<float>"))
+    assert most_at_once(spark) < 1200
