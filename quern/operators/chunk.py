@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import CHUNK_NAMESPACE, TABLE_RULE, estimate_tokens
+from quern.operators.staging import bounded
 
 NAMESPACE = uuid.UUID(CHUNK_NAMESPACE)
 SAFETY = 8
@@ -202,7 +203,7 @@ def chunk_sections(documents: DataFrame, config: ChunkConfig = ChunkConfig(), co
                 out[c] = out[c].astype("Int32")
             yield out
 
-    return documents.select("source", "sha256", "title", F.col("sections").cast(f"array<{SECTION}>")).mapInPandas(run, CHUNK)
+    return bounded(documents).select("source", "sha256", "title", F.col("sections").cast(f"array<{SECTION}>")).mapInPandas(run, CHUNK)
 
 
 def pack_prose(parts: Column, limit: int, overlap: int) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.chunk import SECTION
+from quern.operators.staging import bounded
 from quern.sources.loaders import LoaderError, loader_for, supported, suffix
 
 IGNORED = (".", "~$")
@@ -97,7 +98,7 @@ def load(content: DataFrame) -> DataFrame:
         for pdf in frames:
             yield pd.DataFrame([parse(s, bytes(c)) for s, c in zip(pdf["source"], pdf["content"])], columns=names)
 
-    return content.select("source", "content").mapInPandas(run, DOCUMENT)
+    return bounded(content).select("source", "content").mapInPandas(run, DOCUMENT)
 
 
 def load_corpus(spark: SparkSession, root: str) -> DataFrame:

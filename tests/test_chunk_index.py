@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.functions.vectors import hashed
 from quern.operators import views
-from quern.operators.chunk import NAMESPACE, ChunkConfig, Section, by_words, chunk_document, chunk_sections, estimate, merged, pack_prose, packed
+from quern.operators.chunk import NAMESPACE, SECTION, ChunkConfig, Section, by_words, chunk_document, chunk_sections, estimate, merged, pack_prose, packed
 from quern.operators.index import IndexTable, diff, summary
 from quern.sources.corpus import load
 
@@ -169,3 +169,13 @@ def test_prose_chunks_cut_sentences_over_the_limit(spark):
     assert [w for c in got[3] for w in c.split()] == texts[3].split()
     kept = [p for c in got[4] for p in c.split("\n\n")]
     assert set(kept) == set(paragraphs.split("\n\n"))
+
+
+@pytest.mark.parametrize("operator", [lambda files: load(files), lambda files: chunk_sections(files.selectExpr("source", "'' sha256", "'' title", f"cast(array() as array<{SECTION}>) sections"))])
+def test_workers_are_handed_bytes_of_files(spark, operator):
+    size = F.pandas_udf(lambda n, t: n * 0 + len(t), "long")
+    most = lambda: spark.range(3000).coalesce(1).select(size("id", F.repeat(F.lit("x"), 4000)).alias("n")).agg(F.max("n")).first()[0]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert most() == 3000
+    operator(spark.createDataFrame([("a.md", bytearray(b"# A"))], "source string, content binary"))
+    assert most() < 1200
