@@ -189,7 +189,7 @@ def most_at_once(spark):
     return spark.range(3000).coalesce(1).select(size("id", F.repeat(F.lit("x"), 4000)).alias("n")).agg(F.max("n")).first()[0]
 
 
-@pytest.mark.parametrize("operator", [lambda q, c, v: retrieval.counted(q, c), lambda q, c, v: bm25(q, c, 3), lambda q, c, v: nearest(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), v, 3)])
+@pytest.mark.parametrize("operator", [lambda q, c, v: retrieval.counted(q, c), lambda q, c, v: bm25(q, c, 3), lambda q, c, v: nearest(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), v, 3), lambda q, c, v: search(q.limit(0), c, "dense", vectors=v, embed=hashed(1)), lambda q, c, v: search(q, c, "sparse")])
 def test_workers_are_handed_bytes_not_rows(spark, chunks, asked, operator):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     assert most_at_once(spark) == 3000
