@@ -195,3 +195,10 @@ def test_workers_are_handed_bytes_not_rows(spark, chunks, asked, operator):
     assert most_at_once(spark) == 3000
     operator(asked, chunks, spark.createDataFrame([("c1", [1.0])], "id string, embedding array<float>"))
     assert most_at_once(spark) < 1200
+
+
+def test_weights_need_no_row_a_term_before_they_leave(spark):
+    from quern.plans.queries import QUERIES
+
+    made = planned(QUERIES["bm25_weights"](spark, "/root/testdata/sf0.001"))
+    assert "Generate" not in made and "HashAggregate(keys=[doc_id" not in made
